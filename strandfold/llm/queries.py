@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandfold.llm import bpe, near_dedup
+from strandfold.llm import bpe, language, lm, near_dedup, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,14 +28,56 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _crc(modulus: int):
+    """crc32(doc_id as text) mod modulus; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every whole text under the corpus's own bigram model."""
+    held = F.coalesce(_crc(7) == 2, F.lit(False))
+    scored = lm.score(_read(spark, sf_dir, "documents"), ~held)
+    base = F.col("log_counts") - F.col("n_tokens") * F.log10((F.col("n") + F.col("v") + 1).cast("double"))
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.col("n").alias("train_tokens"), base.alias("base_score"), "score"
+    )
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = language.train(docs.where(_crc(5) != 0), F.col("lang"))
+    return language.predict(docs.select("doc_id", "text"), net).select(
+        "doc_id", F.coalesce(_crc(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def _labelled(spark: SparkSession, sf_dir: str, label: str, learnt) -> DataFrame:
+    """Documents with the label of their id; of several rows of an id the greatest label counts."""
+    labels = _read(spark, sf_dir, "labels").where(learnt).groupBy("doc_id").agg(F.max(label).alias(label))
+    return _read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text."""
+    weights = quality.train(_labelled(spark, sf_dir, "quality", _crc(4) != 2), F.col("quality"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, weights).select(
+        "doc_id", F.coalesce(_crc(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_lm_scoring": op3_lm_scoring,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_language_id": op8_language_id,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
