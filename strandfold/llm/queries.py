@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandfold.llm import bpe, language, lm, near_dedup, quality
+from strandfold.llm import bpe, fingerprints, language, lm, mixing, near_dedup, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,21 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text."""
+    found = fingerprints.edits(_read(spark, sf_dir, "documents"))
+    like = fingerprints.likeness
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        like("fingerprint", "edited_fingerprint").alias("near_edited"), like("fingerprint", "next_fingerprint").alias("near_next"),
+    )
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
@@ -63,6 +78,15 @@ def _labelled(spark: SparkSession, sf_dir: str, label: str, learnt) -> DataFrame
     return _read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, with the nearest examples."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    index = toxicity.train(_labelled(spark, sf_dir, "toxic", _crc(3) != 1), F.col("toxic"), docs)
+    return toxicity.score(docs, index).select(
+        "doc_id", F.coalesce(_crc(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence"
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text."""
     weights = quality.train(_labelled(spark, sf_dir, "quality", _crc(4) != 2), F.col("quality"))
@@ -75,8 +99,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_mix_sources": op4_mix_sources,
+    "op6_fingerprints": op6_fingerprints,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_language_id": op8_language_id,
+    "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
 

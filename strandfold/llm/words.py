@@ -115,7 +115,7 @@ def shingle_sets(words: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
 
 
 class MinHash:
-    """Least values of a set under n universal hash functions x -> (a x + b) mod 2^64, of which the upper 32 bits stay."""
+    """Least values of a set under n universal hash functions x -> (a x + b) mod 2^64, each mixed down to 32 bits."""
 
     def __init__(self, n: int, seed: int = 7):
         rng = np.random.Generator(np.random.PCG64(seed))
@@ -124,10 +124,10 @@ class MinHash:
         self.b = rng.integers(0, 2**63, n, dtype=np.uint64)[:, None]
 
     def __call__(self, items: np.ndarray, block: int = 1024) -> np.ndarray:
-        """uint32 signature; of the empty set all ones."""
+        """uint32 signature; all empty sets have the same."""
         least = np.full(self.n, np.iinfo(np.uint64).max, np.uint64)
         for i in range(0, len(items), block):
             values = items[None, i : i + block] * self.a
             values += self.b
             np.minimum(least, values.min(axis=1), out=least)
-        return (least >> np.uint64(32)).astype(np.uint32)
+        return (mix(least) >> np.uint64(32)).astype(np.uint32)
