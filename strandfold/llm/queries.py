@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandfold.llm import bpe, fingerprints, language, lm, mixing, near_dedup, quality, toxicity
+from strandfold.llm import bpe, embeddings, fingerprints, language, lm, mixing, near_dedup, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's ids and of the bytes they decode to."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -97,6 +102,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_mix_sources": op4_mix_sources,
