@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandfold.llm import bpe, embeddings, fingerprints, language, lm, mixing, near_dedup, quality, toxicity
+from strandfold.llm import bpe, embeddings, fingerprints, language, licences, lm, mixing, near_dedup, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that lines of the documents match."""
+    return licences.scan(_read(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text and of its edited text."""
     found = fingerprints.edits(_read(spark, sf_dir, "documents"))
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_mix_sources": op4_mix_sources,
+    "op5_license_scan": op5_license_scan,
     "op6_fingerprints": op6_fingerprints,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_language_id": op8_language_id,
@@ -113,4 +119,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_license_scan": licences.oracle_sql()}
