@@ -91,7 +91,8 @@ def recommend_removals(members: DataFrame, used: DataFrame, matches: DataFrame,
                 gone.append((key[0], item, len(gone) + 1))
         return pd.DataFrame(gone, columns=["group_id", "item_id", "place"])
 
-    return who.groupBy("group_id").cogroup(bins.groupBy("group_id")).applyInPandas(walk, "group_id long, item_id long, place int")
+    bins = bins.select(F.col("group_id").alias("in_group"), "item_id", "other_id", "bins")
+    return who.groupBy("group_id").cogroup(bins.groupBy("in_group")).applyInPandas(walk, "group_id long, item_id long, place int")
 
 
 def strategy_decisions(members: DataFrame, removals: DataFrame, method: str) -> DataFrame:
