@@ -1,13 +1,14 @@
 """MinHash near-duplicate groups with sequential Bayesian verification.
 
 Documents of equal shingle sets are one node from the start. Nodes that share a band of their
-signatures are candidates. Within a bucket nobody is paired with everybody: in each round a few
-members (pivots, drawn by hash) meet all members that are not yet in their component, then leave
-the bucket. Pairs inside one component need no test, since only components are asked for. When the
-pairs of a bucket that lie in different components are fewer than its rows, they are met directly,
-so nothing is skipped at any group size. Each pair is tested on batches of its signatures: it goes
-as soon as the posterior probability of similarity >= threshold falls below `miss`; survivors are
-verified exactly on their whole sets.
+signatures are candidates. First, in STARS rounds, one member of each bucket (its pivot, drawn by hash)
+meets its other members that are not yet in the pivot's component; these links join most of any large
+group. Pairs inside one component need no test, since only components are asked for. Buckets that
+still hold several components are then cut into tiles of at most about TILE members and TILE_SHINGLES
+shingles, and every two tiles of a bucket are compared in one task, pair by pair across components: no
+row is made of a pair, only of the links that join components, and nothing is skipped at any group
+size. Each pair is tested on batches of its signatures: it goes as soon as the posterior probability of
+similarity >= threshold falls below `miss`; survivors are verified exactly on their whole sets.
 
 Rows: null or empty texts and texts without words have an empty set and link with nothing; a
 document with fewer than five words has its whole word sequence as the one shingle; very long texts
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +35,8 @@ from strandfold.operators.components import connected_components
 
 BANDS, ROWS = 32, 5
 BATCH = 32
-PIVOTS = 4
-MAX_ROUNDS = 400
+STARS = 3
+TILE, TILE_SHINGLES = 512, 2_000_000
 
 
 def least_matches(n: int, threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -102,9 +104,7 @@ def _stays(steps: list[tuple[int, int]]):
     """Whether a pair survives every batch of its signatures."""
 
     @F.pandas_udf("boolean")
-    def stays(a, b):
-        import pandas as pd
-
+    def stays(a: pd.Series, b: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype=bool)
         x = np.frombuffer(b"".join(a), np.uint32).reshape(len(a), -1)
@@ -121,6 +121,36 @@ def _stays(steps: list[tuple[int, int]]):
     return stays
 
 
+def _tile_links(percent: int, steps: list[tuple[int, int]]):
+    """Of two tiles of a bucket, verified links that join components; a pair whose ends are joined meanwhile is not tested."""
+
+    def job(key, rows: pd.DataFrame) -> pd.DataFrame:
+        node, n, sets = rows["node"].to_numpy(), rows["n"].to_numpy(), rows["set"].to_numpy()
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(len(rows), -1)
+        part, tile = rows["component"].factorize()[0], rows["tile"].to_numpy()
+        links = []
+        first, second = np.flatnonzero(tile == key[1]), np.flatnonzero(tile == key[2])
+        for i in first:
+            j = second[(part[second] != part[i]) & ((second > i) | (key[1] != key[2]))]
+            j = j[100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])]
+            seen, same = 0, np.zeros(len(j), np.int64)
+            for k, least in steps:
+                same = same + (sig[j, seen:k] == sig[i, seen:k]).sum(axis=1)
+                good = same >= least
+                j, same, seen = j[good], same[good], k
+                if not len(j):
+                    break
+            for x in j:
+                if part[x] != part[i]:
+                    both = len(np.intersect1d(sets[i], sets[x], assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[x] - both):
+                        links.append((min(node[i], node[x]), max(node[i], node[x])))
+                        part[part == part[x]] = part[i]
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return job
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -133,18 +163,14 @@ def near_duplicates(
     """(doc_id, n_shingles, component_id, kept) per row of docs; links have 100 * intersection >= percent * union."""
     sketch = durable(_sketch(docs, doc_id, text, bands, rows), "sketch")
     nodes = sketch.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("low"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("copies")
+        F.min("doc_id").alias("low"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
     )
+    nodes = durable(nodes, "nodes")
     # Equal sets are one node, so thousands of copies make one row in a bucket.
-    bucket = (
-        sketch.where("node is not null")
-        .select("node", F.explode("bands").alias("bucket"))
-        .distinct()
-    )
+    bucket = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     wide = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
     member = durable(bucket.join(wide, "bucket"), "members")
-    known = member.select("node").distinct()
-    facts = durable(nodes.join(known, "node").select("node", "low", "n", "sig"), "facts")
+    facts = durable(nodes.join(member.select("node").distinct(), "node").select("node", "low", "n", "sig"), "facts")
     labels = _link(docs, text, doc_id, member, facts, percent, least_matches(bands * rows, percent / 100, miss))
     lows = (
         labels.join(facts.select("node", "low"), "node")
@@ -182,39 +208,30 @@ def _link(docs, text, doc_id, member, facts, percent, steps) -> DataFrame:
         )
         return full.where(100 * F.col("both") >= percent * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b")
 
-    labels = facts.select("node", F.col("node").alias("component"))
-    for turn in range(MAX_ROUNDS):
-        placed = member.join(labels, "node")
-        state = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(
-            F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("inside"), F.count(F.lit(1)).alias("parts")
-        ).where("parts > 1").select("bucket", "m", ((F.col("m") * F.col("m") - F.col("inside")) / 2).alias("across"))
-        open_ = durable(placed.join(state, "bucket"), "open")
-        if open_.isEmpty():
-            break
-        small = open_.where("across <= 2 * m")
-        large = open_.where("across > 2 * m")
-        met = small.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca")).join(
-            small.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb")), "bucket"
-        ).where("a < b and ca <> cb").select("a", "b")
-        pivots = large.groupBy("bucket").agg(*[F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)])
-        pivots = durable(
-            pivots.select("bucket", F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("pivots")), "pivots"
-        )
-        star = large.join(pivots, "bucket").select("node", "component", F.explode("pivots").alias("p")).where(
-            "component <> p.component"
-        ).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-        links = durable(verified(met.union(star).distinct()), "links")
-        gone = pivots.select("bucket", F.explode("pivots.node").alias("node"))
-        member = durable(
-            large.select("bucket", "node").join(gone, ["bucket", "node"], "left_anti"), "members"
-        )
-        if links.isEmpty():
-            continue
+    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after new links."""
         ends = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(
             labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b"
         )
-        merged = connected_components(ends, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("into"))
-        labels = durable(labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "labels")
-    else:
-        raise RuntimeError("buckets are left open")
-    return labels
+        into = connected_components(ends, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("into"))
+        return durable(labels.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "labels")
+
+    def open_(labels: DataFrame) -> DataFrame:
+        """Members, with their components, of the buckets that hold several."""
+        placed = member.join(labels, "node")
+        several = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
+        return durable(placed.join(several.where("least <> most").select("bucket", "m", "shingles"), "bucket"), "open")
+
+    labels = facts.select("node", F.col("node").alias("component"))
+    for turn in range(STARS):
+        left = open_(labels)
+        pivots = left.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("p"))
+        star = left.join(pivots, "bucket").where("component <> p.component")
+        pairs = star.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+        labels = merged(labels, durable(verified(pairs), "links"))
+    tiles = F.ceil(F.greatest(F.col("m") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int")
+    tiled = open_(labels).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(-1)), "tiles").cast("int"))
+    dealt = tiled.join(facts.select("node", "sig"), "node").join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})
+    links = dealt.groupBy("bucket", "lo", "hi").applyInPandas(_tile_links(percent, steps), "a binary, b binary")
+    return merged(labels, durable(links.distinct(), "links"))
