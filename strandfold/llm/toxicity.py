@@ -5,8 +5,8 @@ rows that share a shingle among their least few count once, so copies don't vote
 words of letters, digits and bytes above 0x7F (A-Z as a-z) that mark label 1: their share of examples
 of label 1 exceeds that of label 0 by Z standard errors. Document frequencies are counted over all
 documents. The index is inverted and cut into blocks of BLOCK examples; each term holds its greatest
-weight in every block. A query reads the blocks in the order of their upper bounds and stops at
-the first whose bound is below its k-th best cosine, so the K neighbours are exact. Their votes are
+weight in every block. A query reads the FIRST blocks of greatest upper bound, then only those whose
+bound is not below its k-th best cosine so far, so the K neighbours are exact. Their votes are
 weighted by cosine; an isotonic fit on the examples' own leave-one-out votes turns the share of
 votes into a probability. The neighbours are returned as evidence.
 
@@ -32,7 +32,7 @@ from strandfold.llm.quality import _KIND
 from strandfold.llm.sampling import labelled_sample
 
 SAMPLE, SAMPLE_BYTES = 8000, 1 << 14
-BLOCK, K = 64, 15
+BLOCK, FIRST, K = 64, 4, 15
 Z, LEAST, MOST_TERMS = 4.0, 3, 4096
 LEAST_SHINGLES = 4
 
@@ -79,7 +79,7 @@ class Index:
                 lists[t][1].append(w)
             self.block_max[numbers, i // BLOCK] = np.maximum(self.block_max[numbers, i // BLOCK], weights)
         self.postings = [(np.array(a, np.int64), np.array(b)) for a, b in lists]
-        self.edges = [np.searchsorted(a, np.arange(self.blocks + 1) * BLOCK) for a, _ in self.postings]
+        self.block_of = [a // BLOCK for a, _ in self.postings]
         self.steps, self.shares, self.empty = np.zeros(1), np.zeros(1), 0.0
 
     def vector(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,23 +90,34 @@ class Index:
     def nearest(self, numbers: np.ndarray, weights: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine above 0, best first, and their cosines."""
         bounds = weights @ self.block_max[numbers]
-        best_i, best_c = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best_c) == k and bounds[b] < best_c[-1] - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(numbers.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.edges[t][b], self.edges[t][b + 1]
-                if hi > lo:
-                    ids, values = self.postings[t]
-                    sums[ids[lo:hi] - b * BLOCK] += w * values[lo:hi]
-            if b == without // BLOCK and without >= 0:
-                sums[without % BLOCK] = 0
-            some = np.flatnonzero(sums)
-            ids, cosines = np.append(best_i, some + b * BLOCK), np.append(best_c, sums[some])
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+        ids, cosines = self._best(self._sums(numbers, weights, first, without), k)
+        least = cosines[-1] - 1e-12 if len(cosines) == k else 0.0
+        rest = ~first & (bounds > 0) & (bounds >= least)
+        if rest.any():
+            more, also = self._best(self._sums(numbers, weights, rest, without), k)
+            ids, cosines = np.append(ids, more), np.append(cosines, also)
             order = np.lexsort((ids, -cosines))[:k]
-            best_i, best_c = ids[order], cosines[order]
-        return best_i, best_c
+            ids, cosines = ids[order], cosines[order]
+        return ids, cosines
+
+    def _sums(self, numbers: np.ndarray, weights: np.ndarray, blocks: np.ndarray, without: int) -> np.ndarray:
+        """Cosines with the examples of some blocks, 0 for the others."""
+        out = np.zeros(self.blocks * BLOCK)
+        for t, w in zip(numbers.tolist(), weights.tolist(), strict=True):
+            ids, values = self.postings[t]
+            read = blocks[self.block_of[t]]
+            out[ids[read]] += w * values[read]
+        if without >= 0:
+            out[without] = 0
+        return out
+
+    @staticmethod
+    def _best(cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        some = np.flatnonzero(cosines)
+        order = some[np.lexsort((some, -cosines[some]))[:k]]
+        return order, cosines[order]
 
     def share(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         """Label 1's part of the votes, one vote of the base rate added."""
