@@ -166,6 +166,9 @@ def _search(rows: DataFrame, threshold: float, beam: int) -> DataFrame:
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         graph, asked = rows[~rows["query"]], rows[rows["query"]]
+        if not len(graph) or not len(asked):  # nobody's home, or nothing to search
+            ids = asked["node"].to_numpy()
+            return pd.DataFrame({"node": ids, "found": np.zeros(len(ids), np.int64), "to": ids})
         ids, x = graph["node"].to_numpy(), _matrix(graph["vector"])
         order = np.argsort(ids)
         ids, x, weight, lists = ids[order], x[order], graph["weight"].to_numpy()[order], [graph["list"].iloc[k] for k in order]
