@@ -119,4 +119,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op5_license_scan": licences.oracle_sql()}
+ORACLES: dict[str, str] = {"op5_license_scan": licences.oracle_sql(), "op7_minhash_near_dedup": near_dedup.oracle_sql()}
