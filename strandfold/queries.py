@@ -1,4 +1,4 @@
-"""The registered queries of the reference's own operators and their SQL."""
+"""The registered queries of the library's operators, and their SQL."""
 
 from __future__ import annotations
 
