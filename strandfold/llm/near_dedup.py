@@ -247,11 +247,11 @@ sets as materialized (
   select doc_id, case when len(w) >= {W.SHINGLE} then list_distinct(list_transform(range(1, len(w) - {W.SHINGLE - 2}), lambda i: array_to_string(w[i:i + {W.SHINGLE - 1}], ' ')))
     when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from words),
 flat as materialized (select doc_id, unnest(s) as x from sets),
-both as (select a.doc_id as a, b.doc_id as b, count(*) as n from flat a join flat b on a.x = b.x and a.doc_id < b.doc_id group by all),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from flat a join flat b on a.x = b.x and a.doc_id < b.doc_id group by all),
 links as materialized (
-  select a, b from both join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * n >= {percent} * (len(x.s) + len(y.s) - n)),
+  select a, b from shared join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * n >= {percent} * (len(x.s) + len(y.s) - n)),
 ways as (select a, b from links union all select b, a from links),
 reach as (select a, b from ways union select r.a, w.b from reach r join ways w on w.a = r.b),
-least as (select a as doc_id, min(b) as b from reach group by a)
+lowest as (select a as doc_id, min(b) as b from reach group by a)
 select s.doc_id, len(s.s)::bigint as n_shingles, least(s.doc_id, coalesce(l.b, s.doc_id)) as component_id, s.doc_id = least(s.doc_id, coalesce(l.b, s.doc_id)) as kept
-from sets s left join least l using (doc_id)"""
+from sets s left join lowest l using (doc_id)"""
