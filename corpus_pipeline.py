@@ -32,9 +32,8 @@ def languages_in(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component, the document of least id; of repeated rows of it, one."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """Of each near-duplicate component one row, of its least id."""
+    return near_dedup.without_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +57,7 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-#: Fitted classifiers and hashed draws can't be told in SQL; the stages are tested against brute force.
+#: Fitted classifiers and hashed draws can't be told in SQL; the near-dedup stage is tested against brute force, the others as operators.
 ORACLE_SQL = None
 
 

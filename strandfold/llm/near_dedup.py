@@ -13,8 +13,10 @@ similarity >= threshold falls below `miss`; survivors are verified exactly on th
 Rows: null or empty texts and texts without words have an empty set and link with nothing; a
 document with fewer than five words has its whole word sequence as the one shingle; very long texts
 are read whole; repeated rows are equal sets, so they share a component; a null doc_id links but
-cannot name a component (component_id is null if no other id is in it, and kept is then true);
-an empty table gives an empty table; other columns are not read.
+cannot name a component (component_id is null if no other id is in it). One row of each component is
+kept, one of its least id; unlike texts that repeat an id, or have none, are rows of their own, each
+in its own component though these may bear the same id. An empty table gives an empty table; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandfold.durable import durable
@@ -36,6 +38,7 @@ from strandfold.operators.components import connected_components
 BANDS, ROWS = 32, 5
 BATCH = 32
 STARS = 3
+MISS = 1e-5
 TILE, TILE_SHINGLES = 512, 2_000_000
 
 
@@ -55,14 +58,20 @@ def least_matches(n: int, threshold: float, miss: float) -> list[tuple[int, int]
     return out
 
 
+def _row(doc_id: str, text: str) -> Column:
+    """128 bits that stand for a row's id and text, nulls included; the same whenever the row is read."""
+    cells = [F.col(doc_id).cast("long"), F.col(doc_id).isNull(), F.col(text), F.col(text).isNull()]
+    return F.concat_ws(".", *[F.xxhash64(F.lit(k), *cells).cast("string") for k in (1, 2)])
+
+
 def _sketch(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, node: digest of the whole set or null, sig, bands)."""
+    """(doc_id, row, place: number of the row, n_shingles, node: digest of the whole set or null, sig, bands)."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = W.MinHash(bands * rows)
         salt = W.mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
-            texts = W.as_strings(batch.column(1))
+            texts = W.as_strings(batch.column(3))
             for lo, hi, codes, bounds in W.word_codes(texts):
                 n, node, sig, keys = [], [], [], []
                 for s in W.shingle_sets(codes, bounds):
@@ -78,17 +87,18 @@ def _sketch(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> D
                             folded = W.mix(folded + part)
                         keys.append(folded.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "node", "sig", "bands"],
+                    [*(batch.column(k).slice(lo, hi - lo) for k in range(3)), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "row", "place", "n_shingles", "node", "sig", "bands"],
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        job, "doc_id long, n_shingles long, node binary, sig binary, bands array<long>"
+    place = F.monotonically_increasing_id()
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), _row(doc_id, text).alias("row"), place.alias("place"), F.col(text).alias("text")).mapInArrow(
+        job, "doc_id long, row string, place long, n_shingles long, node binary, sig binary, bands array<long>"
     )
 
 
 def _whole_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, set: array of distinct shingle codes) of (doc_id, text)."""
+    """(node, set: array of distinct shingle codes) of (row, text)."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,12 +168,28 @@ def near_duplicates(
     percent: int = 75,
     bands: int = BANDS,
     rows: int = ROWS,
-    miss: float = 1e-5,
+    miss: float = MISS,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs; links have 100 * intersection >= percent * union."""
+    return _found(docs, doc_id, text, percent, bands, rows, miss).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with all their columns."""
+    kept = _found(docs, doc_id, text, percent, BANDS, ROWS, MISS).where("kept")
+    kept = kept.select(F.col("row").alias("_row"), F.col("node").isNull().alias("_wordless")).distinct()
+    # Rows of one id and text are one component, so one stays; rows without words are no copies of each other.
+    once = F.when(F.col("_wordless"), F.monotonically_increasing_id())
+    met = docs.withColumn("_row", _row(doc_id, text)).join(kept, "_row").withColumn("_once", once)
+    return met.dropDuplicates(["_row", "_once"]).select(*docs.columns)
+
+
+def _found(docs: DataFrame, doc_id: str, text: str, percent: int, bands: int, rows: int, miss: float) -> DataFrame:
+    """near_duplicates with the columns row and node."""
     sketch = durable(_sketch(docs, doc_id, text, bands, rows), "sketch")
+    low = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "place")
     nodes = sketch.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("low"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
+        F.min(low).alias("low"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
     )
     nodes = durable(nodes, "nodes")
     # Equal sets are one node, so thousands of copies make one row in a bucket.
@@ -174,21 +200,21 @@ def near_duplicates(
     labels = _link(docs, text, doc_id, member, facts, percent, least_matches(bands * rows, percent / 100, miss))
     lows = (
         labels.join(facts.select("node", "low"), "node")
-        .groupBy("component").agg(F.min("low").alias("component_id"))
+        .groupBy("component").agg(F.min("low").alias("least"))
         .join(labels, "component")
-        .select("node", F.col("component_id").alias("linked_id"))
+        .select("node", "least")
     )
     alone = nodes.select("node", "low")
-    found = alone.join(lows, "node", "left").select("node", F.coalesce("linked_id", "low").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "node").join(found, "node", "left")
-    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    found = alone.join(lows, "node", "left").select("node", F.coalesce("least", "low").alias("least"))
+    out = sketch.select("doc_id", "row", "place", "n_shingles", "node").join(found, "node", "left")
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    kept = F.col("node").isNull() | (F.col("place") == F.col("least.place"))
+    return out.select("doc_id", "row", "node", "n_shingles", own.alias("component_id"), kept.alias("kept"))
 
 
 def _link(docs, text, doc_id, member, facts, percent, steps) -> DataFrame:
     """(node, component) of the nodes that link."""
-    ids = facts.select(F.col("low").alias("doc_id"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id", "left_semi")
+    texts = docs.select(_row(doc_id, text).alias("row"), F.col(text).alias("text")).join(facts.select("low.row"), "row", "left_semi")
     sets = durable(_whole_sets(texts).join(facts.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     stays = _stays(steps)
 

@@ -109,6 +109,40 @@ def test_near_dedup_equals_brute_force(spark, odd, docs):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    fresh = lambda: [f"w{rng.randint(0, 9999)}" for _ in range(120)]
+
+    def edited(text, at):  # two edits of one text link with it, but not with each other
+        return text[:at] + [f"x{at + k}" for k in range(9)] + text[at + 9 :]
+
+    a, b, c, d = fresh(), fresh(), fresh(), fresh()
+    rows = [
+        (None, b), (None, edited(b, 20)), (None, edited(b, 80)),  # a component without ids
+        (7, edited(a, 20)), (None, a), (8, edited(a, 80)),  # linked only through a null id
+        (3, c), (3, edited(c, 50)), (3, fresh()), (3, fresh()), (3, d), (3, d), (5, d),  # a repeated id of like, unlike and equal texts
+        (None, fresh()), (None, fresh()), (None, []), (None, []), (3, []),
+    ]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    groups = collections.defaultdict(list)
+    for k, c in components({k: t for k, (_, t) in enumerate(rows)}).items():
+        groups[c].append(k)
+    assert sorted(map(len, groups.values()), reverse=True)[:4] == [3, 3, 3, 2]
+    least = {k: min((rows[k][0] for k in g if rows[k][0] is not None), default=None) for g in groups.values() for k in g}
+    table = spark.createDataFrame([(*r, "en", "a", 0, 1, 2) for r in rows], DOC).repartition(3)
+    got = near_dedup.near_duplicates(table).collect()
+    count = collections.Counter
+    assert count((r.doc_id, r.n_shingles, r.component_id) for r in got) == count((i, len(shingles(t)), least[k]) for k, (i, t) in enumerate(rows))
+    want = count(least[g[0]] for g in groups.values())
+    assert count(r.doc_id for r in got if r.kept) == want and all(r.doc_id == r.component_id for r in got if r.kept)
+    stage = dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, table, SF)
+    kept = [(r.doc_id, r.text) for r in stage.collect()]
+    assert stage.columns == table.columns and count(i for i, _ in kept) == want
+    assert all(sum((rows[k][1]) in [t for _, t in kept] for k in {rows[k][1]: k for k in g}.values()) == 1 for g in groups.values())
+
+
 def test_near_dedup_in_large_groups(spark):
     rng = random.Random(9)
     base = [f"w{rng.randint(0, 9999)}" for _ in range(150)]
