@@ -3,10 +3,12 @@
 A BPE encoding is the one sequence of tokens in which every neighbouring pair encodes to
 itself, so the last token of every prefix follows from the last tokens of shorter prefixes.
 The transducer reads a piece byte by byte. A state holds the starts from which a longer token
-may still come (the rest of the piece is a proper prefix of some token) and, for each, the
-tokens not yet emitted; what all of them share is emitted at once, so the lookahead is bounded
-by the longest token. States and moves are made when first met (lazy determinisation) and the
-table starts anew beyond MAX_STATES, so memory is bounded too.
+may still come (the rest of the piece is a proper prefix of some token) with the last token
+before each; a move tells the last token of the prefix read. Tokens are settled where all open
+starts agree on them, at most the longest token's bytes after their end, and are emitted at a
+piece's end or every LOOKAHEAD bytes. States and moves are made when first met (lazy
+determinisation) and the table starts anew beyond MAX_MOVES, so memory is bounded too. A merge is
+taken to rank above the merges that made its parts, as in any trained vocabulary.
 
 Rows: null text counts as empty, an empty text has no tokens, ties and repeated rows are encoded
 alike, texts of any length stream through in linear time, other columns are kept (an existing
@@ -17,8 +19,11 @@ from __future__ import annotations
 
 import base64
 import gc
+import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,8 +31,9 @@ from pyspark.sql import types as T
 
 from strandfold.llm import words as W
 
-MAX_STATES = 60_000
-MAX_PIECES = 400_000
+MAX_MOVES = 600_000
+MAX_PIECES = 250_000
+LOOKAHEAD = 4096
 NEVER = 1 << 60
 NO_KIDS: dict[int, int] = {}
 CHUNK_BYTES = 2 << 20
@@ -40,18 +46,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Encodes one piece at a time."""
+    """Encodes one piece at a time.
+
+    A trie of the tokens with failure links tells the longest start still open (its node) and, through
+    the links, all shorter ones. A state is that node with the last token before each open start and
+    before the place itself; a move reads a byte and tells the last token of the prefix read so far.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
+        self.size = {i: len(b) for b, i in ranks.items()}
         self.made_of: dict[int, list[bytes]] = {}
         self.spines: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        #: A trie of the tokens: the nodes that each node's bytes lead to, and the token that ends there or -1.
+        self.fits: dict[int, bool] = {}
+        self._trie()
+        self._reset()
+
+    def _trie(self) -> None:
+        """The nodes that each node's bytes lead to, the token that ends there or -1, the node of the longest proper suffix."""
         self.kids: list[dict[int, int]] = [{}]
-        self.ends = [-1]
-        for text, t in ranks.items():
+        self.ends, depth, order = [-1], [0], []
+        for text, t in self.ranks.items():
             node = 0
             for byte in text:
                 below = self.kids[node].get(byte)
@@ -62,21 +78,61 @@ class Transducer:
                     self.kids[node][byte] = below
                     self.kids.append(NO_KIDS)
                     self.ends.append(-1)
+                    depth.append(depth[node] + 1)
                 node = below
             self.ends[node] = t
-        self._reset()
+        self.shorter, order = [0] * len(self.kids), [0]
+        for node in order:
+            for byte, below in self.kids[node].items():
+                self.shorter[below] = self._below(self.shorter[node], byte) if node else 0
+                order.append(below)
+        self.depth = depth
+        self.open: dict[int, dict[int, int]] = {}
+        self.edges: dict[int, tuple[int, list[tuple[int, int]], list[int]]] = {}
+
+    def _below(self, node: int, byte: int) -> int:
+        """The longest node that ends in this byte after a suffix of the node."""
+        while True:
+            below = self.kids[node].get(byte)
+            if below is not None or not node:
+                return below or 0
+            node = self.shorter[node]
+
+    def _open(self, node: int) -> dict[int, int]:
+        """How far back the starts lie from which a longer token may come, the furthest first, with their places in a state; 0 is always one."""
+        if node not in self.open:
+            far, at = [], node
+            while at:
+                if self.kids[at]:
+                    far.append(self.depth[at])
+                at = self.shorter[at]
+            self.open[node] = {d: k for k, d in enumerate([*far, 0])}
+        return self.open[node]
+
+    def _edge(self, node: int, byte: int) -> tuple[int, list[tuple[int, int]], list[int]]:
+        """(next node, tokens that may end after the byte, longest first, each with the place of what stands before it, places that stay)."""
+        key = node << 8 | byte
+        if key not in self.edges:
+            below, here = self._below(node, byte), self._open(node)
+            ends, at = [], below
+            while at:
+                t = self.ends[at]
+                if t >= 0 and len(self.halves(t)) <= 2:
+                    ends.append((t, here[self.depth[at] - 1]))
+                at = self.shorter[at]
+            self.edges[key] = below, ends, [here[d - 1] for d in self._open(below) if d]
+        return self.edges[key]
 
     def _reset(self) -> None:
         self.states: dict[tuple, int] = {}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
         self.held: list[tuple] = []
-        self._state(((0, (), -1),))
+        self.moves: dict[int, int] = {}
+        self._state((0, -1))
 
     def _state(self, key: tuple) -> int:
         if key not in self.states:
             self.states[key] = len(self.held)
             self.held.append(key)
-            self.moves.append({})
         return self.states[key]
 
     def merged(self, piece: bytes) -> list[bytes]:
@@ -97,93 +153,130 @@ class Transducer:
 
     def spine(self, t: int, side: int) -> list[tuple[bytes, int]]:
         """What stands at one end of token t while it is made, each with the rank of the merge that takes it up."""
-        if (t, side) not in self.spines:
-            out, taken = [], NEVER
+        known = self.spines.get((t, side))
+        if known is None:
+            known, top, taken = [], t, NEVER
             while True:
-                out.append((self.token[t], taken))
+                known.append((self.token[t], taken))
                 parts = self.halves(t)
                 if len(parts) == 1:
                     break
                 t, taken = self.ranks[parts[side]], t
-            self.spines[self.ranks[out[0][0]], side] = out
-            return out
-        return self.spines[t, side]
+            self.spines[top, side] = known
+        return known
 
     def _fits(self, a: int, b: int) -> bool:
-        """Whether tokens a and b side by side stay apart: no merge over their border comes before the merges that take its sides up."""
-        if a < 0:
-            return True
-        known = self.fits.get((a, b))
+        """Whether tokens a and b side by side stay apart: no merge over their border comes before the merges that take its sides up.
+
+        A merge ranks above the merges that made its sides, so it suffices to look at sides that stand
+        there at the same time: the two ends are taken apart, the later merge first.
+        """
+        key = a << 20 | b
+        known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 20 * MAX_STATES:
+            left, right, rank = self.spine(a, -1), self.spine(b, 0), self.ranks.get
+            i = j = 0
+            while True:
+                (x, x_taken), (y, y_taken) = left[i], right[j]
+                m = rank(x + y)
+                if m is not None and m < x_taken and m <= y_taken:
+                    known = False
+                    break
+                before = left[i + 1][1] if i + 1 < len(left) else -1
+                after = right[j + 1][1] if j + 1 < len(right) else -1
+                if before < 0 and after < 0:
+                    known = True
+                    break
+                if before > after:
+                    i += 1
+                else:
+                    j += 1
+            if len(self.fits) > MAX_MOVES:
                 self.fits.clear()
-            rank = self.ranks.get
-            known = self.fits[a, b] = not any(
-                (m := rank(x + y)) is not None and m < x_taken and m <= y_taken
-                for x, x_taken in self.spine(a, -1)
-                for y, y_taken in self.spine(b, 0)
-            )
+            self.fits[key] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """A state has (trie node of the bytes since a start, tokens not emitted before it, token before it) for each start."""
-        here, kept = None, []
-        for node, chain, before in self.held[state]:
-            below = self.kids[node].get(byte)
-            if below is not None:
-                t = self.ends[below]
-                if here is None and t >= 0 and len(self.halves(t)) <= 2 and self._fits(before, t):
-                    here, last = (*chain, t), t
-                if self.kids[below]:
-                    kept.append((below, chain, before))
-        if here is None:
+    def _move(self, state: int, byte: int) -> int:
+        """The next state and, in the low bits, the last token up to here."""
+        held = self.held[state]
+        below, ends, stay = self._edge(held[0], byte)
+        for t, k in ends:
+            before = held[k + 1]
+            if before < 0 or self._fits(before, t):
+                break
+        else:
             raise ValueError("the vocabulary can't spell this piece")
-        kept.append((0, here, last))
-        done = 0
-        while len(chain := kept[0][1]) > done and all(len(c) > done and c[done] == chain[done] for _, c, _ in kept):
-            done += 1
-        if done:
-            kept = [(n, c[done:], x) for n, c, x in kept]
-        return self._state(tuple(kept)), here[:done]
-
-    def encode(self, piece: bytes) -> tuple[int, ...]:
+        after = self._state((below, *[held[k + 1] for k in stay], t))
+        made = self.moves[state << 8 | byte] = after << 20 | t
+        return made
+
+    def encode(self, piece: bytes) -> list[int]:
         """The piece's ids."""
         known = self.ranks.get(piece)
         if known is not None:
-            return (known,)
-        if len(self.held) > MAX_STATES:
+            return [known]
+        if len(self.moves) > MAX_MOVES:
             self._reset()
-        state, out = 0, []
+        if len(piece) > LOOKAHEAD:
+            return self._long(piece)
+        state, last, moves = 0, [], self.moves
         for byte in piece:
-            move = self.moves[state].get(byte)
+            move = moves.get(state << 8 | byte)
             if move is None:
-                move = self.moves[state][byte] = self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-        out += self.held[state][-1][1]
-        return tuple(out)
+                move = self._move(state, byte)
+            state = move >> 20
+            last.append(move & 0xFFFFF)
+        return self._back(last, len(last))
+
+    def _back(self, last: list[int], at: int) -> list[int]:
+        """The tokens up to a place, told by the last token of each prefix."""
+        out = []
+        while at > 0:
+            out.append(last[at - 1])
+            at -= self.size[last[at - 1]]
+        out.reverse()
+        return out
+
+    def _long(self, piece: bytes) -> list[int]:
+        """The same with bounded memory: every LOOKAHEAD bytes, what all open starts agree on is emitted."""
+        state, last, out = 0, [], []
+        for byte in piece:
+            move = self.moves.get(state << 8 | byte)
+            if move is None:
+                move = self._move(state, byte)
+            state = move >> 20
+            last.append(move & 0xFFFFF)
+            if len(last) >= 2 * LOOKAHEAD:
+                places = {len(last) - d for d in self._open(self.held[state][0])}
+                while len(places) > 1:  # the furthest place steps back by its token until all have met
+                    furthest = max(places)
+                    places.remove(furthest)
+                    places.add(furthest - self.size[last[furthest - 1]])
+                at = places.pop()
+                out += self._back(last, at)
+                last = last[at:]
+        return out + self._back(last, len(last))
 
 
 class Encoder(dict):
-    """Pieces and their ids, remembered while there is room."""
+    """Pieces and their ids. Beyond MAX_PIECES those not met since the last clearing go."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer, self.split = Transducer(ranks), regex.compile(pattern).findall
+        self.transducer, self.split, self.older = Transducer(ranks), regex.compile(pattern).findall, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.transducer.encode(piece.encode())
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.transducer.encode(piece.encode())
         if len(piece) <= 64:
             if len(self) >= MAX_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for ids in map(self.__getitem__, self.split(text)):
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self.__getitem__, self.split(text))))
 
 
 def _utf8_moves() -> dict[str, list[str]]:
@@ -221,7 +314,8 @@ class Decoder:
     def __init__(self, tokens: dict[int, bytes]):
         self.tokens, self.waiting = tokens, b""
 
-    def feed(self, ids: Iterable[int]) -> str:
+    def feed_bytes(self, ids: Iterable[int]) -> bytes:
+        """The finished characters as UTF-8."""
         data = self.waiting + b"".join(map(self.tokens.__getitem__, ids))
         whole = len(data)
         for start in range(len(data) - 1, max(-1, len(data) - 4), -1):  # the last character begins here at the earliest
@@ -231,30 +325,41 @@ class Decoder:
                     state = self.MOVES[state][b] if state != "bad" else "bad"
                 whole = len(data) if state in ("ok", "bad") else start
                 break
-        self.waiting = data[whole:]
-        return data[:whole].decode("utf-8", "replace")
+        self.waiting, data = data[whole:], data[:whole]
+        try:
+            data.decode()
+        except UnicodeDecodeError:
+            return data.decode("utf-8", "replace").encode()
+        return data
 
-    def end(self) -> str:
-        rest, self.waiting = self.waiting.decode("utf-8", "replace"), b""
+    def feed(self, ids: Iterable[int]) -> str:
+        return self.feed_bytes(ids).decode()
+
+    def end_bytes(self) -> bytes:
+        rest, self.waiting = self.waiting.decode("utf-8", "replace").encode(), b""
         return rest
 
+    def end(self) -> str:
+        return self.end_bytes().decode()
 
 
-def _coders(shared, pattern: str) -> tuple[Encoder, dict[int, bytes]]:
-    """This worker's encoder for a broadcast vocabulary."""
+def _coders(shared) -> tuple[Encoder, dict[int, bytes]]:
+    """This worker's encoder for a broadcast vocabulary and its pattern."""
     if shared.id not in getattr(_coders, "made", {}):
-        _coders.made = {shared.id: (Encoder(shared.value[0], pattern), shared.value[1])}
+        _coders.made = {shared.id: (Encoder(shared.value[0], shared.pattern), shared.value[1])}
         gc.freeze()  # the tables hold many small tuples and no cycles
         gc.set_threshold(200_000)
     return _coders.made[shared.id]
 
 
 class _Vocabulary:
-    """A broadcast vocabulary (its file has a fixed size) under a name that workers can remember it by."""
+    """A broadcast vocabulary (its file has a fixed size) under a name, of its content and pattern, that workers remember it by."""
 
-    def __init__(self, spark, path: str):
+    def __init__(self, spark, path: str, pattern: str = ""):
         ranks = read_ranks(path)
-        self.shared, self.id = spark.sparkContext.broadcast((ranks, {i: b for b, i in ranks.items()})), path
+        self.shared, self.pattern = spark.sparkContext.broadcast((ranks, {i: b for b, i in ranks.items()})), pattern
+        told = repr((sorted(ranks.items()), pattern)).encode()
+        self.id = hashlib.sha256(told).hexdigest()
 
     @property
     def value(self):
@@ -268,17 +373,17 @@ def _with(df: DataFrame, names: dict[str, T.DataType]) -> T.StructType:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """df with the array<int> column ids of each whole text and, if a name is given, the bytes that the ids decode to."""
-    vocabulary = _Vocabulary(df.sparkSession, path)
+    vocabulary = _Vocabulary(df.sparkSession, path, pattern)
     schema = _with(df, {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.BinaryType()} if decoded else {}))
     kept = [f.name for f in schema.fields if f.name not in (ids, decoded)]
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tokens = _coders(vocabulary, pattern)
+        encoder, tokens = _coders(vocabulary)
         for batch in batches:
             texts = W.as_strings(batch.column(text))
             for lo, hi in W.chunks(W.raw(texts)[1], CHUNK_BYTES):
                 out = [encoder.encode(t) for t in texts[lo:hi].to_pylist()]
-                columns = [batch.column(n).slice(lo, hi - lo) for n in kept] + [pa.array(out, pa.list_(pa.int32()))]
+                columns = [batch.column(n).slice(lo, hi - lo) for n in kept] + [_lists(out)]
                 if decoded:
                     columns.append(pa.array([_decoded(tokens, x) for x in out], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, *([decoded] if decoded else [])])
@@ -286,9 +391,16 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     return df.mapInArrow(job, schema)
 
 
+def _lists(rows: list[list[int]]) -> pa.Array:
+    """Rows of ids as one list column."""
+    sizes = np.fromiter(map(len, rows), np.int32, len(rows))
+    flat = np.fromiter(chain.from_iterable(rows), np.int32, int(sizes.sum()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+
+
 def _decoded(tokens: dict[int, bytes], ids: list[int], step: int = 1 << 16) -> bytes:
     decoder = Decoder(tokens)
-    return "".join([*(decoder.feed(ids[i : i + step]) for i in range(0, len(ids), step)), decoder.end()]).encode()
+    return b"".join([*(decoder.feed_bytes(ids[i : i + step]) for i in range(0, len(ids), step)), decoder.end_bytes()])
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
