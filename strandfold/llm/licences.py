@@ -1,15 +1,16 @@
-"""License scans: lines of documents against licence templates, by Dice over word bigrams; DataFrame operations only.
-
-Texts are normalised (lower case; every run of other than letters and digits is one blank). A unit
-is a line of a document, or a whole document of at most as many bytes as the longest template can
-need. Dice = 2 |A and B| / (|A| + |B|) over the sets of word bigrams, so only templates with
-d / (2 - d) * |B| <= |A| <= (2 - d) / d * |B| can reach d: units outside the bounds of all templates
-go by their length before any bigram is made, and each unit is held only against templates whose
-bounds it meets.
-
-Rows: null and empty texts, and units of fewer than two words, match nothing; ties stay, as each
-licence has its own row; repeated rows of an id are one document; very long texts are scanned line
-by line; an empty table gives an empty table; other columns are not read.
+"""License scans: passages of documents against licence templates, by Dice over word bigrams; DataFrame operations only.
+
+Texts are normalised as a whole (lower case; every run of other than letters and digits is one blank,
+so line ends and comment marks split nothing). A passage is a window of the text's bigrams that begins at
+a bigram of the template and is STRETCHES times as long as the template, cut at the text's end.
+Dice = 2 |A and B| / (|A| + |B|) over the sets of bigrams of passage and template. It can reach d only if
+|A and B| >= d / (2 - d) * |B|, so a template is held only against documents with so many of its bigrams,
+and windows are cut only in those. Windows that match and begin at most half a template apart are one
+passage.
+
+Rows: null and empty texts, and texts of fewer than two words, match nothing; ties stay, as each
+licence has its own row; the passages of rows that repeat an id add up; very long texts are scanned
+whole; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DICE = 0.8
-MOST_WORD_BYTES = 40
+STRETCHES = (0.75, 1.0, 1.3)
 
 #: Notices and first paragraphs of public licences.
 TEMPLATES = {
@@ -33,57 +34,89 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "MIT-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-full": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-full": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
 }
 
 
+def words_of(text: str) -> list[str]:
+    """A template's words, as the columns have them."""
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
 def bigrams_of(text: str) -> list[str]:
-    """A template's bigrams, as the columns have them."""
-    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    """A template's distinct bigrams."""
+    words = words_of(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+def _lengths(text: str) -> list[int]:
+    """How many bigrams a passage may have."""
+    return sorted({max(1, round(x * (len(words_of(text)) - 1))) for x in STRETCHES})
+
+
+def _made(value: Column, name: str) -> Column:
+    """A value computed once, however often it is used: optimiser rules don't copy what a generator puts out."""
+    return F.explode(F.array(value)).alias(name)
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, dice: float = DICE) -> DataFrame:
-    """(doc_id, licence, n_units, dice) per document and licence with a unit of at least that Dice; dice is the greatest."""
-    made = {k: bigrams_of(v) for k, v in (templates or TEMPLATES).items()}
-    low, high = dice / (2 - dice), (2 - dice) / dice
-    least, most = min(low * len(b) for b in made.values()), max(high * len(b) for b in made.values())
+    """(doc_id, licence, n_passages, dice) per document and licence with a passage of at least that Dice; dice is the greatest."""
+    given = templates or TEMPLATES
+    made = {k: bigrams_of(v) for k, v in given.items()}
+    need = {k: dice / (2 - dice) * len(b) for k, b in made.items()}
+    every = F.array(*map(F.lit, sorted(set().union(*made.values()))))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    whole = F.when(F.octet_length("text") <= int(most + 1) * MOST_WORD_BYTES, F.array("text")).otherwise(F.array().cast("array<string>"))
-    units = rows.select("doc_id", F.explode(F.array_distinct(F.concat(F.split("text", "\n"), whole))).alias("unit"))
-    words = units.where(F.octet_length("unit") <= int(most + 1) * MOST_WORD_BYTES).select("doc_id", _words(F.col("unit")).alias("words"))
+    words = rows.select("doc_id", _made(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " "), "words"))
     n = F.greatest(F.size("words") - 1, F.lit(0))
-    pairs = F.array_distinct(F.zip_with(F.slice("words", 1, n), F.slice("words", 2, n), lambda a, b: F.concat_ws(" ", a, b)))
-    sized = words.where(F.size("words") >= 2).select("doc_id", pairs.alias("pairs")).where(F.size("pairs").between(least, most))
-    each = []
-    for name, bigrams in made.items():
-        value = 2.0 * F.size(F.array_intersect("pairs", F.array(*map(F.lit, bigrams)))) / (F.size("pairs") + len(bigrams))
-        inside = F.size("pairs").between(low * len(bigrams), high * len(bigrams))
-        each.append(F.struct(F.lit(name).alias("licence"), F.when(inside, value).otherwise(0.0).alias("dice")))
-    met = sized.select("doc_id", F.explode(F.filter(F.array(*each), lambda x: x["dice"] >= dice)).alias("m"))
-    return met.groupBy("doc_id", "m.licence").agg(F.count(F.lit(1)).alias("n_units"), F.max("m.dice").alias("dice"))
+    grams = words.select("doc_id", _made(F.zip_with(F.slice("words", 1, n), F.slice("words", 2, n), lambda a, b: F.concat_ws(" ", a, b)), "grams"))
+    known = grams.select("doc_id", "grams", _made(F.array_intersect("grams", every), "known")).where(F.size("known") >= min(need.values()))
+    able = F.array(*[
+        F.struct(
+            F.lit(k).alias("licence"), F.array(*map(F.lit, b)).alias("bigrams"), F.lit(need[k]).alias("need"),
+            F.array(*map(F.lit, _lengths(given[k]))).alias("lengths"), F.lit((len(words_of(given[k])) - 1) // 2).alias("apart"),
+        )
+        for k, b in made.items()
+    ])
+    pairs = known.select("doc_id", "grams", "known", F.explode(able).alias("t")).select("*", _made(F.array_intersect("known", "t.bigrams"), "own"))
+    pairs = pairs.where(F.size("own") >= F.col("t.need"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("grams")), lambda i: F.array_contains("own", F.element_at("grams", i)))
+
+    def best(start: Column) -> Column:
+        def of_length(length: Column) -> Column:
+            passage = F.array_distinct(F.slice("grams", start, length))
+            return 2.0 * F.size(F.array_intersect(passage, F.col("t.bigrams"))) / (F.size(passage) + F.size("t.bigrams"))
+
+        return F.struct(start.alias("start"), F.array_max(F.transform("t.lengths", of_length)).alias("dice"))
+
+    met = pairs.select("doc_id", "t.licence", "t.apart", _made(F.filter(F.transform(starts, best), lambda x: x["dice"] >= dice), "met")).where(F.size("met") > 0)
+    first = F.filter("met", lambda x, k: (k == 0) | (x["start"] - F.get(F.col("met"), k - 1)["start"] > F.col("apart")))
+    told = met.select("doc_id", "licence", F.size(first).cast("long").alias("n"), F.array_max(F.transform("met", lambda x: x["dice"])).alias("dice"))
+    return told.groupBy("doc_id", "licence").agg(F.sum("n").alias("n_passages"), F.max("dice").alias("dice"))
 
 
 def oracle_sql(templates: dict[str, str] | None = None, dice: float = DICE) -> str:
-    """The same for DuckDB."""
-    made = {k: bigrams_of(v) for k, v in (templates or TEMPLATES).items()}
-    most = int(max((2 - dice) / dice * len(b) for b in made.values()) + 1) * MOST_WORD_BYTES
-    rows = ", ".join("('{}', ['{}'])".format(k, "', '".join(x.replace("'", "''") for x in b)) for k, b in made.items())
+    """The same for DuckDB, by rows of bigrams and joins on their places."""
+    given = templates or TEMPLATES
+    bigrams = ", ".join("('{}', '{}')".format(k, x.replace("'", "''")) for k, v in given.items() for x in bigrams_of(v))
+    sizes = ", ".join(f"('{k}', {len(bigrams_of(v))}, {(len(words_of(v)) - 1) // 2}, {n})" for k, v in given.items() for n in _lengths(v))
     return f"""
-with templates(licence, tb) as (values {rows}),
-units as (
-  select doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)),
-    case when strlen(text) <= {most} then [text] else [] end))) as unit
+with bigrams(licence, g) as (values {bigrams}),
+sizes(licence, b, apart, n) as (values {sizes}),
+texts as (
+  select row_number() over () as r, doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') as w
   from documents where text is not null),
-words as (
-  select doc_id, list_filter(string_split(regexp_replace(lower(unit), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') as w
-  from units where strlen(unit) <= {most}),
-pairs as (
-  select doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as p from words where len(w) >= 2),
-met as (
-  select doc_id, licence, 2.0::double * len(list_intersect(p, tb)) / (len(p) + len(tb)) as dice from pairs, templates
-  where len(p) between {dice / (2 - dice)!r} * len(tb) and {(2 - dice) / dice!r} * len(tb))
-select doc_id, licence, count(*) as n_units, max(dice) as dice from met where dice >= {dice!r} group by all"""
+grams as materialized (
+  select r, doc_id, unnest(range(1, len(w))) as i, unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) as g from texts where len(w) > 1),
+hits as materialized (select r, doc_id, i, licence, g from grams join bigrams using (g)),
+able as (
+  select r, licence from hits join (select distinct licence, b from sizes) using (licence)
+  group by r, licence, b having count(distinct g) >= {dice / (2 - dice)!r} * b),
+windows as (select h.r, h.doc_id, h.licence, h.i, s.b, s.apart, s.n from hits h join able using (r, licence) join sizes s using (licence)),
+inside as (
+  select w.r, w.doc_id, w.licence, w.i, w.b, w.apart, w.n, count(distinct g.g) as a, count(distinct t.g) as h
+  from windows w join grams g on g.r = w.r and g.i between w.i and w.i + w.n - 1 left join bigrams t on t.licence = w.licence and t.g = g.g group by all),
+best as (select r, doc_id, licence, i, apart, max(2.0::double * h / (a + b)) as dice from inside group by all having max(2.0::double * h / (a + b)) >= {dice!r}),
+told as (select *, coalesce(i - lag(i) over (partition by r, licence order by i) > apart, true) as new from best)
+select doc_id, licence, count(*) filter (new) as n_passages, max(dice) as dice from told group by all"""
