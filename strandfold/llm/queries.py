@@ -54,7 +54,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences that lines of the documents match."""
+    """Licences that passages of the documents match."""
     return licences.scan(_read(spark, sf_dir, "documents"))
 
 

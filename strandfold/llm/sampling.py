@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, label, most: int, most_bytes: int, doc_id: str = "doc_id", text: str = "text") -> tuple[pa.Array, list]:
-    """At most `most` (texts, labels), the same at each run: the rows whose hashed ids are least.
+def labelled_rows(docs: DataFrame, label, most: int, most_bytes: int, doc_id: str = "doc_id", text: str = "text") -> pd.DataFrame:
+    """At most `most` rows (doc_id, text, label), the same at each run: those whose hashed ids are least.
 
     docs holds the label as Column `label`; rows with a null label or text, and texts of over
     most_bytes bytes, are left out. So at most most * most_bytes bytes come to the driver.
@@ -18,7 +19,12 @@ def labelled_sample(docs: DataFrame, label, most: int, most_bytes: int, doc_id:
     order = F.xxhash64("doc_id", F.lit(11))
     picked = rows.select(order.alias("at"), "doc_id").orderBy("at", "doc_id").limit(most).agg(F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
     last = picked.first()["last"]
-    got = rows.where(order <= F.lit(last)).orderBy(order, "doc_id", "text").limit(most).select("text", "label").toPandas() if last is not None else None
-    if got is None:
-        return pa.array([], pa.large_string()), []
-    return pa.array(got["text"].tolist(), pa.large_string()), got["label"].tolist()
+    if last is None:
+        return pd.DataFrame({"doc_id": [], "text": [], "label": []})
+    return rows.where(order <= F.lit(last)).orderBy(order, "doc_id", "text").limit(most).select("doc_id", "text", "label").toPandas()
+
+
+def labelled_sample(docs: DataFrame, label, most: int, most_bytes: int, doc_id: str = "doc_id", text: str = "text") -> tuple[pa.Array, list]:
+    """(texts, labels) of those rows."""
+    rows = labelled_rows(docs, label, most, most_bytes, doc_id, text)
+    return pa.array(rows["text"].tolist(), pa.large_string()), rows["label"].tolist()

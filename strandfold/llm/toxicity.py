@@ -1,19 +1,21 @@
 """Toxicity by votes of the nearest labelled examples under exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled rows (SAMPLE rows of at most SAMPLE_BYTES bytes), of which
-rows that share a shingle among their least few count once, so copies don't vote again. Terms are
-words of letters, digits and bytes above 0x7F (A-Z as a-z) that mark label 1: their share of examples
-of label 1 exceeds that of label 0 by Z standard errors. Document frequencies are counted over all
-documents. The index is inverted and cut into blocks of BLOCK examples; each term holds its greatest
-weight in every block. A query reads the FIRST blocks of greatest upper bound, then only those whose
-bound is not below its k-th best cosine so far, so the K neighbours are exact. Their votes are
-weighted by cosine; an isotonic fit on the examples' own leave-one-out votes turns the share of
-votes into a probability. The neighbours are returned as evidence.
+Examples are a bounded sample of labelled rows (SAMPLE rows of at most SAMPLE_BYTES bytes); rows of one
+label whose least LEAST_SHINGLES shingles are equal are copies and vote once. Terms are all words of
+letters, digits and bytes above 0x7F (A-Z as a-z) that any example holds; none is left out. A term weighs
+(1 + log tf) * idf * rf: idf from document frequencies counted over all documents, and rf, the relevance
+frequency log2(2 + a / max(1, c)) of its a examples of label 1 and c others, which is at least 1. The
+index is inverted and cut into blocks of BLOCK examples, like ones (by the nearest of PIVOTS examples)
+side by side; each term holds its greatest weight in every block that it comes in. A query reads the
+FIRST blocks of greatest upper bound, then only those whose bound is not below its k-th best cosine so
+far, so the K neighbours are exact. Their votes are weighted by cosine; an isotonic fit on the examples'
+own leave-one-out votes turns the share of votes into a probability. The neighbours are returned as
+evidence, by the doc_id of the example.
 
 Rows: null and empty texts, and texts without any of the terms, have no neighbours and get the share
 of label 1 among such examples; ties between neighbours go to the example that comes first; repeated
 rows are alike; texts of any length are read whole; an empty table gives an empty table; other
-columns are kept, existing ones named score or evidence are replaced. Without labelled rows every
+columns are kept, existing ones of the two output names are replaced. Without labelled rows every
 score is 0.
 """
 
@@ -29,12 +31,12 @@ from pyspark.sql import types as T
 
 from strandfold.llm import words as W
 from strandfold.llm.quality import _KIND
-from strandfold.llm.sampling import labelled_sample
+from strandfold.llm.sampling import labelled_rows
 
-SAMPLE, SAMPLE_BYTES = 8000, 1 << 14
-BLOCK, FIRST, K = 64, 4, 15
-Z, LEAST, MOST_TERMS = 4.0, 3, 4096
+SAMPLE, SAMPLE_BYTES = 4000, 1 << 14
+BLOCK, FIRST, PIVOTS, K = 64, 4, 32, 15
 LEAST_SHINGLES = 4
+NONE = np.empty(0, np.int64)
 
 
 def terms(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,73 +53,115 @@ def terms(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code, np.searchsorted(at[keep], offsets)
 
 
-def _bags(texts: pa.Array, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Each text's (numbers of known terms, counts); known: sorted codes."""
+def _counted(texts: pa.Array, known: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunk by chunk: (number of texts, numbers of their known terms, counts, n + 1 bounds of the texts among them); known: sorted codes."""
     body, offsets = W.raw(texts)
     for lo, hi in W.chunks(offsets):
         code, bounds = terms(body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         at = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
-        hit = np.flatnonzero(known[at] == code) if len(known) else np.empty(0, np.int64)
-        edges = np.searchsorted(hit, bounds)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            yield np.unique(at[hit[a:b]], return_counts=True) if b > a else (np.empty(0, np.int64), np.empty(0, np.int64))
+        hit = np.flatnonzero(known[at] == code) if len(known) else NONE
+        owner = np.repeat(np.arange(hi - lo, dtype=np.int64), np.diff(bounds))[hit]
+        key, counts = np.unique(owner << 32 | at[hit], return_counts=True)
+        yield hi - lo, key & 0xFFFFFFFF, counts, np.searchsorted(key >> 32, np.arange(hi - lo + 1))
+
+
+def _bags(texts: pa.Array, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's (numbers of known terms, counts)."""
+    for n, numbers, counts, bounds in _counted(texts, known):
+        for a, b in zip(bounds[:n].tolist(), bounds[1:].tolist(), strict=True):
+            yield numbers[a:b], counts[a:b]
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one after another, and the ranges' sizes."""
+    sizes = end - start
+    return np.arange(sizes.sum()) + np.repeat(start - (np.cumsum(sizes) - sizes), sizes), sizes
 
 
 class Index:
-    """Block-max inverted index of unit TF-IDF vectors. postings[t]: (examples, weights) in order; block_max: terms x blocks."""
+    """Block-max inverted index of unit vectors.
 
-    def __init__(self, known: np.ndarray, idf: np.ndarray, bags: list, labels: np.ndarray):
-        self.known, self.idf, self.labels = known, idf, labels
+    Term t has entries edge[t] to edge[t + 1], one for each block it comes in: block, its greatest weight
+    there (most) and where its postings (place of an example, weight) begin.
+    """
+
+    def __init__(self, known: np.ndarray, factor: np.ndarray, bags: list, labels: np.ndarray, ids: list | None = None):
+        self.known, self.factor, self.labels = known, factor, labels
+        self.ids = list(range(len(bags))) if ids is None else ids
         self.n = len(bags)
         self.blocks = -(-max(self.n, 1) // BLOCK)
-        self.block_max = np.zeros((len(known), self.blocks))
-        lists: list[tuple[list, list]] = [([], []) for _ in known]
         self.vectors = [self.vector(*bag) for bag in bags]
-        for i, (numbers, weights) in enumerate(self.vectors):
-            for t, w in zip(numbers.tolist(), weights.tolist(), strict=True):
-                lists[t][0].append(i)
-                lists[t][1].append(w)
-            self.block_max[numbers, i // BLOCK] = np.maximum(self.block_max[numbers, i // BLOCK], weights)
-        self.postings = [(np.array(a, np.int64), np.array(b)) for a, b in lists]
-        self.block_of = [a // BLOCK for a, _ in self.postings]
+        own = np.repeat(np.arange(self.n), [len(v[0]) for v in self.vectors])
+        term = np.concatenate([NONE, *[v[0] for v in self.vectors]])
+        weight = np.concatenate([np.empty(0), *[v[1] for v in self.vectors]])
+        #: The example at each place and the place of each example.
+        self.example = self._order(own, term, weight)
+        self.place_of = np.empty(self.n, np.int64)
+        self.place_of[self.example] = np.arange(self.n)
+        place = self.place_of[own]
+        order = np.lexsort((place, term))
+        self.place, self.weight, term = place[order].astype(np.int32), weight[order], term[order]
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (self.place[1:] // BLOCK != self.place[:-1] // BLOCK)
+        begin = np.flatnonzero(new)
+        self.start = np.append(begin, len(term))
+        self.block = (self.place[begin] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.empty(0)
+        self.edge = np.searchsorted(term[begin], np.arange(len(known) + 1))
         self.steps, self.shares, self.empty = np.zeros(1), np.zeros(1), 0.0
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "vectors"}  # the postings tell them
+
+    def _order(self, own: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The examples so that those nearest to one pivot are side by side."""
+        best, nearest = np.zeros(self.n), np.full(self.n, -1)
+        for k, pivot in enumerate(np.unique(np.linspace(0, self.n - 1, PIVOTS).astype(int)) if self.n else NONE):
+            dense = np.zeros(len(self.known))
+            dense[self.vectors[pivot][0]] = self.vectors[pivot][1]
+            cosine = np.bincount(own, dense[term] * weight, self.n)
+            nearer = cosine > best
+            best[nearer], nearest[nearer] = cosine[nearer], k
+        return np.argsort(nearest, kind="stable")
+
     def vector(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(np.maximum(counts, 1))) * self.idf[numbers]
+        w = (1 + np.log(np.maximum(counts, 1))) * self.factor[numbers]
         norm = np.sqrt((w * w).sum())
         return (numbers, w / norm) if norm > 0 else (numbers[:0], w[:0])
 
     def nearest(self, numbers: np.ndarray, weights: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine above 0, best first, and their cosines."""
-        bounds = weights @ self.block_max[numbers]
+        entries, sizes = _ranges(self.edge[numbers], self.edge[numbers + 1])
+        weights, block = np.repeat(weights, sizes), self.block[entries]
+        bounds = np.bincount(block, self.most[entries] * weights, self.blocks)
         first = np.zeros(self.blocks, bool)
         first[np.argsort(-bounds, kind="stable")[:FIRST]] = True
-        ids, cosines = self._best(self._sums(numbers, weights, first, without), k)
+        ids, cosines = self._best(self._sums(entries, weights, first[block], without), k)
         least = cosines[-1] - 1e-12 if len(cosines) == k else 0.0
         rest = ~first & (bounds > 0) & (bounds >= least)
         if rest.any():
-            more, also = self._best(self._sums(numbers, weights, rest, without), k)
+            more, also = self._best(self._sums(entries, weights, rest[block], without), k)
             ids, cosines = np.append(ids, more), np.append(cosines, also)
             order = np.lexsort((ids, -cosines))[:k]
             ids, cosines = ids[order], cosines[order]
         return ids, cosines
 
-    def _sums(self, numbers: np.ndarray, weights: np.ndarray, blocks: np.ndarray, without: int) -> np.ndarray:
-        """Cosines with the examples of some blocks, 0 for the others."""
-        out = np.zeros(self.blocks * BLOCK)
-        for t, w in zip(numbers.tolist(), weights.tolist(), strict=True):
-            ids, values = self.postings[t]
-            read = blocks[self.block_of[t]]
-            out[ids[read]] += w * values[read]
+    def _sums(self, entries: np.ndarray, weights: np.ndarray, read: np.ndarray, without: int) -> np.ndarray:
+        """Cosines by place with the examples of some entries' blocks, 0 for the others."""
+        entries = entries[read]
+        postings, sizes = _ranges(self.start[entries], self.start[entries + 1])
+        out = np.bincount(self.place[postings], self.weight[postings] * np.repeat(weights[read], sizes), self.n)
         if without >= 0:
-            out[without] = 0
+            out[self.place_of[without]] = 0
         return out
 
-    @staticmethod
-    def _best(cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _best(self, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         some = np.flatnonzero(cosines)
-        order = some[np.lexsort((some, -cosines[some]))[:k]]
-        return order, cosines[order]
+        if len(some) > k:
+            some = some[cosines[some] >= np.partition(cosines[some], -k)[-k]]
+        ids = self.example[some]
+        order = np.lexsort((ids, -cosines[some]))[:k]
+        return ids[order], cosines[some[order]]
 
     def share(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         """Label 1's part of the votes, one vote of the base rate added."""
@@ -144,96 +188,102 @@ class Index:
     def probability(self, share: float) -> float:
         return float(np.interp(share, self.steps, self.shares))
 
+    def score(self, bag: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+        """(probability, neighbours, cosines) of a text's terms and counts."""
+        numbers, weights = self.vector(*bag)
+        if not len(numbers):
+            return self.empty, NONE, np.empty(0)
+        ids, cosines = self.nearest(numbers, weights)
+        return self.probability(self.share(ids, cosines)), ids, cosines
+
 
-def _distinct(texts: pa.Array) -> list[int]:
-    """Rows but those that share one of their least shingles with an earlier row."""
-    seen: set[int] = set()
+def _distinct(texts: pa.Array, labels: list) -> list[int]:
+    """Rows but those whose least shingles and label are those of an earlier row."""
+    seen: set[tuple] = set()
     out = []
     i = 0
     for _, _, codes, bounds in W.word_codes(texts):
         for s in W.shingle_sets(codes, bounds):
-            least = set(s[:LEAST_SHINGLES].tolist())
-            if not least & seen:
+            key = (labels[i] > 0, s[:LEAST_SHINGLES].tobytes())
+            if key not in seen:
                 out.append(i)
-            seen |= least
+            seen.add(key)
             i += 1
     return out
 
 
-def choose_terms(texts: pa.Array, labels: np.ndarray) -> np.ndarray:
-    """Sorted codes of the terms that mark label 1."""
-    body, offsets = W.raw(texts)
-    per = []
-    for lo, hi in W.chunks(offsets):
-        code, bounds = terms(body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        per += [np.unique(code[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    ones, zeros = [x for x, y in zip(per, labels, strict=True) if y], [x for x, y in zip(per, labels, strict=True) if not y]
-    if not ones or not zeros:
-        return W.EMPTY
-    codes, d1 = np.unique(np.concatenate(ones), return_counts=True)
-    other, d0 = np.unique(np.concatenate(zeros), return_counts=True)
-    at = np.minimum(np.searchsorted(other, codes), max(len(other) - 1, 0))
-    d0 = np.where(other[at] == codes, d0[at], 0) if len(other) else np.zeros(len(codes), int)
-    p1, p0, p = d1 / len(ones), d0 / len(zeros), (d1 + d0) / len(per)
-    z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / len(ones) + 1 / len(zeros)) + 1e-12)
-    good = np.flatnonzero((z >= Z) & (d1 >= LEAST))
-    return np.sort(codes[good[np.argsort(-z[good], kind="stable")[:MOST_TERMS]]])
+def relevance(bags: list, labels: np.ndarray, n: int) -> np.ndarray:
+    """log2(2 + a / max(1, c)) of each of n terms: a examples of label 1 and c others hold it."""
+    held = [np.bincount(np.concatenate([NONE, *[b[0] for b, y in zip(bags, labels, strict=True) if (y > 0) == one]]), minlength=n) for one in (True, False)]
+    return np.log2(2 + held[0] / np.maximum(1, held[1]))
 
 
 def _frequencies(docs: DataFrame, known: np.ndarray, text: str) -> tuple[np.ndarray, int]:
     """In how many of all documents each known term comes, and how many documents there are."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, n = np.zeros(len(known), np.int64), 0
+        known = shared.value
+        sums = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
-            for numbers, _ in _bags(W.as_strings(batch.column(0)), known):
-                sums[numbers] += 1
-            n += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(known))), pa.array(np.append(n, sums))], names=["term", "n"])
+            for n, numbers, _, _ in _counted(W.as_strings(batch.column(0)), known):
+                sums[0] += n
+                sums[1:] += np.bincount(numbers, minlength=len(known))
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some - 1), pa.array(sums[some])], names=["term", "n"])
 
     out = np.zeros(len(known) + 1, np.int64)
-    # One number for each of at most MOST_TERMS terms comes to the driver.
-    for row in docs.select(text).mapInArrow(job, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[row["term"] + 1] = row["n"]
+    # Two numbers for each term of the examples come to the driver, so at most SAMPLE * SAMPLE_BYTES terms.
+    got = docs.select(text).mapInArrow(job, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[got["term"].to_numpy() + 1] = got["n"].to_numpy()
     return out[1:], int(out[0])
 
 
 def train(labelled: DataFrame, label, docs: DataFrame, text: str = "text", most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Index | None:
     """labelled: rows with doc_id and text to learn from; docs: all documents, for the document frequencies."""
-    texts, labels = labelled_sample(labelled, label, most, most_bytes, text=text)
-    if not len(texts):
+    rows = labelled_rows(labelled, label, most, most_bytes, text=text)
+    if not len(rows):
         return None
-    keep = _distinct(texts)
-    texts, y = texts.take(pa.array(keep)), np.array([float(labels[i] > 0) for i in keep])
-    known = choose_terms(texts, y)
+    texts, labels = pa.array(rows["text"].tolist(), pa.large_string()), rows["label"].tolist()
+    keep = _distinct(texts, labels)
+    texts, y, ids = texts.take(pa.array(keep)), np.array([float(labels[i] > 0) for i in keep]), [rows["doc_id"].iloc[i] for i in keep]
+    body, offsets = W.raw(texts)
+    del rows
+    found = [np.unique(terms(body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0]) for lo, hi in W.chunks(offsets)]
+    known = np.unique(np.concatenate(found))
+    del found
     frequencies, n = _frequencies(docs, known, text)
-    index = Index(known, np.log((n + 1) / (frequencies + 1)) + 1, list(_bags(texts, known)), y)
+    bags = list(_bags(texts, known))
+    del texts, body, offsets
+    idf = np.log((n + 1) / (frequencies + 1)) + 1
+    index = Index(known, idf * relevance(bags, y, len(known)), bags, y, ids)
     index.calibrate()
     return index
 
 
-def score(docs: DataFrame, index: Index | None, text: str = "text") -> DataFrame:
-    """docs with score and evidence (neighbours: number of the example, label, cosine). The index has a bounded size."""
+EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
+
+
+def score(docs: DataFrame, index: Index | None, text: str = "text", name: str = "score", evidence: str = "evidence") -> DataFrame:
+    """docs with the columns score and evidence (neighbours: the example's doc_id, label, cosine). The index has a bounded size."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    names = ("score", "evidence")
-    evidence = T.ArrayType(T.StructType([T.StructField("example", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
-    schema = T.StructType([f for f in docs.schema.fields if f.name.lower() not in names] + [T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)])
+    names = (name.lower(), evidence.lower())
+    schema = T.StructType([f for f in docs.schema.fields if f.name.lower() not in names] + [T.StructField(name, T.DoubleType()), T.StructField(evidence, EVIDENCE)])
     kept = schema.names[:-2]
-    kind = pa.list_(pa.struct([("example", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            scores, found = [0.0] * batch.num_rows, [[]] * batch.num_rows
-            if index is not None:
-                for i, bag in enumerate(_bags(W.as_strings(batch.column(text)), index.known)):
-                    numbers, weights = index.vector(*bag)
-                    if not len(numbers):
-                        scores[i] = index.empty
-                        continue
-                    ids, cosines = index.nearest(numbers, weights)
-                    scores[i] = index.probability(index.share(ids, cosines))
-                    found[i] = [(int(a), int(index.labels[a]), float(c)) for a, c in zip(ids, cosines, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(scores, pa.float64()), pa.array([[dict(zip(("example", "label", "cosine"), x, strict=True)) for x in f] for f in found], kind)], names=schema.names)
+            if index is None:
+                found = [(0.0, NONE, np.empty(0))] * batch.num_rows
+            else:
+                found = [index.score(bag) for bag in _bags(W.as_strings(batch.column(text)), index.known)]
+            near = np.concatenate([NONE, *[f[1] for f in found]])
+            ids = pa.array([index.ids[i] for i in near] if index is not None else [], pa.int64())
+            labels = pa.array(index.labels[near] if index is not None else [], pa.float64()).cast(pa.int32())
+            each = pa.StructArray.from_arrays([ids, labels, pa.array(np.concatenate([np.empty(0), *[f[2] for f in found]]))], names=["doc_id", "label", "cosine"])
+            bounds = np.concatenate([[0], np.cumsum([len(f[1]) for f in found])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds), each)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array([f[0] for f in found], pa.float64()), lists], names=schema.names)
 
     return docs.mapInArrow(job, schema)

@@ -93,6 +93,10 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, odd):
         else:
             text = "".join(rng.choice("ab e-=\n\t .,é二'\"s1") for _ in range(rng.randint(0, 40)))
         assert encoder.encode(text) == known.encode_ordinary(text)
+    other = bpe.encode(spark.createDataFrame([("abc",)], "text string"), PATH, ".").collect()  # another pattern in the same workers
+    assert other[0].ids == [ranks[c.encode()] for c in "abc"]
+    long = ["-" * 30000, "ab" * 9000, "é二" * 7000, "the" * 5000]  # pieces beyond LOOKAHEAD
+    assert all(encoder.encode(t) == known.encode_ordinary(t) for t in long)
     got = bpe.decode(bpe.encode(odd, PATH, public_tokenizers.PATTERN), PATH).collect()
     assert len(got) == odd.count() and all(r.ids == known.encode_ordinary(r.text or "") and bytes(r.decoded).decode() == (r.text or "") for r in got)
     decoder = bpe.Decoder({0: b"\xe4", 1: b"\xba\x8c", 2: b"\xff", 3: b"a"})
@@ -241,10 +245,21 @@ def test_licences(spark, docs, odd):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
     want = sorted((a, b, c, round(d, 9)) for a, b, c, d in con.execute(licences.oracle_sql()).fetchall())
-    assert sorted((r.doc_id, r.licence, r.n_units, round(r.dice, 9)) for r in licences.scan(docs).collect()) == want and want
-    assert licences.scan(odd).count() == 0
-    one = spark.createDataFrame([(1, "text\nreleased UNDER the (MIT) licence.\nReleased under the MIT License!")], "doc_id long, text string")
-    assert [(r.licence, r.n_units, r.dice) for r in licences.scan(one).collect()] == [("MIT", 1, 1.0)]
+    assert sorted((r.doc_id, r.licence, r.n_passages, round(r.dice, 9)) for r in licences.scan(docs).collect()) == want and want
+    assert licences.scan(odd).count() == 0 and licences.scan(odd.limit(0)).count() == 0
+    full = licences.TEMPLATES["MIT-full"].split()
+    wrapped = "\n".join(" * " + " ".join(full[i : i + 9]) for i in range(0, len(full), 9))
+    code = "\n".join(f"x{i} = f(y{i}, {i}) of the end" for i in range(400))
+    rows = [
+        (1, "text\nreleased UNDER the (MIT) licence.\nReleased under the MIT License!"), (2, "Copyright 2020 X. Released under the MIT License. All of it."),
+        (3, f"/*\n{wrapped}\n*/\n{code}"), (4, f"{wrapped.replace('Software', 'Program', 2)}\n{code}\n{wrapped}"), (5, code), (None, "-" * 9000 + "licensed, under: CC BY-NC\n4.0"),
+        (6, "Released under the MIT License."), (6, "Released under the MIT License."),
+    ]
+    found = {(r.doc_id, r.licence): (r.n_passages, r.dice) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {
+        (1, "MIT"): (2, 1.0), (2, "MIT"): (1, 1.0), (3, "MIT-full"): (1, 1.0), (3, "MIT-text"): (1, 1.0), (4, "MIT-full"): (2, 1.0), (4, "MIT-text"): (2, 1.0),
+        (None, "CC-BY-NC-4.0"): (1, 1.0), (6, "MIT"): (2, 1.0),
+    }
 
 
 def test_fingerprints(spark, docs, odd):
@@ -295,6 +310,39 @@ def test_classifiers_on_held_out_rows(spark, odd):
         assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_toxicity_equals_brute_force(spark):
+    """The query's scores and evidence from dense cosines over all words."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice([f"w{rng.randint(0, 60)}", f"r{rng.randint(0, 900)}", *(["vile", "nasty"] if i % 5 == 0 else [])]) for _ in range(rng.randint(3, 40))), int(i % 5 == 0)) for i in range(160)]
+    rows[7] = (7, "", 0)
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    asked = spark.createDataFrame([*((i + 1000, t) for i, t, _ in rows[:50]), (9001, None), (9002, "zzz"), (9003, "vile nasty")], "doc_id long, text string")
+    index = toxicity.train(table, F.col("toxic"), table)
+    got = {r.doc_id: r for r in toxicity.score(asked, index).collect()}
+    bags = {i: collections.Counter(t.split()) for i, t, _ in rows}
+    y = {i: k for i, _, k in rows}
+    df = collections.Counter(w for b in bags.values() for w in b)
+    ones = collections.Counter(w for i, b in bags.items() if y[i] for w in b)
+    factor = {w: (math.log((len(rows) + 1) / (df[w] + 1)) + 1) * math.log2(2 + ones[w] / max(1, df[w] - ones[w])) for w in df}
+
+    def vector(bag):
+        v = {w: (1 + math.log(n)) * factor[w] for w, n in bag.items() if w in factor}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {i: vector(b) for i, b in bags.items()}
+    base = sum(y.values()) / len(y)
+    for r in asked.collect():
+        q = vector(collections.Counter((r.text or "").split()))
+        near = sorted(((sum(x * v.get(w, 0) for w, x in q.items()), i) for i, v in vectors.items()), reverse=True)[: toxicity.K]
+        near = [(c, i) for c, i in near if c > 0]
+        evidence = got[r.doc_id].evidence
+        assert [e.cosine for e in evidence] == pytest.approx([c for c, _ in near]) and all(e.label == y[e.doc_id] for e in evidence)
+        share = (sum(c * y[i] for c, i in near) + base) / (sum(c for c, _ in near) + 1)
+        assert got[r.doc_id].score == pytest.approx(index.probability(share) if q else index.empty, abs=1e-6)
+    assert toxicity.train(table.limit(0), F.col("toxic"), table) is None
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(6)
     known = np.arange(40, dtype=np.uint64)
