@@ -11,8 +11,8 @@ most SAMPLE_BYTES bytes each, equally many windows of each language.
 
 Rows: `und` with score 0 if the text is null or holds no letter; otherwise one of the learnt values;
 ties go to the first in code point order; repeated rows are alike; texts of any length are read
-whole; an empty table gives an empty table; other columns are kept, existing ones named lang_pred
-or score are replaced. Without any labelled row every document is `und`.
+whole; an empty table gives an empty table; other columns are kept, existing ones of the two
+output names are replaced. Without any labelled row every document is `und`.
 """
 
 from __future__ import annotations
@@ -168,11 +168,11 @@ def train(docs: DataFrame, label, most: int = SAMPLE, most_bytes: int = SAMPLE_B
     return fit(*labelled_sample(docs, label, most, most_bytes))
 
 
-def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score. The broadcast network has a fixed size."""
+def predict(docs: DataFrame, net: Network | None, text: str = "text", name: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the columns lang_pred and score. The broadcast network has a fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    names = ("lang_pred", "score")
-    schema = T.StructType([f for f in docs.schema.fields if f.name.lower() not in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    names = (name.lower(), score.lower())
+    schema = T.StructType([f for f in docs.schema.fields if f.name.lower() not in names] + [T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())])
     kept = schema.names[:-2]
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

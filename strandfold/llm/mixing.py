@@ -8,11 +8,14 @@ target by less than the size of the one document that is left over at the end. B
 documents of a source are rounded first, from the largest to the least so that the residual tends to
 be small; the residuals meet in blocks again, level by level, until one is left for each source, and
 that one is drawn by its fraction.
-All draws are hashes, so reruns agree. No group is larger than a block, however large a source is.
+All draws are hashes, so reruns agree. Blocks are dealt by a hash of the document; rows whose id is null
+or repeated are dealt by their place in the table too, so no group is much larger than a block, however
+large a source is or however often an id comes.
 
 Rows: null and empty texts have size 0 and none is taken; null is a source of its own, the last;
-repeated rows are rounded each by itself; a source of size 0 has target 0; an empty table gives an
-empty table. Sources are ranked without any single task seeing all of them.
+repeated rows are rounded each by itself, and `mixed` repeats each row as often as that row was taken;
+a source of size 0 has target 0; an empty table gives an empty table; other columns are kept by `mixed`
+whatever their names. Sources are ranked without any single task seeing all of them.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandfold.durable import durable
+from strandfold.llm.columns import fresh
+from strandfold.operators.groups import numbered
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -31,14 +36,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target) of (source, size): shares by weight, none above MOST times the source's size."""
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("prefix", F.substring("source", 1, 3))
-    before = sources.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
-    before = before.withColumn("offset", F.sum("n").over(Window.orderBy(F.col("prefix").asc_nulls_last())) - F.col("n")).drop("n")
-    ranked = sources.join(before, sources["prefix"].eqNullSafe(before["prefix"])).select(
-        "source", "source_size",
-        (F.col("offset") + F.row_number().over(Window.partitionBy(sources["prefix"]).orderBy("source")) - 1).alias("rank"),
-    )
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
+    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    ranked = numbered(sources, [F.col("source").asc_nulls_last()], "rank")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), ((F.col("rank") - 1) % len(WEIGHTS) + 1).cast("int"))
     ranked = durable(ranked.select("source", "source_size", weight.alias("weight")), "sources")
     share, capped = 0.0, -1
     while True:  # the set of capped sources only grows
@@ -92,7 +92,7 @@ def _pair(level: int):
     return step
 
 
-FIELDS = ["doc_id", "size", "copies", "p", "source_size", "target"]
+FIELDS = ["doc_id", "row", "salt", "size", "copies", "p", "source_size", "target"]
 
 
 def _round(rows: DataFrame, keys: list[str], level: int) -> DataFrame:
@@ -105,15 +105,27 @@ def _round(rows: DataFrame, keys: list[str], level: int) -> DataFrame:
     return block.select("source", F.explode(chain).alias("r")).select("source", *[f"r.{c}" for c in FIELDS])
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) per row of docs."""
+def _placed(docs: DataFrame, doc_id: str, text: str, source: str, row: Column) -> DataFrame:
+    """(doc_id, source, size, row, salt): salt is the row's number where its id is null or comes again, else 0."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = durable(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size")), "sizes")
+    sizes = durable(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), row.alias("row")), "sizes")
+    again = sizes.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again"))
+    salt = F.when(F.col("again") | F.col("doc_id").isNull(), F.col("row")).otherwise(F.lit(0))
+    return durable(sizes.join(again, "doc_id", "left").select("doc_id", "source", "size", "row", salt.alias("salt")), "sizes")
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: Column | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken, row) per row of docs.
+
+    row: a number that tells rows apart; where none is given, rows are numbered as they are read.
+    """
+    sizes = _placed(docs, doc_id, text, source, F.monotonically_increasing_id() if row is None else row)
     goal = targets(sizes)
     rows = sizes.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.floor(wanted).cast("long")
-    rows = rows.select("doc_id", "source", "size", copies.alias("copies"), F.when(F.col("size") > 0, wanted - copies).otherwise(0.0).alias("p"), "source_size", "target")
+    p = F.when(F.col("size") > 0, wanted - copies).otherwise(0.0)
+    rows = rows.select("doc_id", "source", "row", "salt", "size", copies.alias("copies"), p.alias("p"), "source_size", "target")
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
     settled = rows.where(~open_)
     live, pieces = rows.where(open_), [settled.select("source", *FIELDS)]
@@ -121,7 +133,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         many = live.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
         many = many.select(F.col("source").alias("s"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
         dealt = live.join(many, F.col("source").eqNullSafe(F.col("s")))
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), "blocks"))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "salt", F.lit(level)), "blocks"))
         done = durable(_round(dealt, ["source", "block"], level), "rounded")
         pieces.append(done.where(~open_))
         live = done.where(open_)
@@ -133,11 +145,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     for piece in pieces[1:]:
         out = out.unionByName(piece)
     copies = (F.col("copies") + F.round("p")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "row")
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs, each row as often as the mix takes it."""
-    taken = mix(docs, doc_id, text, source).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    joined = docs.join(taken.withColumnRenamed("doc_id", "_id"), F.col(doc_id).eqNullSafe(F.col("_id")))
-    return joined.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    row, copies, again = fresh(docs, "row", "copies", "again")
+    placed = durable(docs.withColumn(row, F.monotonically_increasing_id()), "placed")  # so a row keeps its number
+    taken = mix(placed, doc_id, text, source, F.col(row)).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies))
+    return placed.join(taken, row).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -358,6 +358,49 @@ def test_nearest_examples_are_exact():
         assert np.allclose(got, [-c for c, _ in want])
 
 
+def test_mix_takes_rows_one_by_one(spark):
+    text = " ".join(["w"] * 10)
+    rows = [(1, text, "a", 5)] * 60 + [(None, text, "a", 5)] * 300 + [(k + 2, text, "b", k) for k in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int").repartition(4)
+    got = mixing.mix(table).collect()
+    taken = collections.Counter()
+    for r in got:
+        taken[r.doc_id if r.source == "a" else "b"] += r.copies
+    assert len(got) == 400 and len({r.row for r in got}) == 400
+    out = mixing.mixed(table)
+    again = collections.Counter(r.doc_id if r.source == "a" else "b" for r in out.collect())
+    assert out.columns == table.columns and +again == +taken
+    assert all(abs(10 * sum(r.copies for r in got if r.source == s) - next(r.target for r in got if r.source == s)) < 10 for s in "ab")
+
+
+def test_pipeline_keeps_columns_and_odd_rows(spark, docs, odd):
+    import corpus_pipeline
+
+    named = docs.select("*", F.col("doc_id").alias("score"), F.col("doc_id").alias("lang_pred"), F.col("doc_id").alias("evidence"), F.col("doc_id").alias("copies"), F.col("doc_id").alias("row"))
+    stages = dict(corpus_pipeline.STAGES)
+    plain = {name: collections.Counter(r.doc_id for r in stages[name](spark, docs, SF).collect()) for name in list(stages)[:-1]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, named, SF).collect()
+        assert all(r.score == r.lang_pred == r.evidence == r.copies == r.row == r.doc_id for r in got), name
+        assert collections.Counter(r.doc_id for r in got) == plain[name]
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    count = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    assert count(stages["toxicity"](spark, odd, SF)) == count(odd)
+    lettered = stages["language ID"](spark, odd, SF)
+    assert count(lettered) <= count(odd.where(F.col("text").rlike(r"\p{L}")))
+    last = corpus_pipeline.STAGES[-1][1](spark, odd, SF).collect()
+    assert len(last) == odd.count() and all(r.round_trip for r in last)
+
+
+def test_pipeline_toxicity_stage_is_the_operator(spark, docs):
+    import corpus_pipeline
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    index = toxicity.train(docs.join(labels, "doc_id"), F.col("toxic"), docs)
+    want = {r.doc_id for r in toxicity.score(docs, index).collect() if r.score < corpus_pipeline.TOXIC_FROM}
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, SF).collect()} == want
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
