@@ -2,7 +2,11 @@
 
 STAGES are functions (spark, docs, sf_dir) -> DataFrame; run() writes each one's result as Parquet
 into the shared folder and rereads it as the next one's docs. All but the last return the columns of
-documents.
+documents, and any others, unchanged.
+
+Rows: a null or empty text holds no toxicity beyond the share of such examples and no letter, so the
+language stage drops it; a null doc_id or one that repeats is a row like any other, told apart by its
+text; repeated rows are near duplicates of each other, one stays; empty tables pass through.
 """
 
 from __future__ import annotations
@@ -13,22 +17,26 @@ from pyspark.sql import functions as F
 
 from strandfold.durable import durable
 from strandfold.llm import bpe, language, mixing, near_dedup, toxicity
+from strandfold.llm.columns import fresh
 
 TOXIC_FROM = 0.7
+LANGUAGE_FROM = 0.4
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC_FROM."""
+    """Documents whose toxicity score is below TOXIC_FROM; all columns stay as they are, whatever their names."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     index = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"), F.col("toxic"), docs)
-    named = docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs
-    return toxicity.score(named, index).where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+    score, evidence = fresh(docs, "score", "evidence")
+    return toxicity.score(docs, index, name=score, evidence=evidence).where(F.col(score) < TOXIC_FROM).select(*docs.columns)
 
 
 def languages_in(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold letters, in whichever learnt language; those of none (und) go."""
+    """Documents in a learnt language of probability LANGUAGE_FROM or more; those without letters (und) go."""
     net = language.train(docs.where("lang is not null"), F.col("lang"))
-    return language.predict(docs, net).where(F.col("lang_pred") != "und").select(*docs.columns)
+    name, score = fresh(docs, "lang_pred", "score")
+    told = language.predict(docs, net, name=name, score=score)
+    return told.where((F.col(name) != "und") & (F.col(score) >= LANGUAGE_FROM)).select(*docs.columns)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +65,7 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-#: Fitted classifiers and hashed draws can't be told in SQL; the near-dedup stage is tested against brute force, the others as operators.
+#: Fitted classifiers and hashed draws can't be told in SQL; tests hold the stages against the operators' own scores, brute-force components and sizes.
 ORACLE_SQL = None
 
 
