@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MEMO = 200_000  # words whose digests a task remembers
+
 
 def sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(item_id, pos, sentence): parts between . ! ? and line ends, of at least ten characters without outer blanks."""
@@ -21,20 +23,33 @@ def sentence_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """(item_id, pos, ts, dhash, ahash, mean): of each word's MD5 the first four 16-bit parts vote on dhash, the rest on ahash; mean is the length, 255 at most."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, np.ndarray] = {}
+        places: dict[str, int] = {}
+        digests: list[bytes] = []
         for batch in batches:
-            hashes, sizes = np.zeros((batch.num_rows, 2), np.int64), np.zeros(batch.num_rows, np.int16)
+            if len(places) > MEMO:
+                places.clear()
+                digests.clear()
+            at, bounds, sizes = [], np.zeros(batch.num_rows + 1, np.int64), np.zeros(batch.num_rows, np.int16)
             for i, s in enumerate(batch.column(2).to_pylist()):
                 sizes[i] = min(255, len(s))
-                words = [w for w in s.split(" ") if w]
-                if len(memo) > 200_000:
-                    memo.clear()
-                for w in words:
-                    if w not in memo:
-                        parts = np.frombuffer(hashlib.md5(w.encode()).digest(), ">u2")[[3, 2, 1, 0, 7, 6, 5, 4]]
-                        memo[w] = np.unpackbits(parts.astype(">u2").view(np.uint8))
-                votes = np.sum([memo[w] for w in words], axis=0, dtype=np.int64) if words else np.zeros(128, np.int64)
-                hashes[i] = np.packbits(2 * votes > len(words)).view(">i8")
+                for w in s.split(" "):
+                    if w:
+                        k = places.get(w)
+                        if k is None:
+                            k = places[w] = len(digests)
+                            digests.append(hashlib.md5(w.encode()).digest())
+                        at.append(k)
+                bounds[i + 1] = len(at)
+            parts = np.frombuffer(b"".join(digests), ">u2").reshape(-1, 8)[:, [3, 2, 1, 0, 7, 6, 5, 4]]
+            known = np.ascontiguousarray(parts).view(np.uint8)
+            hashes, words = np.zeros((batch.num_rows, 2), ">i8"), np.diff(bounds)
+            for lo in range(0, batch.num_rows, 1024):  # the votes of some sentences at a time
+                some = lo + np.flatnonzero(words[lo : lo + 1024])
+                if len(some):
+                    bits = np.unpackbits(known[at[bounds[lo] : bounds[min(lo + 1024, batch.num_rows)]]], axis=1)
+                    votes = np.add.reduceat(bits, bounds[some] - bounds[lo], axis=0, dtype=np.int64)
+                    hashes[some] = np.packbits(2 * votes > words[some, None], axis=1).view(">i8")
+            hashes = hashes.astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(1).cast(pa.float64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(sizes)],
                 names=["item_id", "pos", "ts", "dhash", "ahash", "mean"],

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,54 +63,67 @@ def align_best_offset(points: DataFrame, p: Params) -> DataFrame:
     return rising.select("a", "b", "i", "j", "distance")
 
 
-def _greedy(points: pd.DataFrame, shifts: Iterable[int], least: int) -> list[tuple[int, int, int]]:
-    """One pair's points, shift by shift: what a shift takes is gone for the later ones."""
-    by_shift: dict[int, list[tuple[int, int, int]]] = {}
-    for i, j, d in points[["i", "j", "distance"]].itertuples(index=False):
-        by_shift.setdefault(j - i, []).append((i, j, d))
-    left_used: set[int] = set()
-    right_used: set[int] = set()
-    taken = []
-    for shift in shifts:
-        best: dict[int, tuple[int, int, int]] = {}
-        for own in (shift - 1, shift, shift + 1):
-            for i, j, d in by_shift.get(own, ()):
-                if i not in left_used and j not in right_used:
-                    best[i] = min(best.get(i, (2, 0, 0)), (abs(own - shift), d, j))
-        segments: list[list[int]] = []
-        for i in sorted(best):
-            if segments and i - segments[-1][-1] <= GAP:
-                segments[-1].append(i)
-            else:
-                segments.append([i])
-        for segment in segments:
+def _greedy(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """One-to-one points of pairs whose rows (a, b, place, i, off, distance, j) come in this order; what a place takes is gone for the later ones."""
+    pair, place, out = None, None, []
+    left: set[int] = set()
+    right: set[int] = set()
+    segment: list[tuple[int, int, int]] = []
+
+    def close() -> None:
+        if len(segment) >= least and segment[-1][0] - segment[0][0] + 1 >= least:
             rising, top = [], -1
-            for i in segment:
-                if best[i][2] > top:
-                    top = best[i][2]
-                    rising.append((i, top, best[i][1]))
-            if len(segment) >= least and segment[-1] - segment[0] + 1 >= least and len(rising) >= least:
-                taken += rising
-                left_used.update(r[0] for r in rising)
-                right_used.update(r[1] for r in rising)
-    return taken if len(taken) >= least else []
+            for row in segment:
+                if row[1] > top:
+                    top = row[1]
+                    rising.append(row)
+            if len(rising) >= least:
+                out.extend((*pair, *row) for row in rising)
+                left.update(row[0] for row in rising)
+                right.update(row[1] for row in rising)
+        segment.clear()
+
+    def written() -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        rows = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "i", "j", "distance"])
+        out.clear()
+        return rows
+
+    for batch in batches:
+        for a, b, at, i, _, distance, j in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns), strict=True):
+            if (a, b) != pair:
+                close()
+                pair, place = (a, b), at
+                left.clear()
+                right.clear()
+            elif at != place:
+                close()
+                place = at
+            if i in left or j in right or (segment and segment[-1][0] == i):
+                continue
+            if segment and i - segment[-1][0] > GAP:
+                close()
+            segment.append((i, j, distance))
+        if len(out) >= 8192:
+            yield written()
+    close()
+    yield written()
 
 
 def align_pairs(points: DataFrame, p: Params) -> DataFrame:
-    """(a, b, i, j, distance): one-to-one points chosen shift by shift; the order matters, so each pair's points meet in one group.
+    """(a, b, i, j, distance): one-to-one points chosen shift by shift, best shift first.
 
-    Points off the pair's top shifts go before they are grouped.
+    The order matters, so a pair's points off its top shifts go first and the rest is read in order: a task
+    streams over many pairs and holds no more than the samples one pair has used.
     """
     least = least_samples(p)
-    top = top_offsets(offset_votes(points), p.top_offsets).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("place", "shift"))).getField("shift").alias("shifts"))
-    near = points.join(top, ["a", "b"]).where(F.exists("shifts", lambda s: F.abs(F.col("j") - F.col("i") - s) <= 1))
-
-    def job(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = rows["a"].iloc[0], rows["b"].iloc[0]
-        got = _greedy(rows, rows["shifts"].iloc[0].tolist(), least)
-        return pd.DataFrame([(a, b, *g) for g in got], columns=["a", "b", "i", "j", "distance"])
-
-    return near.groupBy("a", "b").applyInPandas(job, "a long, b long, i int, j int, distance int")
+    top = top_offsets(offset_votes(points), p.top_offsets)
+    near = top.select("a", "b", "place", F.explode(F.array(*[F.struct(F.lit(abs(d)).alias("off"), (F.col("shift") + d).alias("own")) for d in (-1, 0, 1)])).alias("n"))
+    met = points.withColumn("own", F.col("j") - F.col("i")).join(near.select("a", "b", "place", "n.off", "n.own"), ["a", "b", "own"])
+    order = ["a", "b", "place", "i", "off", "distance", "j"]
+    dealt = met.select(*order).repartition("a", "b").sortWithinPartitions(*order)
+    return dealt.mapInArrow(lambda batches: _greedy(batches, least), "a long, b long, i int, j int, distance int")
 
 
 def match_confidence(distance, threshold: int):

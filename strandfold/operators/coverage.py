@@ -88,25 +88,38 @@ def exact_classes(items: DataFrame, matches: DataFrame) -> DataFrame:
     return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("class_id", "item_id").alias("class_id"))
 
 
+def exact_sources(asked: DataFrame, keepers: DataFrame, classes: DataFrame) -> DataFrame:
+    """(scope, item_id, source, n_sources) of asked items with a kept exact copy other than themselves.
+
+    The copies of a class are told by one of them, the least or for that one the greatest, and their number:
+    a class of n copies gives n rows, not n * (n - 1).
+    """
+    ends = keepers.join(classes, "item_id").groupBy("scope", "class_id").agg(F.min("item_id").alias("low"), F.max("item_id").alias("high"), F.countDistinct("item_id").alias("n"))
+    kept = keepers.select("scope", "item_id", F.lit(1).alias("itself")).distinct()
+    own = asked.join(classes, "item_id").join(ends, ["scope", "class_id"]).join(kept, ["scope", "item_id"], "left")
+    n = F.col("n") - F.coalesce("itself", F.lit(0))
+    return own.where(n > 0).select("scope", "item_id", F.when(F.col("low") == F.col("item_id"), F.col("high")).otherwise(F.col("low")).alias("source"), n.alias("n_sources"))
+
+
 def covered_by(asked: DataFrame, keepers: DataFrame, matches: DataFrame, items: DataFrame, interval: float, classes: DataFrame | None = None) -> DataFrame:
-    """(scope, item_id, covered_percent, sources) of asked (scope, item_id) under keepers (scope, item_id).
+    """(scope, item_id, covered_percent, sources, n_sources) of asked (scope, item_id) under keepers (scope, item_id).
 
-    A keeper reachable over exact matches, also through items that are not kept, covers all, with those
-    keepers as sources; else the direct matches to keepers cover the union of their bins.
+    A keeper reachable over exact matches, also through items that are not kept, covers all; sources then
+    names one such keeper and n_sources counts them. Else the direct matches to keepers cover the union of
+    their bins, and sources names all of these keepers.
     """
     classes = exact_classes(items, matches) if classes is None else classes
-    own = asked.join(classes, "item_id")
-    kept = keepers.join(classes, "item_id").select("scope", "class_id", F.col("item_id").alias("keeper"))
-    exact = own.join(kept, ["scope", "class_id"]).where("keeper <> item_id").groupBy("scope", "item_id").agg(F.array_sort(F.collect_set("keeper")).alias("exact_sources"))
+    exact = exact_sources(asked, keepers, classes).select("scope", "item_id", "source", F.col("n_sources").alias("n_exact"))
     counts = item_counts(items, interval)
     direct = relation_bins(matches.where("kind <> 'exact'"), counts).select("item_id", "other_id", "bin")
     scoped = asked.join(direct, "item_id").join(keepers.select("scope", F.col("item_id").alias("other_id")), ["scope", "other_id"], "left_semi")
     part = scoped.groupBy("scope", "item_id").agg(F.countDistinct("bin").alias("bins"), F.array_sort(F.collect_set("other_id")).alias("part_sources"))
     joined = asked.join(counts, "item_id").join(exact, ["scope", "item_id"], "left").join(part, ["scope", "item_id"], "left")
     percent = F.least(F.lit(100.0), 100.0 * F.coalesce("bins", F.lit(0)) / F.col("n"))
+    sources = F.when(F.col("source").isNotNull(), F.array("source")).otherwise(F.coalesce("part_sources", F.array().cast("array<long>")))
     return joined.select(
-        "scope", "item_id", F.when(F.col("exact_sources").isNotNull(), 100.0).otherwise(percent).alias("covered_percent"),
-        F.coalesce("exact_sources", "part_sources", F.array().cast("array<long>")).alias("sources"),
+        "scope", "item_id", F.when(F.col("source").isNotNull(), 100.0).otherwise(percent).alias("covered_percent"),
+        sources.alias("sources"), F.coalesce("n_exact", F.size(sources)).cast("long").alias("n_sources"),
     )
 
 

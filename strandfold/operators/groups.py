@@ -91,7 +91,7 @@ def linked_groups(members: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def group_coverage(members: DataFrame, used: DataFrame, matches: DataFrame, items: DataFrame, interval: float) -> DataFrame:
-    """(group_id, item_id, covered_percent, sources): each member under all the others, by the group's own matches."""
+    """(group_id, item_id, covered_percent, sources, n_sources): each member under all the others, by the group's own matches."""
     classes = durable(exact_classes(items, matches), "classes")
     kept = members.withColumnRenamed("group_id", "scope")
     # The others of a group: direct matches have another member at their other end, and an exact copy needs another id.

@@ -34,7 +34,23 @@ def _ranges(bins: str) -> str:
     )
 
 
-CTES: dict[str, str] = {
+
+
+def _place(k: int) -> str:
+    """The points that the shift of place k takes: nearest unused points, cut into runs, rising, long enough."""
+    unused = "" if k == 1 else f"and not exists (select 1 from taken_{k - 1} t where t.a = p.a and t.b = p.b and t.i = p.i) and not exists (select 1 from taken_{k - 1} t where t.a = p.a and t.b = p.b and t.j = p.j)"
+    near = f"""select o.a, o.b, p.i, min({{'off': abs(p.j - p.i - o.shift), 'distance': p.distance, 'j': p.j}}) as m from ranked_offsets o join points p on p.a = o.a and p.b = o.b
+        where o.place = {k} and abs(p.j - p.i - o.shift) <= 1 {unused} group by all"""
+    marks = f"select a, b, i, m.j as j, m.distance as distance, case when i - lag(i) over (partition by a, b order by i) <= 2 then 0 else 1 end as new from ({near})"
+    segments = f"select *, sum(new) over (partition by a, b order by i rows unbounded preceding) as run from ({marks})"
+    sized = f"select *, count(*) over w as n, max(i) over w - min(i) over w + 1 as span, max(j) over (partition by a, b, run order by i rows between unbounded preceding and 1 preceding) as top from ({segments}) window w as (partition by a, b, run)"
+    least = int(P.min_segment)
+    risen = f"select *, count(*) over (partition by a, b, run) as m from ({sized}) where n >= {least} and span >= {least} and (top is null or j > top)"
+    got = f"select a, b, i, j, distance from ({risen}) where m >= {least}"
+    return got if k == 1 else f"select * from taken_{k - 1} union all {got}"
+
+
+CTES: dict[str, str] = {f"taken_{k}": _place(k) for k in range(1, P.top_offsets + 1)} | {
     "items": f"""select doc_id as item_id, '/' || source || '/' || lang || '/doc' || doc_id || '.txt' as path, strlen(text) as size_bytes, doc_id as mtime_ns,
         len({_SPLIT})::double as duration_seconds, n_chars::bigint as width, 1::bigint as height, 'text' as codec, sha256(text) as sha256, len({_SPLIT})::bigint as detailed_sample_count from documents""",
     "sentences": f"select item_id, unnest(range(len(s)))::int as pos, unnest(s) as sentence from (select doc_id as item_id, {_SPLIT} as s from documents)",
@@ -85,13 +101,13 @@ CTES: dict[str, str] = {
     "rising": "select * from (select *, max(j) over (partition by a, b, run order by i rows between unbounded preceding and 1 preceding) as top from long_runs) where top is null or j > top",
     "aligned": f"select a, b, i, j, distance from (select *, count(*) over (partition by a, b, run) as m from rising) where m >= {int(P.min_segment)}",
     "counts": "select item_id, count(*)::bigint as n from samples group by item_id",
-    "paired": "select a, b, list_sort(list_distinct(list(i))) as p, list_sort(list_distinct(list(j))) as q, greatest(0.0, 1.0 - avg(distance) / 28) as sure from aligned group by all",
+    "paired": f"select a, b, list_sort(list_distinct(list(i))) as p, list_sort(list_distinct(list(j))) as q, greatest(0.0, 1.0 - avg(distance) / 28) as sure from taken_{P.top_offsets} group by all",
     "normal": f"select a, b, sure, x.n as na, y.n as nb, {_normal('p', 'x.n')} as ca, {_normal('q', 'y.n')} as cb from paired join counts x on x.item_id = a join counts y on y.item_id = b",
     "records": f"""select a as a_id, b as b_id, 'perceptual' as kind, round(least(least(len(ca), len(cb))::double, x.duration_seconds, y.duration_seconds), 3) as overlap_seconds,
         round(least(100.0, 100.0 * len(ca) / greatest(1, na)), 2) as a_duplicated_percent, round(least(100.0, 100.0 * len(cb) / greatest(1, nb)), 2) as b_duplicated_percent, round(sure, 4) as confidence,
         {_ranges('ca')} as a_sample_ranges, {_ranges('cb')} as b_sample_ranges from normal join items x on x.item_id = a join items y on y.item_id = b""",
-    "all_matches": "select a_id * 1000000 + b_id as match_id, * from (select * from star union all select * from records)",
-    "matches": "select * from all_matches where greatest(a_duplicated_percent, b_duplicated_percent) + 1e-9 >= 50.0",
+    "all_matches": "select * from star union all select * from records",
+    "matches": "select row_number() over (order by a_id, b_id) as match_id, * from all_matches where greatest(a_duplicated_percent, b_duplicated_percent) + 1e-9 >= 50.0",
     "sides": """select match_id, kind, a_id as item_id, b_id as other_id, a_sample_ranges as ranges, a_duplicated_percent as percent from matches
         union all select match_id, kind, b_id, a_id, b_sample_ranges, b_duplicated_percent from matches""",
     "item_n": "select item_id, coalesce(nullif(detailed_sample_count, 0), greatest(1, ceil(duration_seconds / 1.0)::bigint)) as n from items",
@@ -120,7 +136,7 @@ CTES: dict[str, str] = {
         union all select 1, class_id, match_id from exact_in where class_id in (select class_id from alone)) using (kind, id)""",
     "group_bins": "select m.group_id, b.item_id, count(distinct b.bin) as bins, list_sort(list_distinct(list(b.other_id))) as others from members m join bins b using (item_id) join members o on o.group_id = m.group_id and o.item_id = b.other_id where b.kind <> 'exact' group by all",
     "group_exact": "select m.group_id, m.item_id, list_sort(list_distinct(list(o.item_id))) as others from members m join classes x using (item_id) join members o on o.group_id = m.group_id and o.item_id <> m.item_id join classes y on y.item_id = o.item_id and y.class_id = x.class_id group by all",
-    "covered": """select m.group_id, m.item_id, case when e.others is not null then 100.0 else least(100.0, 100.0 * coalesce(p.bins, 0) / n) end as covered_percent, coalesce(e.others, p.others, []) as sources
+    "covered": """select m.group_id, m.item_id, case when e.others is not null then 100.0 else least(100.0, 100.0 * coalesce(p.bins, 0) / n) end as covered_percent, case when e.others is null then coalesce(p.others, []) when m.item_id < e.others[1] then [e.others[-1]] else [e.others[1]] end as sources, len(coalesce(e.others, p.others, []))::bigint as n_sources
         from members m join item_n using (item_id) left join group_exact e using (group_id, item_id) left join group_bins p using (group_id, item_id)""",
     "named": "select m.group_id, i.*, string_split(path, '/')[-1] as name from members m join items i using (item_id)",
     "prior": "select group_id, item_id, row_number() over (partition by group_id order by length(name), width * height, size_bytes, duration_seconds, path) as place from named",
@@ -133,13 +149,16 @@ CTES: dict[str, str] = {
     "wanted": "select item_id, arg_min({'g': group_id, 'p': place}, {'g': group_id, 'p': place}) as f from asked where item_id not in (select item_id from kept) group by item_id",
     "kept_exact": "select w.item_id, list_sort(list_distinct(list(k.item_id))) as others from wanted w join classes x using (item_id) join kept k on k.item_id <> w.item_id join classes y on y.item_id = k.item_id and y.class_id = x.class_id group by all",
     "kept_bins": "select b.item_id, count(distinct b.bin) as bins, list_sort(list_distinct(list(b.other_id))) as others from bins b join kept k on k.item_id = b.other_id where b.kind <> 'exact' and b.item_id in (select item_id from wanted) group by all",
-    "actions": """select item_id, f.g as group_id, f.p as place, round(c, 2) as covered_percent, sources from (select w.item_id, w.f, case when e.others is not null then 100.0 else least(100.0, 100.0 * coalesce(p.bins, 0) / n) end as c,
-        coalesce(e.others, p.others, []) as sources from wanted w join item_n using (item_id) left join kept_exact e using (item_id) left join kept_bins p using (item_id)) where len(sources) > 0 and c + 1e-9 >= 95.0""",
+    "actions": """select item_id, f.g as group_id, f.p as place, round(c, 2) as covered_percent, sources, n_sources from (select w.item_id, w.f, case when e.others is not null then 100.0 else least(100.0, 100.0 * coalesce(p.bins, 0) / n) end as c,
+        case when e.others is null then coalesce(p.others, []) else [e.others[1]] end as sources, len(coalesce(e.others, p.others, []))::bigint as n_sources from wanted w join item_n using (item_id) left join kept_exact e using (item_id) left join kept_bins p using (item_id)) where len(sources) > 0 and c + 1e-9 >= 95.0""",
     "inventory": "select item_id, case when item_id % 7 = 0 then size_bytes + 1 else size_bytes end as size_bytes, mtime_ns from items where item_id % 11 <> 0",
     "drift": "select i.item_id, case when v.item_id is null then 'missing' when v.size_bytes = i.size_bytes and v.mtime_ns = i.mtime_ns then 'ok' else 'changed' end as status from items i left join inventory v using (item_id)",
 }
 
 
+KEPT = ("samples", "ranked_offsets", "records", "matches", "points", "fast_points", "members", "bins", "classes", "covered")
+
+
 def sql(body: str) -> str:
     """The body after all parts that it needs; parts marked @ are recursive."""
     need: dict[str, None] = {}
@@ -152,5 +171,5 @@ def sql(body: str) -> str:
                 need[word] = need.pop(word)  # after its own needs
 
     visit(body)
-    parts = ", ".join(f"{name} as ({CTES[name].removeprefix('@')})" if name not in ("samples", "matches", "points", "members", "bins", "classes", "covered") else f"{name} as materialized ({CTES[name]})" for name in need)
+    parts = ", ".join(f"{name} as ({CTES[name].removeprefix('@')})" if name not in KEPT and not name.startswith("taken_") else f"{name} as materialized ({CTES[name]})" for name in need)
     return f"with recursive {parts} {body}" if parts else body

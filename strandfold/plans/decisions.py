@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandfold.durable import durable
 from strandfold.operators.coverage import covered_by
 from strandfold.operators.groups import duplicate_groups
 from strandfold.params import TOLERANCE
@@ -31,12 +32,12 @@ def requested_removals(decisions: DataFrame) -> DataFrame:
 
 
 def build_actions(decisions: DataFrame, matches: DataFrame, items: DataFrame, interval: float, min_coverage: float) -> DataFrame:
-    """(item_id, group_id, place, covered_percent, sources): removals that all kept items together cover, by all matches."""
+    """(item_id, group_id, place, covered_percent, sources, n_sources): removals that all kept items together cover, by all matches."""
     all_ = F.lit(0).alias("scope")
     asked = requested_removals(decisions)
     covered = covered_by(asked.select(all_, "item_id"), keepers(decisions).select(all_, "item_id"), matches, items, interval)
     safe = covered.where((F.size("sources") > 0) & (F.col("covered_percent") + TOLERANCE >= min_coverage))
-    return asked.join(safe, "item_id").select("item_id", "group_id", "place", F.round("covered_percent", 2).alias("covered_percent"), "sources")
+    return asked.join(safe, "item_id").select("item_id", "group_id", "place", F.round("covered_percent", 2).alias("covered_percent"), "sources", "n_sources")
 
 
 def default_decisions(members: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -109,8 +110,8 @@ def drift_check(plan: DataFrame, inventory: DataFrame) -> DataFrame:
 def validate_plan(actions: DataFrame, decisions: DataFrame, plan_items: DataFrame, inventory: DataFrame, strict: bool = False, by_set: bool = True) -> DataFrame:
     """(item_id, group_id, status) of actions (item_id, sources): ready, refused or skipped.
 
-    A missing target is skipped and a changed one refused; strict refuses also where a covering item has
-    changed or is missing. By set, an action belongs to the least group that asks for it, and one refused
+    A missing target is skipped and a changed one refused; strict refuses also where a covering item that
+    sources names has changed or is missing. By set, an action belongs to the least group that asks for it, and one refused
     target refuses the whole group.
     """
     state = drift_check(plan_items.select("item_id", "size_bytes", "mtime_ns"), inventory)
@@ -135,14 +136,15 @@ def retire_resolved(items: DataFrame, matches: DataFrame, members: DataFrame, de
     complete sets that are in no other set. What is left is grouped anew; an open decision goes to the
     groups within its old members that are left, the least old group first.
     """
+    resolved = durable(resolved, "resolved")
     asked = requested(decisions).join(resolved.withColumn("done", F.lit(True)), "item_id", "left")
     complete = asked.groupBy("group_id").agg(F.bool_and(F.coalesce("done", F.lit(False))).alias("all")).where("all").select("group_id")
     active = members.join(complete, "group_id", "left_anti").select("item_id").distinct()
     idle = members.join(complete, "group_id", "left_semi").select("item_id").distinct().join(active, "item_id", "left_anti")
-    hidden = resolved.select("item_id").union(idle).distinct()
+    hidden = durable(resolved.select("item_id").union(idle).distinct(), "hidden")
     left = items.join(hidden, "item_id", "left_anti")
     ends = lambda m, c: m.join(hidden.withColumnRenamed("item_id", c), c, "left_anti")
-    kept_matches = ends(ends(matches, "a_id"), "b_id").select(*matches.columns)
+    kept_matches = durable(ends(ends(matches, "a_id"), "b_id").select(*matches.columns), "matches")
     new_members, new_matches = duplicate_groups(left, kept_matches)
     old = members.join(resolved, "item_id", "left_anti").groupBy("group_id").agg(F.collect_set("item_id").alias("rest"))
     remaining = decisions.join(complete, "group_id", "left_anti").join(old, "group_id").withColumnRenamed("group_id", "old_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -50,10 +51,8 @@ class Stage:
 
 
 def _matches(s: Stage) -> DataFrame:
-    records = align.match_records(align.align_best_offset(s.points, P), s.items, P, s.counts)
-    both = exact.exact_matches(s.items).unionByName(records)
-    keyed = both.select((F.col("a_id") * 1000000 + F.col("b_id")).alias("match_id"), *both.columns)
-    return durable(filters.min_duplicate_percent(keyed, PERCENT), "matches")
+    both = exact.exact_matches(s.items).unionByName(s.records)
+    return durable(groups.numbered(filters.min_duplicate_percent(both, PERCENT), ["a_id", "b_id"], "match_id").select("match_id", *both.columns), "matches")
 
 
 def _order(s: Stage) -> DataFrame:
@@ -62,7 +61,7 @@ def _order(s: Stage) -> DataFrame:
 
 def _decided(s: Stage) -> DataFrame:
     order = s.prior.where("group_id % 2 = 1").groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("place", "item_id"))).getField("item_id").alias("o"))
-    return order.select("group_id", F.slice("o", 1, 1).alias("keeper_ids"), F.array_sort(F.slice("o", 2, 1000000)).alias("removal_order"), F.lit("manual").alias("method"))
+    return order.select("group_id", F.slice("o", 1, 1).alias("keeper_ids"), F.array_sort(F.slice("o", F.lit(2), F.size("o"))).alias("removal_order"), F.lit("manual").alias("method"))
 
 
 def _inventory(s: Stage) -> DataFrame:
@@ -86,6 +85,8 @@ MAKERS: dict[str, Callable[[Stage], DataFrame]] = {
     "fast_points": lambda s: verify.sample_pairs(s.candidates, s.fast),
     "likely": lambda s: durable(verify.verify_candidates(s.candidates, s.fast, s.items, P), "likely"),
     "points": lambda s: durable(verify.matching_points(s.likely, s.kept_samples, P.distance), "points"),
+    "aligned": lambda s: durable(align.align_pairs(s.points, P), "aligned"),
+    "records": lambda s: align.match_records(s.aligned, s.items, P, s.counts),
     "matches": _matches,
     "classes": lambda s: durable(coverage.exact_classes(s.items, s.matches), "classes"),
     "clips": lambda s: durable(groups.clip_components(s.matches, s.classes), "clips"),
@@ -165,8 +166,9 @@ def run_history(s):
 
 @query("select group_id, keeper_ids, removal_order, 'manual' as method from decided")
 def decision_snapshots(s):
-    saved = s.decided.withColumns({"run_id": F.lit("r"), "snapshot_id": F.lit("1")}).unionByName(s.decided.limit(0).withColumns({"run_id": F.lit("r"), "snapshot_id": F.lit("2")}))
-    return stores.snapshot(saved, "r", "1").select("group_id", F.array_sort("keeper_ids").alias("keeper_ids"), F.array_sort("removal_order").alias("removal_order"), "method")
+    state = stores.state_of(s.items, s.matches, min_coverage=P.min_coverage)
+    saved = stores.save_snapshot(s.decided, "r", "1", state).unionByName(stores.save_snapshot(s.decided.where("group_id % 5 = 0"), "r", "2", "another"))
+    return stores.snapshot(saved, "r", "1", state).select("group_id", F.array_sort("keeper_ids").alias("keeper_ids"), F.array_sort("removal_order").alias("removal_order"), "method")
 
 
 @query("select match_id, a_id, b_id, greatest(a_duplicated_percent, b_duplicated_percent) as most from matches")
@@ -176,29 +178,34 @@ def sort_matches(s):
 
 @query("select match_id, kind, a_id, b_id from matches")
 def write_report(s):
-    path = f"{shared_dir(s.spark)}/report-{s.spark.sparkContext.applicationId}"
+    path = f"{shared_dir(s.spark)}/report-{s.spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     reports.write_report(path, s.items, s.matches, {"interval": str(P.interval)})
     return reports.load_report(s.spark, path)[1].select("match_id", "kind", "a_id", "b_id")
 
 
 @query("select item_id, path, size_bytes, duration_seconds from items")
 def load_report(s):
-    path = f"{shared_dir(s.spark)}/report-{s.spark.sparkContext.applicationId}-items"
+    path = f"{shared_dir(s.spark)}/report-{s.spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     reports.write_report(path, s.items, s.matches, {"interval": str(P.interval)})
     return reports.load_report(s.spark, path)[0].select("item_id", "path", "size_bytes", "duration_seconds")
 
 
-@query("select group_id, 'manual' as method, list_transform(keeper_ids, lambda x: x) as keepers, len(removal_order) as n_removals from decided")
+@query("""select g.group_id, 'manual' as method, g.keeper_ids as keepers, g.removal_order as removals, count(a.item_id) as n_actions, coalesce(sum(i.size_bytes), 0)::bigint as bytes
+    from decided g left join actions a using (group_id) left join items i using (item_id) group by all""")
 def write_plan(s):
-    rows = reports.plan_rows(s.decided, s.items)
-    ids = F.transform("keeper_paths", lambda p: F.regexp_extract(p, r"doc(\d+)", 1).cast("long"))
-    return rows.select("group_id", "method", ids.alias("keepers"), F.size("removal_paths").cast("long").alias("n_removals"))
+    path = f"{shared_dir(s.spark)}/plan-{s.spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    reports.write_plan(path, s.decided, s.actions, s.items)
+    decisions, actions = reports.load_plan(s.spark, path)
+    own = actions.join(s.actions.select("item_id", "group_id"), "item_id").groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("b"))
+    ids = lambda c: F.transform(c, lambda p: F.regexp_extract(p, r"doc(\d+)", 1).cast("long"))
+    told = decisions.select("group_id", "method", ids("keeper_paths").alias("keepers"), ids("removal_paths").alias("removals"))
+    return told.join(own, "group_id", "left").select("group_id", "method", "keepers", "removals", F.coalesce("n", F.lit(0)).alias("n_actions"), F.coalesce("b", F.lit(0)).alias("bytes"))
 
 
 @query("select d.status, count(*) as n from actions join drift d using (item_id) group by d.status")
 def apply_result_log(s):
     checked = plans.validate_plan(s.actions, s.decided, s.items, s.inventory, by_set=False)
-    path = f"{shared_dir(s.spark)}/results-{s.spark.sparkContext.applicationId}-{id(s)}"
+    path = f"{shared_dir(s.spark)}/results-{s.spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     name = F.create_map(*[F.lit(x) for x in ("ready", "ok", "refused", "changed", "skipped", "missing")])
     stores.append_results(checked.select(F.lit("p1").alias("plan_id"), "item_id", name[F.col("status")].alias("status")), path)
     return s.spark.read.schema("item_id long, status string, plan_id string").parquet(path).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
@@ -219,10 +226,15 @@ def frame_dhash(s):
 _MEAN = "list_sum(list_transform(embedding, lambda x: x::double)) / len(embedding)"
 
 
-@query(f"select vec_id, m, len(list_filter(embedding, lambda x: x::double >= m)) as ones from (select vec_id, embedding, round({_MEAN}, 9) as r, {_MEAN} as m from embeddings)".replace("select vec_id, m,", "select vec_id, round(m, 6) as average,"))
+_ABOVE = "case when embedding[{k}]::double >= m then 1 else 0 end"
+_WORDS = ", ".join("(" + " + ".join(f"{1 << (31 - i)} * ({_ABOVE.format(k=32 * h + i + 1)})::bigint" for i in range(32)) + f")::bigint as {n}" for h, n in enumerate(("high", "low")))
+
+
+@query(f"select vec_id, round(m, 6) as average, {_WORDS} from (select vec_id, embedding, {_MEAN} as m from embeddings)")
 def frame_ahash(s):
     v = F.col("embedding")
-    return s.vectors.select("vec_id", F.round(K.vector_average(v), 6).alias("average"), F.bit_count(K.vector_ahash(v)).cast("long").alias("ones"))
+    h = K.vector_ahash(v)
+    return s.vectors.select("vec_id", F.round(K.vector_average(v), 6).alias("average"), F.shiftrightunsigned(h, 32).alias("high"), h.bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"))
 
 
 @query(f"select vec_id, least(255, greatest(0, floor(({_MEAN} + 1) * 127.5)))::int as mean from embeddings")
@@ -417,7 +429,7 @@ def offset_votes(s):
 
 @query("select a, b, round(sure, 9) as sure from paired")
 def match_confidence(s):
-    return align.align_best_offset(s.points, P).groupBy("a", "b").agg(F.round(align.match_confidence("distance", P.distance), 9).alias("sure"))
+    return s.aligned.groupBy("a", "b").agg(F.round(align.match_confidence("distance", P.distance), 9).alias("sure"))
 
 
 @query("""select (select count(*) from items where duration_seconds >= 3) as scanned, (select count(*) from items where duration_seconds < 3) as short_filtered, (select count(*) from candidates) as candidate_pairs,
@@ -495,9 +507,9 @@ def monotonic_filter(s):
     return align.monotonic(align.runs(chosen, ["a", "b"]), ["a", "b", "run"]).select("a", "b", "i", "j")
 
 
-@query()
+@query(f"select a, b, i, j, distance from taken_{P.top_offsets}")
 def align_pairs(s):
-    return align.align_pairs(s.points, P)
+    return s.aligned
 
 
 @query("select a, b, i, j, distance from aligned")
@@ -512,8 +524,7 @@ def _told(c: str) -> str:
 @query(f"select a_id, b_id, overlap_seconds, a_duplicated_percent, b_duplicated_percent, confidence, {_told('a_sample_ranges')} as a_ranges, {_told('b_sample_ranges')} as b_ranges from records")
 def match_records(s):
     told = lambda c: F.array_join(F.transform(c, lambda r: F.concat(r["start"], F.lit("-"), r["end"])), " ")
-    rows = align.match_records(align.align_best_offset(s.points, P), s.items, P, s.counts)
-    return rows.select("a_id", "b_id", "overlap_seconds", "a_duplicated_percent", "b_duplicated_percent", "confidence", told("a_sample_ranges").alias("a_ranges"), told("b_sample_ranges").alias("b_ranges"))
+    return s.records.select("a_id", "b_id", "overlap_seconds", "a_duplicated_percent", "b_duplicated_percent", "confidence", told("a_sample_ranges").alias("a_ranges"), told("b_sample_ranges").alias("b_ranges"))
 
 
 @query("select group_id, members[1] as least, len(members) as n from set_ids")
@@ -553,11 +564,11 @@ def relation_bins(s):
     return bins.groupBy("match_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.min("bin").alias("first"), F.max("bin").alias("last"))
 
 
-@query("select item_id, covered_percent, sources from (select group_id, item_id, round(covered_percent, 6) as covered_percent, sources from covered where group_id = (select min(group_id) from members m where m.item_id = covered.item_id))")
+@query("select item_id, covered_percent, sources, n_sources from (select group_id, item_id, round(covered_percent, 6) as covered_percent, sources, n_sources from covered where group_id = (select min(group_id) from members m where m.item_id = covered.item_id))")
 def covered_by(s):
     own = s.members.groupBy("item_id").agg(F.min("group_id").alias("scope"))
     found = coverage.covered_by(own.select("scope", "item_id"), s.members.select(F.col("group_id").alias("scope"), "item_id"), s.matches, s.items, P.interval, s.classes)
-    return found.select("item_id", F.round("covered_percent", 6).alias("covered_percent"), "sources")
+    return found.select("item_id", F.round("covered_percent", 6).alias("covered_percent"), "sources", "n_sources")
 
 
 @query("select item_id, n from item_n")
@@ -571,7 +582,7 @@ def duplicate_time_ranges(s):
     return coverage.duplicate_time_ranges(s.matches, s.items, P.interval)
 
 
-@query("select group_id, item_id, round(covered_percent, 6) as covered_percent, sources from covered")
+@query("select group_id, item_id, round(covered_percent, 6) as covered_percent, sources, n_sources from covered")
 def group_coverage(s):
     return groups.group_coverage(s.members, s.used, s.matches, s.items, P.interval).withColumn("covered_percent", F.round("covered_percent", 6))
 
@@ -633,8 +644,7 @@ def linked_groups(s):
 
 @query("select kind, count(*) as n, sum(a_id)::bigint as a, sum(b_id)::bigint as b from all_matches group by kind")
 def all_matches(s):
-    records = align.match_records(align.align_best_offset(s.points, P), s.items, P, s.counts)
-    return exact.exact_matches(s.items).unionByName(records).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("a_id").alias("a"), F.sum("b_id").alias("b"))
+    return exact.exact_matches(s.items).unionByName(s.records).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("a_id").alias("a"), F.sum("b_id").alias("b"))
 
 
 @query("select a, b from candidates")
@@ -647,11 +657,12 @@ def likely_items(s):
     return candidates.likely_items(s.likely)
 
 
-@query("select w.item_id, k.item_id as keeper from classes w join classes k using (class_id) join kept on kept.item_id = k.item_id where k.item_id <> w.item_id and w.item_id in (select item_id from members)")
+@query("""select item_id, case when own and item_id < others[1] then others[-1] else others[1] end as keeper, len(others)::bigint as n_keepers from (select w.item_id, w.item_id in (select item_id from kept) as own, list_sort(list(k.item_id)) as others
+    from classes w join classes k using (class_id) join kept on kept.item_id = k.item_id where k.item_id <> w.item_id and w.item_id in (select item_id from members) group by w.item_id)""")
 def exact_keepers(s):
-    own = s.members.select("item_id").distinct().join(s.classes, "item_id")
-    kept = plans.keepers(s.decided).join(s.classes, "item_id").select("class_id", F.col("item_id").alias("keeper"))
-    return own.join(kept, "class_id").where("item_id <> keeper").select("item_id", "keeper")
+    scope = F.lit(0).alias("scope")
+    found = coverage.exact_sources(s.members.select(scope, "item_id").distinct(), plans.keepers(s.decided).select(scope, "item_id"), s.classes)
+    return found.select("item_id", F.col("source").alias("keeper"), F.col("n_sources").alias("n_keepers"))
 
 
 # Policy and plans
@@ -673,7 +684,7 @@ def strategy_decisions(s):
     return policy.strategy_decisions(s.members, gone, "strategy:delete-shorter-name")
 
 
-@query("select item_id, group_id, place, covered_percent, sources from actions")
+@query("select item_id, group_id, place, covered_percent, sources, n_sources from actions")
 def build_actions(s):
     return s.actions
 
@@ -716,7 +727,7 @@ def retire_resolved(s):
 
 
 def _stream(s) -> tuple[DataFrame, str]:
-    base = f"{shared_dir(s.spark)}/stream-{s.spark.sparkContext.applicationId}-{id(s)}"
+    base = f"{shared_dir(s.spark)}/stream-{s.spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     s.docs.select("doc_id", "text").withColumn("part", F.col("doc_id") % 4).repartition(4, "part").drop("part").write.parquet(f"{base}/in")
     return s.spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), base
 
@@ -724,12 +735,12 @@ def _stream(s) -> tuple[DataFrame, str]:
 @query("select item_id, pos, mean from samples")
 def stream_fingerprints(s):
     stream, base = _stream(s)
-    incremental.stream_fingerprints(stream, adapters.document_samples, f"{base}/store", f"{base}/checkpoint").awaitTermination()
-    return s.spark.read.parquet(f"{base}/store/samples").select("item_id", "pos", F.col("mean").cast("int").alias("mean"))
+    incremental.stream_fingerprints(stream, adapters.document_samples, f"{base}/store", f"{base}/checkpoint", P).awaitTermination()
+    return incremental.current(s.spark, f"{base}/store", "samples").select("item_id", "pos", F.col("mean").cast("int").alias("mean"))
 
 
 @query()
 def stream_match_new(s):
     stream, base = _stream(s)
     incremental.stream_match_new(s.spark, stream, adapters.document_samples, f"{base}/store", f"{base}/checkpoint", P).awaitTermination()
-    return s.spark.read.parquet(f"{base}/store/matches").select("a", "b", "i", "j", "distance")
+    return incremental.current_matches(s.spark, f"{base}/store").select("a", "b", "i", "j", "distance")

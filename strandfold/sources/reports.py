@@ -1,40 +1,59 @@
-"""Reports and plans as JSON, and run summaries."""
+"""Reports and plans as lines of JSON, and run summaries."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from strandfold.operators.align import sort_matches
 
-FILES = "array<struct<item_id: long, path: string, size_bytes: long, mtime_ns: long, duration_seconds: double, width: long, height: long, codec: string, detailed_sample_count: long>>"
 RANGE = "array<struct<start: int, end: int>>"
-MATCHES = f"array<struct<match_id: long, a_id: long, b_id: long, kind: string, overlap_seconds: double, a_duplicated_percent: double, b_duplicated_percent: double, confidence: double, a_sample_ranges: {RANGE}, b_sample_ranges: {RANGE}>>"
-REPORT = f"schema_version int, settings map<string, string>, files {FILES}, matches {MATCHES}"
+PARTS = {
+    "files": "item_id long, path string, size_bytes long, mtime_ns long, duration_seconds double, width long, height long, codec string, detailed_sample_count long",
+    "matches": f"match_id long, a_id long, b_id long, kind string, overlap_seconds double, a_duplicated_percent double, b_duplicated_percent double, confidence double, a_sample_ranges {RANGE}, b_sample_ranges {RANGE}",
+    "settings": "schema_version int, settings map<string, string>",
+}
+PLAN = {
+    "decisions": "group_id long, method string, keeper_paths array<string>, removal_paths array<string>",
+    "actions": "item_id long, path string, size_bytes long, mtime_ns long, covered_percent double, sources array<long>, n_sources long",
+}
+
+
+def write_parts(path: str, parts: dict[str, str], **tables: DataFrame) -> None:
+    """Each table as lines of JSON in as many files as it has partitions, under its name."""
+    for name, table in tables.items():
+        table.select(*T.StructType.fromDDL(parts[name]).names).write.mode("overwrite").json(f"{path}/{name}")
 
 
-def write_tables(path: str, run_id: str, **tables: DataFrame) -> None:
-    """Each table as Parquet under its name and the run."""
-    for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}/run_id={run_id}")
+def read_parts(spark: SparkSession, path: str, parts: dict[str, str]) -> dict[str, DataFrame]:
+    return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in parts.items()}
 
 
 def write_report(path: str, items: DataFrame, matches: DataFrame, settings: dict[str, str]) -> None:
-    """One JSON document for exchange with tools that want one; tables of any size go through write_tables."""
-    none = F.lit(0).alias("_one")
-    file_type, match_type = FILES[6:-1], MATCHES[6:-1]
-    order = F.struct((-F.greatest("a_duplicated_percent", "b_duplicated_percent")).alias("_o"), F.col("a_id").alias("_a"), F.col("b_id").alias("_b"), F.struct(*matches.columns).alias("m"))
-    files = items.groupBy(none).agg(F.sort_array(F.collect_list(F.struct(*[f.split(":")[0].strip() for f in file_type[7:-1].split(",")]))).alias("files"))
-    found = matches.groupBy(none).agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["m"].cast(match_type)).alias("matches"))
-    top = files.join(found, "_one", "left").select(
-        F.lit(1).alias("schema_version"), F.create_map(*[F.lit(x) for kv in settings.items() for x in kv]).alias("settings"), "files", F.coalesce("matches", F.array().cast(MATCHES)).alias("matches")
-    )
-    top.coalesce(1).write.mode("overwrite").json(path)
+    """A report as lines of JSON: files, matches in the order of sort_matches, settings."""
+    none = F.array().cast(RANGE)
+    ranges = {c: F.coalesce(c, none) for c in ("a_sample_ranges", "b_sample_ranges")}
+    told = items.sparkSession.range(1).select(F.lit(1).alias("schema_version"), F.create_map(*[F.lit(x) for kv in settings.items() for x in kv]).alias("settings"))
+    write_parts(path, PARTS, files=items, matches=sort_matches(matches.withColumns(ranges)), settings=told)
 
 
 def load_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
     """(items, matches, settings) of a report."""
-    report = spark.read.schema(REPORT).option("multiLine", True).json(path)
-    settings = report.select("settings").first()["settings"] or {}
-    return report.select(F.inline("files")), report.select(F.inline("matches")), settings
+    parts = read_parts(spark, path, PARTS)
+    return parts["files"], parts["matches"], parts["settings"].select("settings").first()["settings"] or {}
+
+
+def write_plan(path: str, decisions: DataFrame, actions: DataFrame, items: DataFrame) -> None:
+    """A plan as lines of JSON: decisions by path, and actions with the state their files were in."""
+    state = items.select("item_id", "path", "size_bytes", "mtime_ns")
+    write_parts(path, PLAN, decisions=plan_rows(decisions, items), actions=actions.join(state, "item_id"))
+
+
+def load_plan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(decisions by path, actions) of a plan."""
+    parts = read_parts(spark, path, PLAN)
+    return parts["decisions"], parts["actions"]
 
 
 def plan_rows(decisions: DataFrame, items: DataFrame) -> DataFrame:

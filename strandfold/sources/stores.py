@@ -68,9 +68,26 @@ def last_completed(events: DataFrame) -> DataFrame:
     return run_history(events).where("status = 'completed'").agg(F.max_by("run_id", "at").alias("run_id"))
 
 
-def snapshot(decisions: DataFrame, run_id: str, snapshot_id: str) -> DataFrame:
-    """The decisions saved under a run and snapshot."""
-    return decisions.where((F.col("run_id") == run_id) & (F.col("snapshot_id") == snapshot_id)).drop("run_id", "snapshot_id")
+def state_of(items: DataFrame, matches: DataFrame, **thresholds: float) -> str:
+    """What decisions are bound to: a digest of the items, the matches and the thresholds they were made on, in any order of rows."""
+    told = []
+    for table in (items, matches):
+        row = [F.xxhash64(F.lit(k), *sorted(table.columns)).cast("decimal(38,0)") for k in (1, 2)]
+        told.append(table.agg(F.count(F.lit(1)), *[F.sum(x) for x in row]).first())
+    return "/".join(str(x) for t in told for x in t) + "/" + repr(sorted(thresholds.items()))
+
+
+def save_snapshot(decisions: DataFrame, run_id: str, snapshot_id: str, state: str) -> DataFrame:
+    """The decisions as rows of the append-only table of snapshots."""
+    return decisions.withColumns({"run_id": F.lit(run_id), "snapshot_id": F.lit(snapshot_id), "state": F.lit(state)})
+
+
+def snapshot(saved: DataFrame, run_id: str, snapshot_id: str, state: str | None = None) -> DataFrame:
+    """The decisions saved under a run and snapshot; an error if they were made on another state than the one given."""
+    rows = saved.where((F.col("run_id") == run_id) & (F.col("snapshot_id") == snapshot_id))
+    if state is not None and not rows.where(F.col("state") != state).isEmpty():
+        raise ValueError(f"snapshot {snapshot_id} of run {run_id} was made on other items, matches or thresholds")
+    return rows.drop("run_id", "snapshot_id", "state")
 
 
 def append_results(results: DataFrame, path: str) -> None:

@@ -1,7 +1,10 @@
 """New items as a stream: fingerprint once, match against what is known.
 
-Frequencies and caps are recomputed over the stored tokens of new and touched items, so a stream can
-keep pairs that a full scan would have cut; full_refresh answers as a full scan does.
+A store is folders of Parquet, samples, tokens, items and matches, each cut by batch; a batch that is run
+again replaces itself. An item that comes again in a later batch replaces its earlier samples and tokens,
+and what it matched before is no longer told. Frequencies and caps are recomputed over the stored tokens
+that new items share, so a stream can keep pairs that a full scan would have cut; full_refresh answers
+as a full scan does.
 """
 
 from __future__ import annotations
@@ -17,18 +20,58 @@ from strandfold.operators.tokens import item_tokens, selected_tokens
 from strandfold.operators.verify import matching_points
 from strandfold.params import Params
 
+Samples = Callable[[DataFrame], DataFrame]
 
-def stream_fingerprints(stream: DataFrame, to_samples: Callable[[DataFrame], DataFrame], store: str, checkpoint: str):
-    """A query that appends the samples and selected tokens of arriving items, one folder a batch, so a batch that is run again replaces itself."""
+
+def _once(batch: DataFrame, key: str) -> DataFrame:
+    """One row of each key; of several in a batch the greatest."""
+    rest = [c for c in batch.columns if c != key]
+    return batch.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, *[f"_r.{c}" for c in rest])
+
+
+def _store(batch: DataFrame, number: int, to_samples: Samples, store: str, p: Params, key: str) -> None:
+    """The batch's samples, selected tokens and items."""
+    at = f"batch={number}"
+    rows = _once(batch, key)
+    to_samples(rows).write.mode("overwrite").parquet(f"{store}/samples/{at}")
+    samples = batch.sparkSession.read.parquet(f"{store}/samples/{at}")
+    selected_tokens(item_tokens(samples), p.token_limit).write.mode("overwrite").parquet(f"{store}/tokens/{at}")
+    rows.select(F.col(key).alias("item_id")).write.mode("overwrite").parquet(f"{store}/items/{at}")
+
+
+def _latest(spark: SparkSession, store: str, until: int | None) -> DataFrame:
+    """(item_id, batch): the last batch, up to one, that brought each item."""
+    items = spark.read.parquet(f"{store}/items")
+    items = items if until is None else items.where(F.col("batch") <= until)
+    return items.groupBy("item_id").agg(F.max("batch").alias("batch"))
+
+
+def current(spark: SparkSession, store: str, table: str, until: int | None = None) -> DataFrame:
+    """Rows of samples or tokens as of a batch: of each item those that came last."""
+    rows = spark.read.parquet(f"{store}/{table}")
+    return rows.join(_latest(spark, store, until), ["item_id", "batch"], "left_semi").drop("batch")
+
+
+def current_matches(spark: SparkSession, store: str) -> DataFrame:
+    """Matches but those of which an end has come again since."""
+    last = _latest(spark, store, None)
+    rows = spark.read.parquet(f"{store}/matches")
+    for end in ("a", "b"):
+        rows = rows.join(last.select(F.col("item_id").alias(end), F.col("batch").alias("_last")), end).where("_last <= batch").drop("_last")
+    return rows
+
+
+def stream_fingerprints(stream: DataFrame, to_samples: Samples, store: str, checkpoint: str, p: Params, key: str = "doc_id"):
+    """A query that puts the samples and selected tokens of arriving items into the store."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        to_samples(batch).write.mode("overwrite").parquet(f"{store}/samples/batch={number}")
+        _store(batch, number, to_samples, store, p, key)
 
     return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def new_pairs(tokens: DataFrame, new_items: DataFrame, p: Params) -> DataFrame:
-    """(a, b) with a new item at one end at least."""
+    """(a, b) with a new item at one end at least; only tokens that new items hold are joined."""
     new = new_items.select("item_id")
     touched = tokens.join(tokens.join(new, "item_id", "left_semi").select("token").distinct(), "token", "left_semi")
     pairs = candidate_pairs(touched, p)
@@ -37,20 +80,19 @@ def new_pairs(tokens: DataFrame, new_items: DataFrame, p: Params) -> DataFrame:
     return met.where("na or nb").select("a", "b")
 
 
-def match_new(samples: DataFrame, new_items: DataFrame, p: Params) -> DataFrame:
-    """Aligned points of new x (old and new) items."""
-    pairs = new_pairs(selected_tokens(item_tokens(samples), p.token_limit), new_items, p)
-    return align_pairs(matching_points(pairs, samples, p.distance), p)
+def match_new(samples: DataFrame, tokens: DataFrame, new_items: DataFrame, p: Params) -> DataFrame:
+    """Aligned points of new x (old and new) items; tokens: (item_id, token), the selected ones of all samples."""
+    return align_pairs(matching_points(new_pairs(tokens, new_items, p), samples, p.distance), p)
 
 
-def stream_match_new(spark: SparkSession, stream: DataFrame, to_samples: Callable[[DataFrame], DataFrame], store: str, checkpoint: str, p: Params):
-    """A query that appends samples and the matches of every batch with all before it."""
+def stream_match_new(spark: SparkSession, stream: DataFrame, to_samples: Samples, store: str, checkpoint: str, p: Params, key: str = "doc_id"):
+    """The same, and the matches of every batch with all that is stored; tokens are read, not made again."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        to_samples(batch).write.mode("overwrite").parquet(f"{store}/samples/batch={number}")
-        known = spark.read.parquet(f"{store}/samples").where(F.col("batch") <= number)
-        new = known.where(F.col("batch") == number).select("item_id").distinct()
-        match_new(known.drop("batch"), new, p).write.mode("overwrite").parquet(f"{store}/matches/batch={number}")
+        _store(batch, number, to_samples, store, p, key)
+        new = spark.read.parquet(f"{store}/items/batch={number}")
+        found = match_new(current(spark, store, "samples", number), current(spark, store, "tokens", number), new, p)
+        found.write.mode("overwrite").parquet(f"{store}/matches/batch={number}")
 
     return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

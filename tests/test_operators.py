@@ -1,5 +1,6 @@
 """Literal cases and small models of the operators."""
 
+import collections
 import random
 
 import numpy as np
@@ -248,14 +249,76 @@ def test_shared_tile_alone_does_not_match(spark):
     assert all(r.distance > 20 for r in points.collect())
 
 
-def test_greedy_alignment_is_one_to_one(spark):
-    import pandas as pd
-
+def aligned_model(points, least, most=20):
+    """The matcher as its definition has it, on one pair's points {(i, j): distance}."""
+    votes = collections.Counter(j - i for i, j in points)
+    left, right, taken = set(), set(), []
+    for shift in sorted(votes, key=lambda k: (-votes[k], -k))[:most]:
+        best = {}
+        for (i, j), d in points.items():
+            if abs(j - i - shift) <= 1 and i not in left and j not in right:
+                best[i] = min(best.get(i, (9, 0, 0)), (abs(j - i - shift), d, j))
+        runs, at = [], sorted(best)
+        for k, i in enumerate(at):
+            runs = [*runs[:-1], [*runs[-1], i]] if k and i - at[k - 1] <= 2 else [*runs, [i]]
+        for run in runs:
+            rising = [i for k, i in enumerate(run) if all(best[h][2] < best[i][2] for h in run[:k])]
+            if len(run) >= least and run[-1] - run[0] + 1 >= least and len(rising) >= least:
+                taken += [(i, best[i][2], best[i][1]) for i in rising]
+                left |= set(rising)
+                right |= {best[i][2] for i in rising}
+    return sorted(taken)
+
+
+def test_alignment_equals_model(spark):
     rng = random.Random(5)
-    for _ in range(200):
-        points = pd.DataFrame([(i, j, rng.randint(0, 20)) for i in range(12) for j in range(12) if rng.random() < 0.3], columns=["i", "j", "distance"])
-        got = align._greedy(points, [0, 1, -1, 2], 2)
-        assert len({g[0] for g in got}) == len(got) == len({g[1] for g in got})
+    pairs = {}
+    for a in range(120):
+        points = {(i, j): rng.randint(0, 20) for i in range(12) for j in range(12) if rng.random() < 0.25}
+        order = rng.sample(range(3), 3)  # three parts in another order on the other side
+        points |= {(20 + 6 * k + x, 20 + 6 * order[k] + x): rng.randint(0, 5) for k in range(3) for x in range(6) if rng.random() < 0.9}
+        pairs[a] = points
+    rows = [(a, a + 1000, i, j, d) for a, points in pairs.items() for (i, j), d in points.items()]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "a long, b long, i int, j int, distance int")
+    got = collections.defaultdict(list)
+    for r in align.align_pairs(table, Params(interval=1.0, min_segment=3.0)).collect():
+        got[r.a].append((r.i, r.j, r.distance))
+    assert {a: sorted(got[a]) for a in pairs} == {a: aligned_model(points, 3) for a, points in pairs.items()}
+    assert any(len({j - i for i, j, _ in x}) >= 3 for x in got.values())
+    assert align.align_pairs(table.limit(0), Params()).count() == 0
+
+
+def test_thousands_of_exact_copies(spark):
+    n = 3000
+    ids = [10_000_000 + k for k in range(n)]
+    table = spark.createDataFrame([(i, "same", 5) for i in ids], "item_id long, sha256 string, size_bytes long")
+    star = spark.createDataFrame([(ids[0], i) for i in ids[1:]], "a_id long, b_id long")
+    found = star.select("a_id", "b_id", F.lit("exact").alias("kind"))
+    classes = coverage.exact_classes(table, found)
+    scope = table.select(F.lit(0).alias("scope"), "item_id")
+    got = {r.item_id: (r.source, r.n_sources) for r in coverage.exact_sources(scope, scope, classes).collect()}
+    assert got == {i: (ids[0] if i != ids[0] else ids[-1], n - 1) for i in ids}
+    few = coverage.exact_sources(scope, scope.where(F.col("item_id") == ids[7]), classes).collect()
+    assert len(few) == n - 1 and {r.source for r in few} == {ids[7]}
+
+
+def test_report_and_plan_come_back(spark, tmp_path):
+    from strandfold.sources import reports
+
+    rows = spark.createDataFrame([(k, f"/a/{k}", 10 * k, k, 1.5, 3, 4, "c", None) for k in range(50)], reports.PARTS["files"]).repartition(5)
+    found = spark.createDataFrame([(k, k, k + 1, "perceptual", 1.0, float(k), 2.0, 0.5, [(0, k)], None) for k in range(40)], reports.PARTS["matches"])
+    for _ in range(2):  # written anew, not added to
+        reports.write_report(f"{tmp_path}/r", rows, found, {"interval": "1.0"})
+    files, matches, settings = reports.load_report(spark, f"{tmp_path}/r")
+    assert sorted(files.collect()) == sorted(rows.collect()) and settings == {"interval": "1.0"}
+    assert [(r.match_id, [tuple(x) for x in r.a_sample_ranges], r.b_sample_ranges) for r in matches.orderBy("match_id").collect()] == [(k, [(0, k)], []) for k in range(40)]
+    decided = spark.createDataFrame([(1, [3], [5, 4], "m"), (2, [6], [], "m")], "group_id long, keeper_ids array<long>, removal_order array<long>, method string")
+    actions = spark.createDataFrame([(5, 99.0, [3], 1)], "item_id long, covered_percent double, sources array<long>, n_sources long")
+    reports.write_plan(f"{tmp_path}/p", decided, actions, rows)
+    by_path, planned = reports.load_plan(spark, f"{tmp_path}/p")
+    assert sorted((r.group_id, r.keeper_paths, r.removal_paths) for r in by_path.collect()) == [(1, ["/a/3"], ["/a/5", "/a/4"]), (2, ["/a/6"], [])]
+    assert [(r.item_id, r.path, r.size_bytes, r.sources) for r in planned.collect()] == [(5, "/a/5", 50, [3])]
 
 
 def test_components_equal_union_find(spark):
@@ -279,3 +342,49 @@ def test_names_and_numbers(spark):
     df = spark.createDataFrame([("/a/b/c1.mp4", "1.5"), ("/z/clip.mp4", "nan"), ("/a/x", "x")], "path string, t string")
     got = df.select(K.relative_folder_depth(F.col("path"), F.array(F.lit("/a"), F.lit("/a/b/"))).alias("d"), K.mixed_alphanumeric_name(F.col("path")).alias("m"), K.safe_float(F.col("t")).alias("f")).collect()
     assert [(r.d, r.m, r.f) for r in got] == [(0, True, 1.5), (1, False, 0.0), (0, False, 0.0)]
+
+
+def test_stale_snapshot_is_refused(spark):
+    from strandfold.sources import stores
+
+    decided = spark.createDataFrame([(1, [2], [3], "m")], DECISION)
+    known, found = items(spark, 4), matches(spark, p(2, 3, [(0, 3)], [(0, 3)]))
+    state = stores.state_of(known, found, min_coverage=95.0)
+    saved = stores.save_snapshot(decided, "r", "s", state)
+    assert stores.state_of(known.repartition(3), found, min_coverage=95.0) == state
+    assert [tuple(r) for r in stores.snapshot(saved, "r", "s", state).collect()] == [(1, [2], [3], "m")]
+    for other in (stores.state_of(known.where("item_id <> 0"), found, min_coverage=95.0), stores.state_of(known, found, min_coverage=90.0)):
+        with pytest.raises(ValueError):
+            stores.snapshot(saved, "r", "s", other)
+
+
+def test_stream_replaces_items_that_come_again(spark, tmp_path):
+    from strandfold.sources import adapters
+    from strandfold.streaming import incremental
+
+    lines = lambda k, seed: ". ".join(f"word{random.Random(f'{seed}-{i}').randint(0, 10**9)} some line number {seed} {i} of text" for i in range(k))
+    parts = [[(1, lines(8, "x")), (2, lines(8, "y"))], [(3, lines(8, "x"))], [(1, lines(8, "z")), (4, lines(8, "y"))]]
+    q = Params(interval=1.0, min_segment=3.0)
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for part in parts:
+        spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        incremental.stream_match_new(spark, stream, adapters.document_samples, f"{tmp_path}/store", f"{tmp_path}/checkpoint", q).awaitTermination()
+    now = incremental.current(spark, f"{tmp_path}/store", "samples")
+    want = adapters.document_samples(spark.createDataFrame([(1, lines(8, "z")), (2, lines(8, "y")), (3, lines(8, "x")), (4, lines(8, "y"))], "doc_id long, text string"))
+    assert sorted(now.select(*want.columns).collect()) == sorted(want.collect())
+    got = {(r.a, r.b) for r in incremental.current_matches(spark, f"{tmp_path}/store").collect()}
+    assert (2, 4) in got and (1, 3) not in got
+    assert {(r.a, r.b) for r in incremental.full_refresh(now, q).collect()} == got
+
+
+def test_list_files_by_depth(spark, tmp_path):
+    from strandfold.sources import discovery
+
+    for name in ("a.mp4", "one/b.MP4", "one/two/c.mp4", "one/d.txt"):
+        f = tmp_path / "root" / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"x" * 7)
+    listed = discovery.list_files(spark, [f"{tmp_path}/root"])
+    found = lambda depth: sorted(r.path.split("/root/")[1] for r in discovery.discover_items(listed, [f"{tmp_path}/root"], depth, ("mp4",)).collect())
+    assert found(0) == ["a.mp4"] and found(1) == ["a.mp4", "one/b.MP4"] and found(-1) == ["a.mp4", "one/b.MP4", "one/two/c.mp4"]

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
-CHOSEN = ["exact_matches", "candidate_pairs", "splitmix64", "match_records", "group_coverage", "build_actions", "linked_groups", "normalize_coverage", "write_report"]
+CHOSEN = ["align_pairs", "write_plan", "exact_keepers", "frame_ahash", "stream_fingerprints", "exact_matches", "candidate_pairs", "splitmix64", "match_records", "group_coverage", "build_actions", "linked_groups", "normalize_coverage", "write_report"]
 
 
 def plain(v):
