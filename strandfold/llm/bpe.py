@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 
 from strandfold.llm import words as W
 
-MAX_MOVES = 600_000
-MAX_PIECES = 250_000
+MAX_MOVES = 400_000
+MAX_PIECES = 200_000
 LOOKAHEAD = 4096
 NEVER = 1 << 60
 NO_KIDS: dict[int, int] = {}
@@ -129,6 +129,12 @@ class Transducer:
         self.moves: dict[int, int] = {}
         self._state((0, -1))
 
+    def forget(self) -> None:
+        self.fits.clear()
+        self.edges.clear()
+        self.open.clear()
+        self._reset()
+
     def _state(self, key: tuple) -> int:
         if key not in self.states:
             self.states[key] = len(self.held)
@@ -275,6 +281,13 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """Drops what was learnt from texts, at the end of a task; the vocabulary's own tables stay."""
+        self.clear()
+        self.older = {}
+        self.transducer.forget()
+        W.release()
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.__getitem__, self.split(text))))
 
@@ -387,6 +400,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                 if decoded:
                     columns.append(pa.array([_decoded(tokens, x) for x in out], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, *([decoded] if decoded else [])])
+        encoder.forget()
 
     return df.mapInArrow(job, schema)
 

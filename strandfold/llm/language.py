@@ -34,8 +34,8 @@ POOL = 8.0
 SAMPLE, SAMPLE_BYTES = 3000, 1 << 14
 WINDOWS_EACH = 12_000
 BATCH, EPOCHS, RATE = 256, 3, 0.01
-CHUNK_BYTES = 4 << 20
-MEMO = 1_000_000
+CHUNK_BYTES = 1 << 20
+MEMO = 500_000
 
 _LETTER = np.zeros(256, bool)
 for _low, _high in ((65, 90), (97, 122), (128, 255)):
@@ -191,6 +191,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", name: str
                         if _ANY_LETTER(t):
                             langs[i], scores[i] = net.languages[best[i]], p[i, best[i]]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(lo, hi - lo) for n in kept), pa.array(langs), pa.array(scores)], names=schema.names)
+        W.release()
 
     return docs.mapInArrow(job, schema)
 

@@ -90,6 +90,7 @@ def _sketch(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> D
                     [*(batch.column(k).slice(lo, hi - lo) for k in range(3)), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["doc_id", "row", "place", "n_shingles", "node", "sig", "bands"],
                 )
+        W.release()
 
     place = F.monotonically_increasing_id()
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), _row(doc_id, text).alias("row"), place.alias("place"), F.col(text).alias("text")).mapInArrow(
@@ -106,6 +107,7 @@ def _whole_sets(docs: DataFrame) -> DataFrame:
                 sets = [s.view(np.int64) for s in W.shingle_sets(codes, bounds)]
                 node = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+        W.release()
 
     return docs.mapInArrow(job, "node binary, set array<long>")
 

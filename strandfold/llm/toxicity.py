@@ -36,6 +36,7 @@ from strandfold.llm.sampling import labelled_rows
 SAMPLE, SAMPLE_BYTES = 4000, 1 << 14
 BLOCK, FIRST, PIVOTS, K = 64, 4, 32, 15
 LEAST_SHINGLES = 4
+ROWS = 1024  # scored at a time
 NONE = np.empty(0, np.int64)
 
 
@@ -230,6 +231,7 @@ def _frequencies(docs: DataFrame, known: np.ndarray, text: str) -> tuple[np.ndar
                 sums[0] += n
                 sums[1:] += np.bincount(numbers, minlength=len(known))
         some = np.flatnonzero(sums)
+        W.release()
         yield pa.RecordBatch.from_arrays([pa.array(some - 1), pa.array(sums[some])], names=["term", "n"])
 
     out = np.zeros(len(known) + 1, np.int64)
@@ -273,7 +275,7 @@ def score(docs: DataFrame, index: Index | None, text: str = "text", name: str =
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
+        for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             if index is None:
                 found = [(0.0, NONE, np.empty(0))] * batch.num_rows
             else:
@@ -285,5 +287,6 @@ def score(docs: DataFrame, index: Index | None, text: str = "text", name: str =
             bounds = np.concatenate([[0], np.cumsum([len(f[1]) for f in found])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), each)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array([f[0] for f in found], pa.float64()), lists], names=schema.names)
+        W.release()
 
     return docs.mapInArrow(job, schema)

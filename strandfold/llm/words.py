@@ -6,6 +6,7 @@ shingles are 64-bit codes: sums of random byte values times powers of an odd num
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on for the next stage, beside others on its machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def as_strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The column as one large_string array without nulls (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
