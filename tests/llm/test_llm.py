@@ -343,6 +343,23 @@ def test_toxicity_equals_brute_force(spark):
     assert toxicity.train(table.limit(0), F.col("toxic"), table) is None
 
 
+def test_quality_equals_plain_dot_products(spark):
+    """Scores are the intercept and, over all features of a text, weight times count over the root of its words."""
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=(1 << quality.BITS) + 2)
+    weights[1 << quality.BITS] = 0
+    texts = ["a b a b, c!", "", None, "x", "Word word WORD  w2\n..", "é二 " * 50, " ".join(f"w{k % 7}" for k in range(300))]
+    got = quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), weights).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        body, offsets = W.raw(W.as_strings(pa.array([r.text])))
+        slots, bounds, factor = quality.features(body, offsets)
+        n = len(re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+|[^\s0-9A-Za-z\u0080-\U0010ffff]+", r.text or ""))
+        total = sum(weights[k] for k in slots.tolist()) / math.sqrt(max(n, 1)) + weights[-1]
+        assert len(slots) == 3 * n and bounds.tolist() == [0, 3 * n] and factor[0] == pytest.approx(1 / math.sqrt(max(n, 1)))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, total)))))
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(6)
     known = np.arange(40, dtype=np.uint64)
