@@ -1,10 +1,10 @@
 """Language of documents by a bidirectional gated recurrent network over bytes, in numpy.
 
-Every whole text is read in windows: its words, cut after WINDOW bytes. The network reads a window
-from both ends and gives each of its positions a distribution over the languages. A document's
-log probability of a language is the sum over all its letter positions (ASCII letters and bytes
-above 0x7F), divided by POOL since neighbours in a word say much the same, over that of all
-languages. Equal windows have equal outputs, so a task remembers them.
+Every whole text is read in windows of WINDOW bytes, one after another, over words and blanks alike;
+the last one is filled up with blanks. The network reads a window from both ends and gives each of
+its positions a distribution over the languages. A document's log probability of a language is the
+sum over all its letter positions (ASCII letters and bytes above 0x7F), divided by POOL since
+neighbours say much the same, over that of all languages.
 
 Trained on the driver by backpropagation through time (Adam) on a bounded sample: SAMPLE texts of at
 most SAMPLE_BYTES bytes each, equally many windows of each language.
@@ -28,14 +28,15 @@ from pyspark.sql import types as T
 from strandfold.llm import words as W
 from strandfold.llm.sampling import labelled_sample
 
-WINDOW = 24
-HIDDEN = 8
-POOL = 8.0
+WINDOW = 64
+HIDDEN = 16
+POOL = 16.0
 SAMPLE, SAMPLE_BYTES = 3000, 1 << 14
-WINDOWS_EACH = 12_000
-BATCH, EPOCHS, RATE = 256, 3, 0.01
+WINDOWS_EACH = 2000
+BATCH, EPOCHS, RATE = 64, 3, 0.01
 CHUNK_BYTES = 1 << 20
-MEMO = 500_000
+ROWS = 2048  # windows read in step
+BLANK = 0x20
 
 _LETTER = np.zeros(256, bool)
 for _low, _high in ((65, 90), (97, 122), (128, 255)):
@@ -45,19 +46,27 @@ _FOLD[65:91] += 32
 _ANY_LETTER = regex.compile(r"\p{L}").search
 
 
-def windows(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, n + 1 bounds of the texts among them)."""
-    starts, ends = W.spans(body, offsets)
-    parts = -(-(ends - starts) // WINDOW)
-    if len(parts) and parts.max() > 1:
-        owner = np.repeat(np.arange(len(starts)), parts)
-        step = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts, ends = starts[owner] + step * WINDOW, np.minimum(starts[owner] + (step + 1) * WINDOW, ends[owner])
-    return starts, ends, np.searchsorted(starts, offsets)
+def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, n + 1 bounds of the texts among them) of texts between offsets."""
+    parts = -(-np.diff(offsets) // WINDOW)
+    bounds = np.concatenate([[0], np.cumsum(parts)])
+    owner = np.repeat(np.arange(len(parts)), parts)
+    starts = offsets[owner] + (np.arange(len(owner)) - bounds[owner]) * WINDOW
+    return starts, np.minimum(starts + WINDOW, offsets[owner + 1]), bounds
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def read(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """n x WINDOW bytes, A-Z as a-z, blanks after the end."""
+    at = starts[:, None] + np.arange(WINDOW)
+    return np.where(at < ends[:, None], _FOLD[body[np.minimum(at, len(body) - 1)]], BLANK).astype(np.uint8)
+
+
+def _sigmoid(x: np.ndarray) -> None:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
 
 
 class Network:
@@ -72,29 +81,37 @@ class Network:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
     def _run(self, data: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States after each position, n x L x H. data: n x L bytes in the direction's order."""
-        h, (n, length) = HIDDEN, data.shape
-        state, out, u = np.zeros((n, h), np.float32), np.empty((n, length, h), np.float32), self.p[f"u_{d}"]
+        """States after each position, L x n x H. data: n x L bytes in the direction's order."""
+        h, (n, length), (x, u) = HIDDEN, data.shape, (self.p[f"x_{d}"], self.p[f"u_{d}"])
+        x_gates, x_new, u_gates, u_new = (np.ascontiguousarray(part) for w in (x, u) for part in (w[:, : 2 * h], w[:, 2 * h :]))
+        seen = np.ascontiguousarray(data.T).astype(np.intp)
+        state, out = np.zeros((n, h), x.dtype), np.empty((length, n, h), x.dtype)
         for t in range(length):
-            x = self.p[f"x_{d}"][data[:, t]]
-            zr = _sigmoid(x[:, : 2 * h] + state @ u[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            c = np.tanh(x[:, 2 * h :] + (r * state) @ u[:, 2 * h :])
+            gates = x_gates.take(seen[t], axis=0)
+            gates += state @ u_gates
+            _sigmoid(gates)
+            z, r = gates[:, :h], gates[:, h:]
+            c = x_new.take(seen[t], axis=0)
+            c += (r * state) @ u_new
+            np.tanh(c, out=c)
             if keep is not None:
                 keep.append((state, z, r, c))
-            state = state + z * (c - state)
-            out[:, t] = state
+            np.add(state, z * (c - state), out=out[t])
+            state = out[t]
         return out
 
     def log_probabilities(self, data: np.ndarray, kept: dict | None = None) -> np.ndarray:
         """n x L x languages, of n windows of L bytes each."""
         f = self._run(data, "f", kept["f"] if kept is not None else None)
-        b = self._run(data[:, ::-1], "b", kept["b"] if kept is not None else None)[:, ::-1]
+        b = self._run(data[:, ::-1], "b", kept["b"] if kept is not None else None)[::-1]
         if kept is not None:
-            kept["states"] = {"f": f, "b": b}
-        logits = f @ self.p["o_f"] + b @ self.p["o_b"] + self.p["b"]
-        logits -= logits.max(axis=2, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
+            kept["states"] = {"f": f.transpose(1, 0, 2), "b": b.transpose(1, 0, 2)}
+        logits = (f.reshape(-1, HIDDEN) @ self.p["o_f"]).reshape(*f.shape[:2], -1)
+        logits += (b.reshape(-1, HIDDEN) @ self.p["o_b"]).reshape(logits.shape)
+        logits += self.p["b"]
+        # A softmax in place; outputs are sums of bounded states, so they need no shift.
+        logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
+        return logits.transpose(1, 0, 2)
 
     def gradients(self, data: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy of all positions."""
@@ -107,7 +124,7 @@ class Network:
             states, grad, seen = kept["states"][d], off[:, order], data[:, order]
             out[f"o_{d}"] = np.einsum("nth,ntl->hl", states, off)
             dx, du, u = np.zeros_like(self.p[f"x_{d}"]), np.zeros_like(self.p[f"u_{d}"]), self.p[f"u_{d}"]
-            back = np.zeros((n, h), np.float32)
+            back, gates = np.zeros((n, h), np.float32), np.empty((n, length, 3 * h), dx.dtype)
             for t in range(length - 1, -1, -1):
                 before, z, r, c = kept[d][t]
                 back = back + grad[:, t] @ self.p[f"o_{d}"].T
@@ -116,22 +133,22 @@ class Network:
                 through = dc @ u[:, 2 * h :].T
                 dr = through * before * r * (1 - r)
                 gate = np.concatenate([dz, dr, dc], axis=1)
-                np.add.at(dx, seen[:, t], gate)
+                gates[:, t] = gate
                 du[:, : 2 * h] += before.T @ gate[:, : 2 * h]
                 du[:, 2 * h :] += (r * before).T @ dc
                 back = back * (1 - z) + through * r + gate[:, : 2 * h] @ u[:, : 2 * h].T
+            order = np.argsort(seen, axis=None, kind="stable")
+            byte, first = np.unique(seen.ravel()[order], return_index=True)
+            dx[byte] = np.add.reduceat(gates.reshape(-1, 3 * h)[order], first)
             out[f"x_{d}"], out[f"u_{d}"] = dx, du
         return out
 
     def pooled(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each window the sum of the log probabilities over its letters, n x languages."""
-        out, size = np.zeros((len(starts), len(self.languages))), ends - starts
-        for length in np.unique(size):
-            at = np.flatnonzero(size == length)
-            for i in range(0, len(at), 8192):
-                rows = at[i : i + 8192]
-                data = _FOLD[body[starts[rows, None] + np.arange(length)]]
-                out[rows] = np.einsum("nt,ntl->nl", _LETTER[data].astype(np.float32), self.log_probabilities(data))
+        out = np.zeros((len(starts), len(self.languages)))
+        for i in range(0, len(starts), ROWS):
+            data = read(body, starts[i : i + ROWS], ends[i : i + ROWS])
+            out[i : i + ROWS] = np.einsum("nt,ntl->nl", _LETTER[data].astype(np.float32), self.log_probabilities(data))
         return out
 
 
@@ -141,7 +158,7 @@ def fit(texts: pa.Array, labels: list[str], seed: int = 9) -> Network | None:
         return None
     rng, net = np.random.default_rng(seed), Network(sorted(set(labels)))
     body, offsets = W.raw(texts)
-    starts, ends, bounds = windows(body, offsets)
+    starts, ends, bounds = windows(offsets)
     label = np.repeat([net.languages.index(x) for x in labels], np.diff(bounds))
     lettered = np.add.reduceat(_LETTER[body].astype(np.int64), starts) > 0 if len(starts) else np.empty(0, bool)
     # Equally many windows of each language: rarer ones are drawn more often.
@@ -149,15 +166,12 @@ def fit(texts: pa.Array, labels: list[str], seed: int = 9) -> Network | None:
     picked = np.concatenate([rng.choice(x, WINDOWS_EACH) for x in pool if len(x)]) if any(map(len, pool)) else np.empty(0, int)
     m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
     for epoch in range(EPOCHS):
-        batches = []
-        for length in np.unique((ends - starts)[picked]):
-            rows = rng.permutation(picked[(ends - starts)[picked] == length])
-            batches += [rows[i : i + BATCH] for i in range(0, len(rows), BATCH)]
-        for k in rng.permutation(len(batches)):
-            rows = batches[k]
+        order = rng.permutation(picked)
+        for i in range(0, len(order), BATCH):
+            rows = order[i : i + BATCH]
             step += 1
-            rate = RATE * (0.3**epoch) * min(1.0, len(rows) / 64)
-            for name, g in net.gradients(_FOLD[body[starts[rows, None] + np.arange(ends[rows[0]] - starts[rows[0]])]], label[rows]).items():
+            rate = RATE * (0.3**epoch)
+            for name, g in net.gradients(read(body, starts[rows], ends[rows]), label[rows]).items():
                 m[name] += 0.1 * (g - m[name])
                 v[name] += 0.01 * (g * g - v[name])
                 net.p[name] -= (rate * m[name] / (1 - 0.9**step) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
@@ -176,14 +190,14 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", name: str
     kept = schema.names[:-2]
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, memo = shared.value, Memo()
+        net = shared.value
         for batch in batches:
             texts = W.as_strings(batch.column(text))
             body, offsets = W.raw(texts)
             for lo, hi in W.chunks(offsets, CHUNK_BYTES):
                 langs, scores = ["und"] * (hi - lo), np.zeros(hi - lo)
                 if net is not None:
-                    sums = _sums(net, memo, body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) / POOL
+                    sums = _sums(net, body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) / POOL
                     p = np.exp(sums - sums.max(axis=1, keepdims=True))
                     p /= p.sum(axis=1, keepdims=True)
                     best = p.argmax(axis=1)
@@ -196,36 +210,11 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", name: str
     return docs.mapInArrow(job, schema)
 
 
-class Memo:
-    """Sums of windows read before in this task, by code; it starts anew beyond MEMO windows."""
-
-    def __init__(self):
-        self.codes, self.sums = W.EMPTY, None
-
-    def __call__(self, net: Network, body, starts, ends) -> np.ndarray:
-        codes, first, which = np.unique(W.codes(body, starts, ends), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.codes, codes)
-        known = np.zeros(len(codes), bool)
-        inside = at < len(self.codes)
-        known[inside] = self.codes[at[inside]] == codes[inside]
-        out = np.empty((len(codes), len(net.languages)), np.float32)
-        if known.any():
-            out[known] = self.sums[at[known]]
-        new = ~known
-        out[new] = net.pooled(body, starts[first[new]], ends[first[new]])
-        if self.sums is None or len(self.codes) > MEMO:
-            self.codes, self.sums = codes, out
-        else:
-            self.codes, self.sums = np.insert(self.codes, at[new], codes[new]), np.insert(self.sums, at[new], out[new], axis=0)
-        return out[which]
-
-
-def _sums(net: Network, memo: Memo, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _sums(net: Network, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each text the sum over its windows."""
     out = np.zeros((len(offsets) - 1, len(net.languages)))
-    starts, ends, bounds = windows(body, offsets)
+    starts, ends, bounds = windows(offsets)
     if len(starts):
-        each = memo(net, body, starts, ends)
         some = np.flatnonzero(np.diff(bounds))
-        out[some] = np.add.reduceat(each, bounds[:-1][some], axis=0, dtype=np.float64)
+        out[some] = np.add.reduceat(net.pooled(body, starts, ends), bounds[:-1][some], axis=0)
     return out

@@ -291,6 +291,15 @@ def test_language_gradients_and_held_out_accuracy(spark, docs, odd):
         down = loss()
         net.p[name][at] = kept
         assert g[at] == pytest.approx((up - down) / 2e-3, rel=0.02)
+    texts = pa.array(["", "a b\xe9 " * 40, "x" * language.WINDOW], pa.large_string())
+    body, offsets = W.raw(texts)
+    starts, ends, bounds = language.windows(offsets)
+    seen = [language.read(body, starts[i:j], ends[i:j]).tobytes().rstrip().decode() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert seen == [t.rstrip() for t in texts.to_pylist()]  # windows hold the whole text, over words and blanks
+    small = language.Network(["a", "b"])
+    whole = [small.log_probabilities(np.frombuffer(t.encode().ljust(-(-len(t.encode()) // 64) * 64), np.uint8).reshape(-1, 64)) for t in texts.to_pylist()]
+    want = [sum((w[at] for at in zip(*np.nonzero(language._LETTER[np.frombuffer(t.encode().ljust(w.shape[0] * 64), np.uint8).reshape(-1, 64)]), strict=True)), np.zeros(2)) for t, w in zip(texts.to_pylist(), whole, strict=True)]
+    assert np.allclose(language._sums(small, body, offsets), want, rtol=1e-4)
     lang = {r.doc_id: r.lang for r in docs.collect()}
     held = [r for r in Q.op8_language_id(spark, SF).collect() if r.held_out]
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.9 * len(held)
