@@ -7,9 +7,12 @@ shards overlap. In each shard every node gets a robust-pruned list of neighbours
 edges; the lists of a node from all shards are united. Then every vector searches its home shard: a
 greedy beam search from the medoid (and some fixed entries) walks towards it; once inside the
 threshold, the walk spreads over every neighbour that is within it (range expansion). What is found
-is verified by the cosine in double precision. A sample of vectors is held against all vectors block
-by block; if the recall audited falls below `recall`, margin and beam are widened and the search is
-repeated. A cluster of more than CELL nodes is searched as several graphs, each by all of its
+is verified by the cosine in double precision. A sample of vectors, drawn from all and from those with
+links, is held against all vectors block by block; if the mean recall of the audited vectors falls
+below `recall`, margin and beam are widened and the search is repeated. Where TRIES searches fall
+short, clusters are compared exactly: with t the angle of the threshold, vectors join every cluster
+whose centre is at most 2 t further away than their nearest, which by the triangle inequality puts
+both ends of each link into either's home. A cluster of more than CELL nodes is searched as several graphs, each by all of its
 vectors, so no task holds more than CELL nodes and CELL queries.
 
 Rows: a null label, a null, empty or zero vector and one with null or non-finite components link with
@@ -27,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandfold.durable import durable
 from strandfold.operators.components import connected_components
@@ -38,6 +42,7 @@ CENTRES = 1024
 DEGREE, POOL, ALPHA = 24, 64, 1.2
 BEAM, ENTRIES, MARGIN = 48, 8, 0.12
 AUDIT, RECALL, TRIES = 200, 0.99, 3
+SLICE = 8192
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -115,6 +120,13 @@ def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, threshol
             yield lo + i, np.flatnonzero(sims[i] >= threshold)
 
 
+def exact_search(x: np.ndarray, queries: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(query's number, nodes within the threshold), by all cosines."""
+    for lo in range(0, len(queries), 256):
+        for i, sims in enumerate(queries[lo : lo + 256] @ x.T):
+            yield lo + i, np.flatnonzero(sims >= threshold)
+
+
 def _centres(nodes: DataFrame) -> DataFrame:
     """(part, centres): of each part about one node in PER_CENTRE, at most about CENTRES, drawn by hash."""
     many = nodes.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
@@ -124,27 +136,35 @@ def _centres(nodes: DataFrame) -> DataFrame:
     return drawn.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("node", "vector"))).getField("vector").alias("centres"))
 
 
-def _cells(nodes: DataFrame, margin: float) -> DataFrame:
-    """(part, cell, home, node, vector, weight): every node once for each cell it belongs to."""
-    placed = nodes.join(_centres(nodes), "part", "left")
+def _cells(nodes: DataFrame, margin: float, threshold: float | None = None) -> DataFrame:
+    """(part, cell, home, node, vector, weight): every node once for each cell it belongs to.
 
-    @F.pandas_udf("array<int>")
-    def cells(vectors: pd.Series, centres: pd.Series) -> pd.Series:
-        out, last, table = [], None, None
-        for v, c in zip(vectors, centres, strict=True):
-            if c is None or not len(c):
-                out.append([0])
-                continue
-            if last is None or len(c) != len(last) or not np.array_equal(c[0], last[0]) or not np.array_equal(c[-1], last[-1]):
-                last, table = c, _matrix(c)
-            sims = table @ (np.asarray(v, np.float64) / np.linalg.norm(v))
-            first = int(sims.argmax())
-            out.append([first, *(int(k) for k in np.flatnonzero(sims >= sims[first] - margin) if k != first)])
-        return pd.Series(out)
-
-    return placed.select("part", "node", "vector", "weight", F.posexplode(cells("vector", "centres")).alias("place", "cell")).select(
-        "part", "cell", (F.col("place") == 0).alias("home"), "node", "vector", "weight"
-    )
+    With a threshold, to all cells that can hold a home of one linked with it. A part is dealt in
+    slices of about SLICE nodes, each of which meets the part's centres once.
+    """
+    slices = nodes.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    placed = nodes.select("part", "node", "vector", "weight").join(slices, "part")
+    placed = placed.withColumn("slice", F.pmod(F.xxhash64("node", F.lit(13)), "slices").cast("int")).drop("slices")
+    centres = _centres(nodes).join(slices, "part").select(F.col("part").alias("of"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("at"), "centres")
+    kept = ["part", "node", "vector", "weight"]
+
+    def cells(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        told = [[0]] * len(rows)
+        if len(rows) and len(centres):
+            table, told = _matrix(centres["centres"].iloc[0]), []
+            for lo in range(0, len(rows), 1024):
+                for sims in _matrix(rows["vector"].iloc[lo : lo + 1024]) @ table.T:
+                    first = int(sims.argmax())
+                    least = sims[first] - margin
+                    if threshold is not None:
+                        angle = np.arccos(np.clip(sims[first], -1, 1)) + 2 * np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+                        least = np.cos(min(angle, np.pi)) - 1e-9
+                    told.append([first, *(int(k) for k in np.flatnonzero(sims >= least) if k != first)])
+        return rows[kept].assign(cells=told)
+
+    schema = T.StructType([*(placed.schema[c] for c in kept), T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    found = placed.groupBy("part", "slice").cogroup(centres.groupBy("of", "at")).applyInPandas(cells, schema)
+    return found.select(*kept, F.posexplode("cells").alias("place", "cell")).select("part", "cell", (F.col("place") == 0).alias("home"), "node", "vector", "weight")
 
 
 def _lists(cells: DataFrame) -> DataFrame:
@@ -161,8 +181,8 @@ def _lists(cells: DataFrame) -> DataFrame:
     return built.groupBy("node").agg(F.collect_set("to").alias("list"))
 
 
-def _search(rows: DataFrame, threshold: float, beam: int) -> DataFrame:
-    """(node, found: weight found, to: least node found with it) per query and graph."""
+def _search(rows: DataFrame, threshold: float, beam: int | None) -> DataFrame:
+    """(node, found: weight found, to: least node found with it) per query and graph; without a beam by all cosines."""
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         graph, asked = rows[~rows["query"]], rows[rows["query"]]
@@ -192,7 +212,8 @@ def _search(rows: DataFrame, threshold: float, beam: int) -> DataFrame:
                 i = parent[i]
             return i
 
-        for k, near in range_search(x, table, q, threshold, beam, own):
+        walk = exact_search(x, q, threshold) if beam is None else range_search(x, table, q, threshold, beam, own)
+        for k, near in walk:
             near = near[ids[near] != mine[k]]
             found[k] = weight[near].sum()
             a = top(int(mine[k]))
@@ -210,18 +231,31 @@ def _search(rows: DataFrame, threshold: float, beam: int) -> DataFrame:
     return rows.groupBy("part", "cell", "block", "turn").applyInPandas(search, "node long, found long, to long")
 
 
-def _blocked(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cells with the number of their node's graph (block), and how many graphs each cell has."""
+def _blocked(cells: DataFrame) -> DataFrame:
+    """Cells with the number of their node's graph (block), and how many graphs their cell has (blocks)."""
     many = cells.groupBy("part", "cell").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"))
-    joined = cells.join(many, ["part", "cell"])
-    return joined.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int")), many
-
-
-def _audit(nodes: DataFrame, threshold: float, found: DataFrame) -> float:
-    """Recall of the links of a sample of nodes, by cosine with all nodes in blocks."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(17))).limit(AUDIT).select("part", "node", "vector").toPandas()  # at most AUDIT vectors
+    return cells.join(many, ["part", "cell"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
+
+
+def _found_by(cells: DataFrame, lists: DataFrame | None, threshold: float, beam: int | None) -> tuple[DataFrame, DataFrame]:
+    """(hits of _search, weight found per node): each node asked in all graphs of its home."""
+    turns = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    none = F.lit(None).cast("array<bigint>")
+    queries = cells.where("home").select("part", "cell", turns.alias("block"), F.pmod(F.xxhash64("node", F.lit(7)), "blocks").cast("int").alias("turn"), "node", "vector", "weight")
+    graph = cells.join(lists, "node", "left") if lists is not None else cells.withColumn("list", none)
+    graph = graph.select("part", "cell", "block", turns.alias("turn"), "node", "vector", "weight", "list")
+    both = graph.withColumn("query", F.lit(False)).unionByName(queries.withColumn("list", none).withColumn("query", F.lit(True)))
+    hits = durable(_search(both, threshold, beam), "hits")
+    return hits, hits.where("found >= 0").groupBy("node").agg(F.sum("found").alias("found"))
+
+
+def _audit(nodes: DataFrame, threshold: float, found: DataFrame) -> float | None:
+    """Mean recall of the linked ones among AUDIT nodes and AUDIT nodes with links found, by cosine with all nodes in blocks; None if none is linked."""
+    order = F.xxhash64("node", F.lit(17))
+    drawn = nodes.orderBy(order).limit(AUDIT).select("node").unionByName(found.where("found > 0").orderBy(order).limit(AUDIT).select("node")).distinct()
+    sample = nodes.join(drawn, "node").select("part", "node", "vector").toPandas()  # at most 2 AUDIT vectors
     if not len(sample):
-        return 1.0
+        return None
     parts = {p: (g["node"].to_numpy(), _matrix(g["vector"])) for p, g in sample.groupby("part")}
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,12 +271,11 @@ def _audit(nodes: DataFrame, threshold: float, found: DataFrame) -> float:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64())], names=["node", "true"])
 
     truth = nodes.select("part", "node", "vector", "weight").mapInArrow(job, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    got = truth.join(found, "node", "left").agg(F.sum(F.least("true", F.coalesce("found", F.lit(0)))).alias("got"), F.sum("true").alias("true")).first()
-    return (got["got"] or 0) / got["true"] if got["true"] else 1.0
+    return truth.where(F.col("true") > 0).join(found, "node", "left").agg(F.avg(F.least("true", F.coalesce("found", F.lit(0))) / F.col("true")).alias("recall")).first()["recall"]
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) per row of vectors."""
+    """(vec_id, n_links, component_id, kept, recall) per row of vectors; recall: what the audit of the search measured, null where no audited vector is linked."""
     v = F.transform(F.col("vector"), lambda x: x.cast("double"))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(embedding).alias("vector"))
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
@@ -255,19 +288,16 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     )
     nodes = durable(nodes, "nodes")
     margin, beam = MARGIN, BEAM
-    for turn in range(TRIES):
-        cells, many = _blocked(_cells(nodes, margin))
-        cells = durable(cells, "cells")
-        lists = _lists(cells)
-        queries = cells.where("home").withColumn("turn", F.lit(0)).select("part", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit(7)), "blocks").cast("int").alias("turn"), "node", "vector", "weight")
-        graph = cells.join(lists, "node", "left").select("part", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("turn"), "node", "vector", "weight", "list")
-        both = graph.withColumn("query", F.lit(False)).unionByName(queries.withColumn("list", F.lit(None).cast("array<bigint>")).withColumn("query", F.lit(True)))
-        hits = durable(_search(both, threshold, beam), "hits")
-        found = hits.where("found >= 0").groupBy("node").agg(F.sum("found").alias("found"))
+    for _ in range(TRIES):
+        cells = durable(_blocked(_cells(nodes, margin)), "cells")
+        hits, found = _found_by(cells, _lists(cells), threshold, beam)
         reached = _audit(nodes, threshold, found)
-        if reached >= recall:
+        if reached is None or reached >= recall:
             break
         margin, beam = margin * 1.5, beam * 2
+    else:
+        hits, found = _found_by(durable(_blocked(_cells(nodes, 0.0, threshold)), "cells"), None, threshold, None)
+        reached = _audit(nodes, threshold, found)
     labels = connected_components(hits.where("found < 0"), "node", "to")
     named = nodes.select("node", "low", "weight").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
@@ -276,4 +306,4 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     )
     out = rows.select("vec_id", "node").join(facts, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"), F.lit(reached).cast("double").alias("recall"))

@@ -184,6 +184,20 @@ def test_embeddings_equal_brute_force(spark):
     assert len(got) == len(rows) and total > 1000
     assert sum(min(got[i].n_links, len(links[i])) for i, *_ in rows) >= 0.99 * total and all(got[i].n_links <= len(links[i]) for i, *_ in rows)
     assert all(got[i].component_id == i and got[i].kept for i in (601, 602, 603, 604, 607, 608)) and got[605].n_links == 1
+    assert all(r.recall >= 0.99 for r in got.values())
+
+
+def test_embeddings_are_compared_exactly_where_the_search_falls_short(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(500, 12)), np.repeat(rng.normal(size=(40, 12)), 25, 0) + rng.normal(0, 0.16, (1000, 12))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for name, value in (("CELL", 128), ("PER_CENTRE", 60), ("TRIES", 1), ("SLICE", 300)):
+        monkeypatch.setattr(embeddings, name, value)
+    monkeypatch.setattr(embeddings, "range_search", lambda x, lists, q, *_: ((i, np.empty(0, int)) for i in range(len(q))))  # a walk that finds nothing
+    table = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(table).collect()}
+    links = (x @ x.T >= 0.98).sum(axis=1) - 1
+    assert links.sum() > 1000 and [got[k].n_links for k in range(len(x))] == links.tolist() and got[0].recall == 1.0
 
 
 def test_elias_fano_and_trie():
