@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandfold.llm import near_dedup
 from strandfold.llm import words as W
 
 PERMUTATIONS = 64
@@ -58,29 +59,12 @@ def likeness(a: str, b: str) -> F.Column:
     return same / n
 
 
-def banded_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, percent: int = 75) -> DataFrame:
-    """(a, b, jaccard): documents that share a band with b and are verified on whole shingle sets, each with the least id of its bucket.
+def banded_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row: documents that share a band of as many values as a fingerprint has, joined where whole shingle sets verify.
 
-    Documents of equal fingerprints are one class, named by its least id; a bucket's classes are held
-    against its least class only, so a bucket of m classes makes m - 1 pairs. Null ids take no part.
+    Every text of a bucket is compared with every other whose group it has not joined yet, copies as one.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    wide = PERMUTATIONS // bands * 4
-    classes = fingerprint(rows).groupBy("fingerprint").agg(F.min("id").alias("id"))
-    band = classes.select("id", F.posexplode(F.array(*[F.substring("fingerprint", 1 + k * wide, wide) for k in range(bands)])).alias("band", "part"))
-    least = band.groupBy("band", "part").agg(F.min("id").alias("a"))
-    pairs = band.join(least, ["band", "part"]).where("a < id").select("a", F.col("id").alias("b")).distinct()
-
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.view(np.int64) for _, _, c, b in W.word_codes(W.as_strings(batch.column(1))) for s in W.shingle_sets(c, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
-
-    sets = rows.mapInArrow(job, "id long, shingles array<long>").dropDuplicates(["id"])
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    met = met.select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either")).where("either > 0")
-    return met.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b", (F.col("both") / F.col("either")).alias("jaccard"))
+    return near_dedup.near_duplicates(docs, doc_id, text, percent, bands, PERMUTATIONS // bands)
 
 
 def with_following(docs: DataFrame, bins: int) -> DataFrame:

@@ -287,8 +287,16 @@ def test_fingerprints(spark, docs, odd):
         a, b = shingles(t), shingles(edited)
         assert abs(got[i].near_edited - len(a & b) / max(1, len(a | b))) < 0.3
     assert fingerprints.edits(odd).count() == odd.count() and fingerprints.edits(odd.limit(0)).count() == 0
-    pairs = {(r.a, r.b) for r in fingerprints.banded_pairs(docs).collect()}
-    assert pairs and all(100 * len(shingles(dict(text)[a]) & shingles(dict(text)[b])) >= 75 * len(shingles(dict(text)[a]) | shingles(dict(text)[b])) for a, b in pairs)
+    some, minhash = [t for _, t in text[:12]], W.MinHash(fingerprints.PERMUTATIONS, seed=23)
+    for (_, _, codes, bounds) in W.word_codes(W.as_strings(pa.array(some))):
+        for (i, _), found in zip(text, W.shingle_sets(codes, bounds)):
+            least = [min((int(a) * int(x) + int(b)) % 2**64 for x in found) for a, b in zip(minhash.a.ravel(), minhash.b.ravel(), strict=True)]
+            assert got[i].fingerprint == "".join(f"{int(v) >> 48:04x}" for v in W.mix(np.array(least, np.uint64)))
+    rng = random.Random(6)
+    base = [[f"w{rng.randint(0, 9999)}" for _ in range(100)] for _ in range(9)]
+    rows = [(k, " ".join(w if rng.random() > 0.006 else f"x{rng.randint(0, 9999)}" for w in base[k % 9])) for k in range(90)]
+    near = {r.doc_id: r.component_id for r in fingerprints.banded_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert near == components(dict(rows)) and len(set(near.values())) < 60
 
 
 def test_language_gradients_and_held_out_accuracy(spark, docs, odd):
