@@ -1,4 +1,4 @@
-"""Monotone sequences in Elias-Fano form, and a two-level n-gram trie made of them, memory-mapped.
+"""Monotone sequences in Elias-Fano form, and an n-gram trie made of them, memory-mapped.
 
 Arrays are queried in batches: one call answers many positions or many searches.
 """
@@ -81,30 +81,48 @@ class EliasFano:
         return lo
 
 
-class Trie:
-    """Words, the contexts seen before each, and quantised log probabilities.
+class Level:
+    """What follows each node of the level above: monotone pointers to it, keys relative to the node, 16-bit codes.
 
-    Level 1 holds the word codes with their counts, and monotone pointers to level 2; level 2 holds,
-    word after word, the context classes relative to the word (its number times 2^class_bits is
-    added, which keeps the whole level monotone), with a 16-bit code of -log10 p for each.
+    The node's number is put above the bits of a key, which keeps the keys of the whole level monotone.
     """
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs_of: np.ndarray, classes: np.ndarray, codes: np.ndarray, class_bits: int):
-        """words: sorted codes; pairs_of: contexts of each; classes, codes: of all contexts, word after word."""
-        self.class_bits = class_bits
-        self.words = EliasFano(words, 64)
-        ends = np.concatenate([[0], np.cumsum(pairs_of)]).astype(np.uint64)
+    def __init__(self, each: np.ndarray, keys: np.ndarray, codes: np.ndarray, key_bits: int):
+        """each: followers of every node; keys, codes: of all followers, node after node, keys ascending within a node."""
+        self.key_bits = key_bits
+        ends = np.concatenate([[0], np.cumsum(each)]).astype(np.uint64)
         self.pointers = EliasFano(ends, max(1, int(ends[-1]).bit_length()))
-        owner = np.repeat(np.arange(len(words), dtype=np.uint64), pairs_of)
-        relative = owner << np.uint64(class_bits) | classes.astype(np.uint64)
-        self.contexts = EliasFano(relative, max(1, len(words)).bit_length() + class_bits)
-        self.counts, self.codes = counts, codes
+        owner = np.repeat(np.arange(len(each), dtype=np.uint64), each)
+        self.keys = EliasFano(owner << np.uint64(key_bits) | keys.astype(np.uint64), max(1, len(each)).bit_length() + key_bits)
+        self.codes = codes
+
+    def find(self, node: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Positions of (node, key) in this level; -1 where unseen or where the node is -1."""
+        out = np.full(len(node), -1)
+        known = np.flatnonzero(node >= 0)
+        above = node[known]
+        wanted = above.astype(np.uint64) << np.uint64(self.key_bits) | keys[known].astype(np.uint64)
+        i = self.keys.successor(wanted)
+        inside = i < self.pointers[above + 1].astype(np.int64)
+        known, i, wanted = known[inside], i[inside], wanted[inside]
+        same = self.keys[i] == wanted
+        out[known[same]] = i[same]
+        return out
+
+
+class Trie:
+    """Words with their counts, and levels of what follows them."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, levels: list[Level]):
+        """words: sorted codes; counts: of each; the first level follows the words, each next one the level before it."""
+        self.words, self.counts, self.levels = EliasFano(words, 64), counts, levels
         self._map()
 
     def _map(self) -> None:
         """Moves every level into one unnamed file of this task and maps it; it goes with the trie."""
         self.file = tempfile.TemporaryFile()
-        slots = [(x, name) for x in (self.words, self.pointers, self.contexts) for name in x.arrays()] + [(self, "counts"), (self, "codes")]
+        sequences = [self.words, *(x for level in self.levels for x in (level.pointers, level.keys))]
+        slots = [(x, name) for x in sequences for name in x.arrays()] + [(self, "counts"), *((level, "codes") for level in self.levels)]
         places = []
         for owner, name in slots:
             level = np.ascontiguousarray(getattr(owner, name))
@@ -116,23 +134,10 @@ class Trie:
             setattr(owner, name, np.memmap(self.file, dtype, "r", at, shape) if shape[0] else np.empty(shape, dtype))
 
     def find_words(self, words: np.ndarray) -> np.ndarray:
-        """The words' numbers in level 1; -1 where unknown."""
+        """The words' numbers in the first level; -1 where unknown."""
         i = self.words.successor(words)
         inside = np.flatnonzero(i < self.words.n)
         out = np.full(len(words), -1)
         same = self.words[i[inside]] == words[inside]
         out[inside[same]] = i[inside[same]]
         return out
-
-    def find(self, number: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Positions in level 2 of (word number, context class); -1 where unseen."""
-        out = np.full(len(number), -1)
-        known = np.flatnonzero(number >= 0)
-        word = number[known]
-        wanted = word.astype(np.uint64) << np.uint64(self.class_bits) | classes[known].astype(np.uint64)
-        i = self.contexts.successor(wanted)
-        inside = i < self.pointers[word + 1].astype(np.int64)
-        known, i, wanted = known[inside], i[inside], wanted[inside]
-        same = self.contexts[i] == wanted
-        out[known[same]] = i[same]
-        return out

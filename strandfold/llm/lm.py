@@ -1,17 +1,20 @@
-"""A bigram language model over the whole corpus, kept and queried as Elias-Fano tries.
-
-Tokens are words and one end per text. The probability of a token after another is
-(c(class, w) + s p(w)) / (c(class) + s): a Bayesian mixture of what followed the context and of
-p(w) = c(w) / (N + 1), where the one unknown event has 1 / (N + 1). Context words are hashed into
-2^CLASS_BITS classes, so the table of class totals has a fixed size and is broadcast; predicted words
-are all kept. The strengths s, one for each power of two of c(class), are those of GRID under which
-leave-one-out prediction is best, over all token pairs whose hash falls in one of SAMPLE_ONE_IN.
-
-Two passes read the texts. The first counts words and class totals. The second deals each block's
-distinct (word, class) pairs to shards; a shard adds the blocks' counts, builds its trie and answers
-every block's pairs from it; answers meet the blocks' documents again. A word above N / HEAVY tokens
-(so fewer than HEAVY words) is dealt by word and class, with its exact count broadcast. Every block
-sends a pair once, so no key gathers rows beyond the number of blocks.
+"""A trigram language model over the whole corpus, kept and queried as Elias-Fano tries.
+
+Tokens are words and one end per text. p(w) = c(w) / (N + 1), where the one unknown event has 1 / (N + 1);
+p(w | v) = (c(v w) + s p(w)) / (c(v) + s) and p(w | u v) = (c(u v w) + t p(w | v)) / (c(u v) + t): Bayesian
+mixtures of what followed a context and of the shorter context, with strengths s and t that grow with the
+root of the context's count: k sqrt(1 + c). A text's first token has only its start before it, so p(w | v).
+The two k are those of GRID under which leave-one-out prediction of all training tokens is best.
+
+Two passes read the texts. The first counts words. The second deals each block's distinct pairs and triples
+to shards by their first word; a shard adds the blocks' counts, builds its trie, whose levels hold words,
+what follows them and what follows that, with quantised probabilities c / (N + 1), and answers every block
+from it; a block's documents meet its answers again and are scored under every pair of k, of which one is
+kept. Contexts are told by 40 bits of the next word's code relative to the first word, third words by 32
+bits relative to the pair. A word above N / HEAVY tokens (so fewer than HEAVY words) is dealt by its pair,
+and by its triple if the second word is such a one too; its exact count is broadcast. A block sends each
+pair and triple once, in one row a shard, so rows are at most its distinct pairs and triples, and no key
+gathers rows beyond the number of blocks.
 
 Rows: a null or empty text has only its end; a null doc_id counts as training; repeated rows count
 as often as they come; very long texts are read whole; an empty table gives an empty table; other
@@ -31,17 +34,17 @@ from pyspark.sql import functions as F
 
 from strandfold.durable import durable
 from strandfold.llm import words as W
-from strandfold.llm.elias_fano import Trie
+from strandfold.llm.elias_fano import Level, Trie
 
-CLASS_BITS = 18
-SAMPLE_ONE_IN = 64
 HEAVY = 4096
 BLOCK_TOKENS = 1_000_000
-SHARD_TOKENS = 4_000_000
-GRID = [2.0**k for k in range(1, 23, 2)]
-UNIT = 2048.0  # codes of probabilities: -log10 p in steps of 1 / UNIT
+SHARD_TOKENS = 2_000_000
+GRID = [0.5, 2.0, 8.0, 32.0]
+UNIT = 4096.0  # codes of probabilities: -log10 p in steps of 1 / UNIT
+UNSEEN = 65535
+SECOND_BITS, THIRD_BITS = 40, 32  # of a second and a third word's code, relative to what stands before it
 START, END = (W.mix(np.array([k], np.uint64)) for k in (0x5354415254, 0x454E44))
-_CLASS = np.uint64(64 - CLASS_BITS)
+_SECOND, _THIRD, _HALF, _LOW = np.uint64(64 - SECOND_BITS), np.uint64(64 - THIRD_BITS), np.uint64(32), np.uint64(0xFFFFFFFF)
 _ZSTD = pa.Codec("zstd", 1)
 
 
@@ -70,29 +73,25 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _tokens(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens with each text's end, the class of what stands before each, n + 1 bounds of the texts."""
+def _tokens(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's start, words and end, and the n + 1 bounds of the texts."""
     docs = len(bounds) - 1
-    ends = bounds[1:] + np.arange(docs)
-    tokens = np.empty(len(words) + docs, np.uint64)
-    tokens[ends] = END[0]
+    at = bounds + 2 * np.arange(docs + 1)
+    tokens = np.empty(len(words) + 2 * docs, np.uint64)
     inner = np.ones(len(tokens), bool)
-    inner[ends] = False
+    tokens[at[:-1]], tokens[at[1:] - 1] = START[0], END[0]
+    inner[at[:-1]] = inner[at[1:] - 1] = False
     tokens[inner] = words
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    starts = np.concatenate([[0], ends + 1])
-    before[starts[:-1]] = START[0]
-    return tokens, (before >> _CLASS).astype(np.int64), starts
+    return tokens, at
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, train flags, tokens, classes, bounds) of at most BLOCK_TOKENS and one text."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
+    """(ids, train flags, tokens, bounds) of at most BLOCK_TOKENS and one text."""
     ids, train, parts, n = [], [], [], 0
 
     def flush():
-        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
-        return ids, train, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), at
+        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
+        return ids, train, np.concatenate([p[0] for p in parts]), at
 
     for batch in batches:
         doc_ids, flags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
@@ -117,144 +116,108 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _count(docs: DataFrame, shard_bits: int) -> DataFrame:
-    """Of the training texts, by shards of the word codes: totals, class counts, frequent words and the sample of pairs."""
+    """Of the training texts, by shards of the word codes: numbers of words, tokens and ends, and the frequent words."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, tokens, classes, _ in _blocks(batches):
-            mark = W.mix(tokens + classes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            chosen = np.flatnonzero(mark % np.uint64(SAMPLE_ONE_IN) == 0)
-            _, at, times = np.unique(mark[chosen], return_index=True, return_counts=True)
-            s_word, s_class = tokens[chosen[at]], classes[chosen[at]]
-            order = np.argsort(s_word)
-            s_word, s_class, times = s_word[order], s_class[order], times[order]
-            words, counts = np.unique(tokens, return_counts=True)
-            shard = words >> np.uint64(64 - shard_bits)
-            edges = np.searchsorted(shard, np.arange((1 << shard_bits) + 1, dtype=np.uint64))
-            s_edges = np.searchsorted(s_word >> np.uint64(64 - shard_bits), np.arange((1 << shard_bits) + 1, dtype=np.uint64))
-            rows = [
-                (k, _pack(words[a:b], counts[a:b].astype(np.uint32), s_word[c:d], s_class[c:d].astype(np.uint32), times[c:d].astype(np.uint32)))
-                for k, (a, b, c, d) in enumerate(zip(edges[:-1], edges[1:], s_edges[:-1], s_edges[1:], strict=True))
-                if b > a
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"])
+        for _, _, tokens, _ in _blocks(batches):
+            words, counts = np.unique(tokens[tokens != START[0]], return_counts=True)
+            edges = np.searchsorted(words >> np.uint64(64 - shard_bits), np.arange((1 << shard_bits) + 1, dtype=np.uint64))
+            some = np.flatnonzero(np.diff(edges))
+            blobs = [_pack(words[a:b], counts[a:b].astype(np.uint32)) for a, b in zip(edges[some], edges[some + 1], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
     def reduce(key, rows: pd.DataFrame) -> pd.DataFrame:
         got = [_unpack(b) for b in rows["blob"]]
         words, counts = _sums(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).astype(np.int64))
-        s_word, s_class, s_times = (np.concatenate([g[k] for g in got]) for k in (2, 3, 4))
-        at = np.searchsorted(words, s_word)
-        pair, times = _sums(at.astype(np.uint64) << np.uint64(CLASS_BITS) | s_class, s_times.astype(np.int64))
-        ends = int(counts[words == END[0]].sum())
-        follows = words != END[0]
-        wide = CLASS_BITS - shard_bits
-        totals = np.bincount((words[follows] >> _CLASS).astype(np.int64) - (key[0] << wide), counts[follows], 1 << wide).astype(np.int64)
         much = counts >= counts.sum() / HEAVY
-        return pd.DataFrame({
-            "shard": [key[0]], "v": [len(words)], "n": [int(counts.sum())], "ends": [ends], "totals": [_pack(totals)],
-            "heavy": [_pack(words[much], counts[much])],
-            "pairs": [_pack(counts[(pair >> np.uint64(CLASS_BITS)).astype(np.int64)], (pair & np.uint64((1 << CLASS_BITS) - 1)).astype(np.uint32), times)],
-        })
+        ends = int(counts[words == END[0]].sum())
+        return pd.DataFrame({"shard": [key[0]], "v": [len(words)], "n": [int(counts.sum())], "ends": [ends], "heavy": [_pack(words[much], counts[much])]})
 
     rows = docs.where("train").mapInArrow(blocks, "shard long, blob binary")
-    return rows.groupBy("shard").applyInPandas(reduce, "shard long, v long, n long, ends long, totals binary, heavy binary, pairs binary")
-
+    return rows.groupBy("shard").applyInPandas(reduce, "shard long, v long, n long, ends long, heavy binary")
 
-def _strengths(counted: DataFrame, totals, n: int) -> np.ndarray:
-    """For each power of two of a class's count, the strength with the best leave-one-out prediction."""
-    grid = np.array(GRID)
 
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_class = totals.value
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                words, classes, times = _unpack(blob)
-                c = of_class[classes].astype(float)
-                p = np.maximum(words - 1, 1) / (n + 1)
-                level = np.log2(np.maximum(c, 1)).astype(int)
-                for j, s in enumerate(grid):
-                    gain = times * np.log((times - 1 + s * p) / np.maximum(c - 1 + s, 1e-9))
-                    sums = np.bincount(level, gain)
-                    some = np.flatnonzero(np.bincount(level))
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), j), pa.int64()), pa.array(sums[some], pa.float64())], names=["level", "j", "gain"])
-
-    best = np.full(64, grid[-1])
-    # At most 64 levels times the grid come to the driver.
-    table = counted.select("pairs").mapInArrow(job, "level long, j long, gain double").groupBy("level", "j").agg(F.sum("gain").alias("gain"))
-    for row in table.groupBy("level").agg(F.max_by("j", F.struct("gain", "j")).alias("j")).collect():
-        best[row["level"]] = grid[row["j"]]
-    return best
-
-
-def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, train, n_tokens, n_known, log_counts, score, n, v): log_counts sums log10(c + 1), score log10 p; n, v are the model's totals.
-
-    train: Column, whether a row is learnt from.
-    """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    many = docs.select("doc_id").count()
-    shard_bits = min(CLASS_BITS, max(6, (many // 4096).bit_length()))
-    counted = durable(_count(docs, shard_bits), "counted")
-    total = counted.agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("ends").alias("ends")).first()
-    n, v = total["n"] or 0, total["v"] or 0
-    of_class = np.zeros(1 << CLASS_BITS, np.int64)  # its size is fixed, at 2^CLASS_BITS counts
-    wide = 1 << (CLASS_BITS - shard_bits)
-    for row in counted.select("shard", "totals").toLocalIterator():
-        of_class[row["shard"] * wide : (row["shard"] + 1) * wide] = _unpack(row["totals"])[0]
-    of_class[int(START[0] >> _CLASS)] += total["ends"] or 0
+def _heavy(counted: DataFrame, n: int, ends: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the words above N / HEAVY tokens, with the start and the end of a text."""
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 words, counts = _unpack(blob)
-                keep = counts >= n / HEAVY
+                keep = (counts >= n / HEAVY) & (words != END[0])
                 yield pa.RecordBatch.from_arrays([pa.array(words[keep].view(np.int64)), pa.array(counts[keep])], names=["w", "c"])
 
     # Fewer than HEAVY words have that share of all tokens.
-    top = sorted((np.int64(r["w"]).view(np.uint64), r["c"]) for r in counted.select("heavy").mapInArrow(frequent, "w long, c long").collect())
-    heavy = (np.array([x[0] for x in top], np.uint64), np.array([x[1] for x in top], np.int64))
-    totals = spark.sparkContext.broadcast(of_class)
-    strengths = _strengths(counted, totals, n)
-    shards = max(8, -(-n // SHARD_TOKENS), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.mapInArrow(_deal(shards, heavy), "key long, block long, part long, blob binary")
-    answered = dealt.groupBy("key").applyInPandas(_answer(n, totals, strengths, heavy), "block long, part long, blob binary")
-    scored = answered.groupBy("block").applyInPandas(_gather, "doc_id long, train boolean, n_tokens long, n_known long, log_counts double, score double")
-    return scored.withColumns({"n": F.lit(n).cast("long"), "v": F.lit(v).cast("long")})
+    top = [(np.int64(r["w"]).view(np.uint64), r["c"]) for r in counted.select("heavy").mapInArrow(frequent, "w long, c long").collect()]
+    top = sorted([*top, (START[0], ends), (END[0], ends)])
+    return np.array([x[0] for x in top], np.uint64), np.array([x[1] for x in top], np.int64)
+
+
+class _Grams:
+    """The distinct pairs and triples of a block and where they are dealt; made alike when it is dealt and when it is gathered.
+
+    Nodes are pairs by the shards that hold them: each at its home, and beside each triple that is dealt apart from its pair.
+    """
+
+    def __init__(self, words: np.ndarray, number: np.ndarray, bounds: np.ndarray, shards: int, heavy: np.ndarray):
+        """words: distinct codes, sorted; number: of each token its word's."""
+        first = np.zeros(len(number), bool)
+        first[bounds[:-1]] = True
+        self.has_pair = np.flatnonzero(~first)
+        follows = np.zeros(len(number), bool)
+        follows[bounds[:-1] + 1] = True
+        self.has_triple = np.flatnonzero(~(first | follows))
+        cur = number.astype(np.uint64)
+        pairs, of_pair = np.unique(cur[self.has_pair - 1] << _HALF | cur[self.has_pair], return_inverse=True)
+        self.pair = np.full(len(number), -1)
+        self.pair[self.has_pair] = of_pair
+        triples, of_triple = np.unique(self.pair[self.has_triple - 1].astype(np.uint64) << _HALF | cur[self.has_triple], return_inverse=True)
+        self.u, self.v = (pairs >> _HALF).astype(np.int64), (pairs & _LOW).astype(np.int64)
+        parent, w = (triples >> _HALF).astype(np.int64), (triples & _LOW).astype(np.int64)
+        much, lone = np.isin(words, heavy), W.mix(words)
+        two = np.where(much[self.u], W.mix(words[self.u] ^ W.mix(lone[self.v])), lone[self.u])
+        both = much[self.u] & much[self.v]
+        home = (two % np.uint64(shards)).astype(np.int64)
+        apart = (np.where(both[parent], W.mix(two[parent] ^ lone[w]), two[parent]) % np.uint64(shards)).astype(np.int64)
+        nodes = np.unique(np.concatenate([home, apart]) << 32 | np.concatenate([np.arange(len(pairs)), parent]))
+        self.node_shard, self.node_pair = nodes >> 32, nodes & 0xFFFFFFFF
+        self.at_home = home[self.node_pair] == self.node_shard
+        order = np.lexsort((np.arange(len(triples)), apart))
+        self.triple_shard, self.triple_w, self.triple_count = apart[order], w[order], len(triples)
+        self.triple_node = np.searchsorted(nodes, apart[order] << 32 | parent[order])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.triple = np.full(len(number), -1)
+        self.triple[self.has_triple] = place[of_triple]
+        self.new_word = np.ones(len(nodes), bool)
+        self.new_word[1:] = (self.u[self.node_pair[1:]] != self.u[self.node_pair[:-1]]) | (self.node_shard[1:] != self.node_shard[:-1])
 
 
 def _deal(shards: int, heavy):
-    """Rows for shards (part >= 0: words, pairs of each, classes, training counts) and, with part -1, the block's documents."""
+    """Rows for shards (part >= 0: words, nodes of each, triples of each, training counts) and, with part -1, the block's documents."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for count, (ids, train, tokens, classes, bounds) in enumerate(_blocks(batches)):
+        for count, (ids, train, tokens, bounds) in enumerate(_blocks(batches)):
             block = (task << 24) + count
-            words, of_token = np.unique(tokens, return_inverse=True)
-            pairs, of_pair = np.unique(of_token.astype(np.uint64) << np.uint64(CLASS_BITS) | classes.astype(np.uint64), return_inverse=True)
-            learnt = np.bincount(of_pair[np.repeat(np.array(train, bool), np.diff(bounds))], minlength=len(pairs))
-            number = (pairs >> np.uint64(CLASS_BITS)).astype(np.int64)
-            cls = (pairs & np.uint64((1 << CLASS_BITS) - 1)).astype(np.uint32)
-            code = words[number]
-            salt = np.where(np.isin(words, heavy[0])[number], cls.astype(np.uint64) + np.uint64(1), np.uint64(0))
-            shard = (W.mix(code ^ W.mix(salt)) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            shard, number, cls, learnt = shard[order], number[order], cls[order], learnt[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (number[1:] != number[:-1]) | (shard[1:] != shard[:-1])
-            texts = np.repeat(np.arange(len(ids), dtype=np.uint64), np.diff(bounds))
-            flat = (np.sort(texts << np.uint64(32) | place[of_pair].astype(np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            steps = np.diff(flat, prepend=0)
-            steps[bounds[:-1]] = flat[bounds[:-1]]
+            words, number = np.unique(tokens, return_inverse=True)
+            g = _Grams(words, number, bounds, shards, heavy)
+            learn = np.repeat(np.array(train, bool), np.diff(bounds))
+            of_pair = np.bincount(g.pair[learn & (g.pair >= 0)], minlength=len(g.u))
+            of_node = np.where(g.at_home, of_pair[g.node_pair], 0).astype(np.uint32)
+            of_triple = np.bincount(g.triple[learn & (g.triple >= 0)], minlength=g.triple_count).astype(np.uint32)
+            each = np.bincount(g.triple_node, minlength=len(g.node_pair)).astype(np.uint32)
             known = np.array([x is not None for x in ids])
-            skeleton = _pack(np.array([x or 0 for x in ids], np.int64), known, np.array(train, bool), np.diff(bounds), steps.astype(np.uint32), np.packbits(new), np.array([len(new)]))
+            skeleton = _pack(np.array([x or 0 for x in ids], np.int64), known, np.array(train, bool), np.diff(bounds), words, number.astype(np.uint32))
             rows = [(-1 - block, block, -1, skeleton)]
-            edges = np.searchsorted(shard, np.arange(shards + 1))
+            ranks = np.arange(shards + 1)
+            edges, ends = np.searchsorted(g.node_shard, ranks), np.searchsorted(g.triple_shard, ranks)
+            seconds, thirds = words[g.v[g.node_pair]] >> _SECOND, (words[g.triple_w] >> _THIRD).astype(np.uint32)
             for k in np.flatnonzero(np.diff(edges)):
-                a, b = edges[k], edges[k + 1]
-                at = np.flatnonzero(new[a:b])
-                rows.append((int(k), block, int(k), _pack(words[number[a:b][at]], np.diff(at, append=b - a).astype(np.uint32), cls[a:b], learnt[a:b].astype(np.uint32))))
+                a, b, c, d = edges[k], edges[k + 1], ends[k], ends[k + 1]
+                at = np.flatnonzero(g.new_word[a:b])
+                blob = _pack(words[g.u[g.node_pair[a:b][at]]], np.diff(at, append=b - a).astype(np.uint32), seconds[a:b], of_node[a:b], each[a:b], thirds[c:d], of_triple[c:d])
+                rows.append((int(k), block, int(k), blob))
             for i in range(0, len(rows), 256):
                 part = rows[i : i + 256]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "block", "part", "blob"])
@@ -262,59 +225,120 @@ def _deal(shards: int, heavy):
     return job
 
 
-def _answer(n: int, totals, strengths: np.ndarray, heavy):
-    """A shard's rows become answers: each word's count, each pair's code of -log10 p. Documents pass through."""
+def _build(got: list[list[np.ndarray]], n: int) -> Trie:
+    """The trie of a shard from its blocks' words, nodes, triples and training counts."""
 
-    def coded(count, word_count, of_class, s) -> np.ndarray:
-        p = (count + s * np.maximum(word_count, 1) / (n + 1)) / (of_class + s)
-        return np.minimum(np.rint(-np.log10(p) * UNIT), 65535).astype(np.uint16)
+    def coded(count: np.ndarray) -> np.ndarray:
+        return np.where(count > 0, np.rint(-np.log10(np.maximum(count, 1) / (n + 1)) * UNIT), UNSEEN).astype(np.uint16)
+
+    words = np.unique(np.concatenate([g[0] for g in got]))
+    keys = [np.repeat(np.searchsorted(words, w).astype(np.uint64), k) << np.uint64(SECOND_BITS) | second for w, k, second, *_ in got]
+    pairs, seen = _sums(np.concatenate(keys), np.concatenate([g[3] for g in got]).astype(np.int64))
+    deep = [np.repeat(np.searchsorted(pairs, key).astype(np.uint64), g[4]) << np.uint64(THIRD_BITS) | g[5] for key, g in zip(keys, got, strict=True)]
+    triples, learnt = _sums(np.concatenate(deep), np.concatenate([g[6] for g in got]).astype(np.int64))
+    triples, learnt = triples[learnt > 0], learnt[learnt > 0]
+    each = np.bincount((triples >> np.uint64(THIRD_BITS)).astype(np.int64), minlength=len(pairs))
+    keep = (seen > 0) | (each > 0)
+    pairs, seen, each = pairs[keep], seen[keep], each[keep]
+    of_word = (pairs >> np.uint64(SECOND_BITS)).astype(np.int64)
+    many, counts = np.bincount(of_word, minlength=len(words)), np.bincount(of_word, seen, len(words)).astype(np.int64)
+    some = many > 0
+    seconds = Level(many[some], pairs & np.uint64((1 << SECOND_BITS) - 1), coded(seen), SECOND_BITS)
+    thirds = Level(each, triples & np.uint64((1 << THIRD_BITS) - 1), coded(learnt), THIRD_BITS)
+    return Trie(words[some], counts[some], [seconds, thirds])
+
+
+def _answer(n: int):
+    """A shard's rows become answers: each word's count, each node's and each triple's code. Documents pass through."""
+
+    def at(values: np.ndarray, i: np.ndarray, none: int) -> np.ndarray:
+        out = np.full(len(i), none, values.dtype)
+        out[i >= 0] = values[i[i >= 0]]
+        return out
 
     def job(key, rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
             return rows[["block", "part", "blob"]]
         got = [_unpack(b) for b in rows["blob"]]
-        words = np.unique(np.concatenate([g[0] for g in got]))
-        pair, learnt = [], []
-        for w, k, c, t in got:
-            pair.append(np.repeat(np.searchsorted(words, w).astype(np.uint64), k) << np.uint64(CLASS_BITS) | c.astype(np.uint64))
-            learnt.append(t.astype(np.int64))
-        pairs, seen = _sums(np.concatenate(pair), np.concatenate(learnt))
-        pairs, seen = pairs[seen > 0], seen[seen > 0]
-        number, cls = (pairs >> np.uint64(CLASS_BITS)).astype(np.int64), (pairs & np.uint64((1 << CLASS_BITS) - 1)).astype(np.int64)
-        counts = np.bincount(number, seen, len(words)).astype(np.int64)
-        much = np.isin(words, heavy[0])
-        counts[much] = heavy[1][np.searchsorted(heavy[0], words[much])]
-        some = np.flatnonzero(counts)
-        of_class, level = totals.value, strengths[np.log2(np.maximum(totals.value, 1)).astype(int)]
-        trie = Trie(words[some], counts[some], np.bincount(number, minlength=len(words))[some], cls, coded(seen, counts[number], of_class[cls], level[cls]), CLASS_BITS)
+        trie = _build(got, n)
         blobs = []
-        for w, k, c, _ in got:
-            mine = trie.find_words(w)
-            c = c.astype(np.int64)
-            each = np.zeros(len(w), np.int64)
-            each[mine >= 0] = trie.counts[mine[mine >= 0]]
-            at = trie.find(np.repeat(mine, k), c)
-            out = coded(0, np.repeat(each, k), of_class[c], level[c])
-            out[at >= 0] = trie.codes[at[at >= 0]]
-            blobs.append(_pack(each, out))
+        for w, k, second, _, each, third, _ in got:
+            word = trie.find_words(w)
+            pair = trie.levels[0].find(np.repeat(word, k), second)
+            triple = trie.levels[1].find(np.repeat(pair, each), third)
+            blobs.append(_pack(at(trie.counts, word, 0), at(trie.levels[0].codes, pair, UNSEEN), at(trie.levels[1].codes, triple, UNSEEN)))
         return pd.DataFrame({"block": rows["block"], "part": rows["part"], "blob": blobs})
 
     return job
 
 
-def _gather(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """A block's documents with their sums."""
-    rows = rows.sort_values("part")
-    ids, known, train, sizes, steps, bits, many = _unpack(rows["blob"].iloc[0])
-    got = [_unpack(b) for b in rows["blob"].iloc[1:]]
-    counts, codes = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-    word_of = np.cumsum(np.unpackbits(bits, count=int(many[0])).astype(np.int64)) - 1
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    running = np.cumsum(steps.astype(np.int64))
-    pair = running - np.repeat(np.concatenate([[0], running[starts[1:] - 1]]), sizes)
-    count = counts[word_of[pair]]
-    return pd.DataFrame({
-        "doc_id": pd.array(np.where(known, ids, 0), "Int64").copy() if known.all() else pd.array([int(i) if k else None for i, k in zip(ids, known, strict=True)], "Int64"),
-        "train": train, "n_tokens": sizes, "n_known": np.add.reduceat((count > 0).astype(np.int64), starts),
-        "log_counts": np.add.reduceat(np.log10(count + 1.0), starts), "score": np.add.reduceat(codes[pair] / -UNIT, starts),
-    })
+def _gather(n: int, shards: int, heavy):
+    """A block's documents with their log10 probabilities under every pair of strengths, and the leave-one-out sums of them all."""
+    count_of = np.rint(10.0 ** (-np.arange(UNSEEN + 1) / UNIT) * (n + 1))
+    count_of[UNSEEN] = 0
+
+    def under(c1, cv, c2, cuv, c3, deep) -> Iterator[np.ndarray]:
+        """log10 p of tokens under every pair of strengths; deep: whether a pair stands before the token."""
+        one = np.maximum(c1, 1) / (n + 1)
+        for k in GRID:
+            s = k * np.sqrt(1 + cv)
+            two = (c2 + s * one) / (cv + s)
+            for m in GRID:
+                t = m * np.sqrt(1 + cuv)
+                yield np.log10(np.where(deep, (c3 + t * two) / (cuv + t), two))
+
+    def job(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        ids, known, train, sizes, words, number = _unpack(rows["blob"].iloc[0])
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        number = number.astype(np.int64)
+        g = _Grams(words, number, bounds, shards, heavy[0])
+        got = [_unpack(b) for b in rows["blob"].iloc[1:]]
+        counts = np.zeros(len(words), np.int64)
+        counts[g.u[g.node_pair[g.new_word]]] = np.concatenate([x[0] for x in got])
+        much = np.isin(words, heavy[0])
+        counts[much] = heavy[1][np.searchsorted(heavy[0], words[much])]
+        of_pair = np.zeros(len(g.u))
+        of_pair[g.node_pair[g.at_home]] = count_of[np.concatenate([x[1] for x in got])[g.at_home]]
+        of_triple = count_of[np.concatenate([x[2] for x in got])]
+        at = g.has_pair
+        deep = g.triple[at] >= 0
+        c1, cv, c2 = counts[number[at]].astype(float), counts[number[at - 1]].astype(float), of_pair[g.pair[at]]
+        c2 = np.minimum(c2, np.minimum(c1, cv))  # a rounded count is never above what it is a part of
+        cuv = np.where(deep, np.minimum(of_pair[g.pair[at - 1]], cv), 0)
+        c3 = np.where(deep, np.minimum(np.append(of_triple, 0)[g.triple[at]], np.minimum(c2, cuv)), 0)
+        starts = bounds[:-1] - np.arange(len(ids))  # without the texts' starts
+        scores = np.stack([np.add.reduceat(x, starts) for x in under(c1, cv, c2, cuv, c3, deep)], axis=1)
+        own = np.repeat(train, sizes - 1)
+        less = [np.maximum(x[own] - 1, 0) for x in (c1, cv, c2, cuv, c3)]
+        gains = [float(x.sum()) for x in under(*less, deep[own])]
+        return pd.DataFrame({
+            "doc_id": pd.array([int(i) if k else None for i, k in zip(ids, known, strict=True)], "Int64"),
+            "train": train, "n_tokens": sizes - 1, "n_known": np.add.reduceat((c1 > 0).astype(np.int64), starts),
+            "log_counts": np.add.reduceat(np.log10(c1 + 1.0), starts), "scores": list(scores), "gains": [gains, *[None] * (len(ids) - 1)],
+        })
+
+    return job
+
+
+def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, train, n_tokens, n_known, log_counts, score, n, v, second, third): log_counts sums log10(c + 1), score log10 p.
+
+    n, v are the model's totals, second and third the k of its strengths. train: Column, whether a row is learnt from.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
+    shard_bits = min(18, max(6, (docs.select("doc_id").count() // 4096).bit_length()))
+    counted = durable(_count(docs, shard_bits), "counted")
+    total = counted.agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("ends").alias("ends")).first()
+    n, v, ends = total["n"] or 0, total["v"] or 0, total["ends"] or 0
+    heavy = _heavy(counted, n, ends)
+    shards = max(8, -(-n // SHARD_TOKENS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = docs.mapInArrow(_deal(shards, heavy[0]), "key long, block long, part long, blob binary")
+    answered = dealt.groupBy("key").applyInPandas(_answer(n), "block long, part long, blob binary")
+    columns = "doc_id long, train boolean, n_tokens long, n_known long, log_counts double, scores array<double>, gains array<double>"
+    scored = durable(answered.groupBy("block").applyInPandas(_gather(n, shards, heavy), columns), "scored")
+    gains = scored.where("gains is not null").select(F.posexplode("gains").alias("k", "gain")).groupBy("k").agg(F.sum("gain").alias("gain"))
+    best = gains.agg(F.max_by("k", F.struct("gain", "k"))).first()[0] or 0  # of len(GRID) squared sums
+    told = {"score": F.col("scores")[best], "n": F.lit(n).cast("long"), "v": F.lit(v).cast("long"), "second": F.lit(GRID[best // len(GRID)]), "third": F.lit(GRID[best % len(GRID)])}
+    return scored.withColumns(told).drop("scores", "gains")

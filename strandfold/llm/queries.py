@@ -39,12 +39,12 @@ def _crc(modulus: int):
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log10 probability of every whole text under the corpus's own bigram model."""
+    """Log10 probability of every whole text under the corpus's own trigram model."""
     held = F.coalesce(_crc(7) == 2, F.lit(False))
     scored = lm.score(_read(spark, sf_dir, "documents"), ~held)
     base = F.col("log_counts") - F.col("n_tokens") * F.log10((F.col("n") + F.col("v") + 1).cast("double"))
     return scored.select(
-        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.col("n").alias("train_tokens"), base.alias("base_score"), "score"
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.col("n").alias("train_tokens"), base.alias("base_score"), "score", "second", "third"
     )
 
 

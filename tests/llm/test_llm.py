@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from strandfold.llm import bpe, embeddings, fingerprints, language, licences, lm, mixing, near_dedup, quality, toxicity
 from strandfold.llm import queries as Q
 from strandfold.llm import words as W
-from strandfold.llm.elias_fano import EliasFano, Trie
+from strandfold.llm.elias_fano import EliasFano, Level, Trie
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -209,9 +209,14 @@ def test_elias_fano_and_trie():
     names = np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64))
     each = rng.integers(0, 20, len(names))
     classes = np.concatenate([np.sort(rng.choice(2**18, k, replace=False)) for k in each])
-    trie = Trie(names, np.arange(len(names)), each, classes, np.zeros(len(classes), np.uint16), 18)
-    owner = np.repeat(np.arange(len(names)), each)
-    assert (trie.find(trie.find_words(names)[owner], classes) == np.arange(len(classes))).all() and (trie.find_words(names + np.uint64(1)) == -1).all()
+    more = rng.integers(0, 4, len(classes))
+    thirds = np.concatenate([np.sort(rng.choice(2**32, k, replace=False)) for k in more])
+    levels = [Level(each, classes, np.zeros(len(classes), np.uint16), 18), Level(more, thirds, np.zeros(len(thirds), np.uint16), 32)]
+    trie = Trie(names, np.arange(len(names)), levels)
+    found = trie.levels[0].find(trie.find_words(names)[np.repeat(np.arange(len(names)), each)], classes)
+    assert (found == np.arange(len(classes))).all() and (trie.find_words(names + np.uint64(1)) == -1).all()
+    below = trie.levels[1].find(np.repeat(found, more), thirds)
+    assert (below == np.arange(len(thirds))).all() and (trie.levels[1].find(np.repeat(found, more), thirds + 1) != below).all()
 
 
 def test_lm_counts_and_probabilities(spark, docs, odd):
@@ -224,12 +229,53 @@ def test_lm_counts_and_probabilities(spark, docs, odd):
         r = rows[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in learnt, len(tokens), sum(w in c for w in tokens), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens))
-        assert r.score < 0
     held = [r for r in rows.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert lm.score(odd, F.lit(True)).count() == odd.count() and lm.score(odd.limit(0), F.lit(True)).count() == 0
 
 
+def plain_lm(texts, learnt):
+    """Log10 p of a token after those before it, by counting, as a function of the two strengths."""
+    grams = [collections.Counter() for _ in range(3)]
+    for tokens in (texts[i] for i in learnt):
+        line = ["<start>", *tokens]
+        grams[0].update(line)
+        for k in (1, 2):
+            grams[k].update(zip(*[line[j:] for j in range(k + 1)]))
+    n = sum(c for w, c in grams[0].items() if w != "<start>")
+
+    def p(before, w, second, third):
+        v = before[-1]
+        s = second * math.sqrt(1 + grams[0][v])
+        two = (grams[1][v, w] + s * max(grams[0][w], 1) / (n + 1)) / (grams[0][v] + s)
+        if len(before) < 2:
+            return two
+        c = grams[1][before[-2], v]
+        t = third * math.sqrt(1 + c)
+        return (grams[2][before[-2], v, w] + t * two) / (c + t)
+
+    return p, grams
+
+
+def test_lm_scores_equal_plain_counting(spark, docs, odd, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 3000)
+    monkeypatch.setattr(lm, "HEAVY", 60)  # frequent words, pairs of them among them
+    for table, train in ((docs.select("doc_id", "text"), F.col("doc_id") % 3 != 1), (odd.where("doc_id is not null").dropDuplicates(["doc_id"]), F.lit(True))):
+        texts = {r.doc_id: [*words(r.text), None] for r in table.collect()}
+        learnt = {r.doc_id for r in table.where(train).collect()}
+        got = lm.score(table, train).collect()
+        p, grams = plain_lm(texts, learnt)
+        second, third = got[0].second, got[0].third
+        for r in got:
+            line = ["<start>", *texts[r.doc_id]]
+            want = sum(math.log10(p(line[max(0, j - 2) : j], line[j], second, third)) for j in range(1, len(line)))
+            assert r.score == pytest.approx(want, rel=1e-6, abs=3e-4 * r.n_tokens), r.doc_id  # codes are steps of 1 / 4096
+        for before in (["<start>"], ["<start>", texts[min(learnt)][0]], list(grams[1].most_common(1)[0][0])):
+            if before[-1] is not None:
+                words_of = [w for w in grams[0] if w != "<start>"]
+                assert sum(p(before, w, second, third) for w in [*words_of, "an unknown word"]) == pytest.approx(1)
+
+
 def test_mix_hits_targets(spark, docs, odd):
     got = mixing.mix(docs).collect()
     size = {r.doc_id: len(words(r.text)) for r in docs.collect()}
