@@ -10,8 +10,8 @@ Two passes read the texts. The first counts words. The second deals each block's
 to shards by their first word; a shard adds the blocks' counts, builds its trie, whose levels hold words,
 what follows them and what follows that, with quantised probabilities c / (N + 1), and answers every block
 from it; a block's documents meet its answers again and are scored under every pair of k, of which one is
-kept. Contexts are told by 40 bits of the next word's code relative to the first word, third words by 32
-bits relative to the pair. A word above N / HEAVY tokens (so fewer than HEAVY words) is dealt by its pair,
+kept. First words are told by codes of 56 bits, second words by 32 bits relative to the first, third words by
+24 bits relative to the pair, so an unseen third word is taken for one of m seen ones with chance m / 2^24. A word above N / HEAVY tokens (so fewer than HEAVY words) is dealt by its pair,
 and by its triple if the second word is such a one too; its exact count is broadcast. A block sends each
 pair and triple once, in one row a shard, so rows are at most its distinct pairs and triples, and no key
 gathers rows beyond the number of blocks.
@@ -37,13 +37,14 @@ from strandfold.llm import words as W
 from strandfold.llm.elias_fano import Level, Trie
 
 HEAVY = 4096
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 1_500_000
 SHARD_TOKENS = 2_000_000
-GRID = [0.5, 2.0, 8.0, 32.0]
+GRID = [0.5, 4.0, 32.0]
 UNIT = 4096.0  # codes of probabilities: -log10 p in steps of 1 / UNIT
 UNSEEN = 65535
-SECOND_BITS, THIRD_BITS = 40, 32  # of a second and a third word's code, relative to what stands before it
-START, END = (W.mix(np.array([k], np.uint64)) for k in (0x5354415254, 0x454E44))
+SECOND_BITS, THIRD_BITS = 32, 24  # of a second and a third word's code, relative to what stands before it
+CODE = np.uint64(0xFFFFFFFFFFFFFF00)
+START, END = (W.mix(np.array([k], np.uint64)) & CODE for k in (0x5354415254, 0x454E44))
 _SECOND, _THIRD, _HALF, _LOW = np.uint64(64 - SECOND_BITS), np.uint64(64 - THIRD_BITS), np.uint64(32), np.uint64(0xFFFFFFFF)
 _ZSTD = pa.Codec("zstd", 1)
 
@@ -81,7 +82,7 @@ def _tokens(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     inner = np.ones(len(tokens), bool)
     tokens[at[:-1]], tokens[at[1:] - 1] = START[0], END[0]
     inner[at[:-1]] = inner[at[1:] - 1] = False
-    tokens[inner] = words
+    tokens[inner] = words & CODE
     return tokens, at
 
 
@@ -119,12 +120,21 @@ def _count(docs: DataFrame, shard_bits: int) -> DataFrame:
     """Of the training texts, by shards of the word codes: numbers of words, tokens and ends, and the frequent words."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, tokens, _ in _blocks(batches):
-            words, counts = np.unique(tokens[tokens != START[0]], return_counts=True)
+        held = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+        def told(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             edges = np.searchsorted(words >> np.uint64(64 - shard_bits), np.arange((1 << shard_bits) + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(edges))
-            blobs = [_pack(words[a:b], counts[a:b].astype(np.uint32)) for a, b in zip(edges[some], edges[some + 1], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+            blobs = [_pack(words[a:b], counts[a:b]) for a, b in zip(edges[some], edges[some + 1], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+
+        for _, _, tokens, _ in _blocks(batches):
+            words, counts = np.unique(tokens[tokens != START[0]], return_counts=True)
+            held = _sums(np.concatenate([held[0], words]), np.concatenate([held[1], counts]))
+            if len(held[0]) >= BLOCK_TOKENS:
+                yield told(*held)
+                held = held[0][:0], held[1][:0]
+        yield told(*held)
 
     def reduce(key, rows: pd.DataFrame) -> pd.DataFrame:
         got = [_unpack(b) for b in rows["blob"]]
@@ -178,13 +188,19 @@ class _Grams:
         two = np.where(much[self.u], W.mix(words[self.u] ^ W.mix(lone[self.v])), lone[self.u])
         both = much[self.u] & much[self.v]
         home = (two % np.uint64(shards)).astype(np.int64)
-        apart = (np.where(both[parent], W.mix(two[parent] ^ lone[w]), two[parent]) % np.uint64(shards)).astype(np.int64)
-        nodes = np.unique(np.concatenate([home, apart]) << 32 | np.concatenate([np.arange(len(pairs)), parent]))
+        apart = home[parent]
+        split = np.flatnonzero(both[parent])
+        apart[split] = (W.mix(two[parent[split]] ^ lone[w[split]]) % np.uint64(shards)).astype(np.int64)
+        split = split[apart[split] != home[parent[split]]]
+        nodes = np.sort(np.concatenate([home << 32 | np.arange(len(pairs)), np.unique(apart[split] << 32 | parent[split])]))
         self.node_shard, self.node_pair = nodes >> 32, nodes & 0xFFFFFFFF
         self.at_home = home[self.node_pair] == self.node_shard
-        order = np.lexsort((np.arange(len(triples)), apart))
-        self.triple_shard, self.triple_w, self.triple_count = apart[order], w[order], len(triples)
-        self.triple_node = np.searchsorted(nodes, apart[order] << 32 | parent[order])
+        node_of = np.empty(len(pairs), np.int64)
+        node_of[self.node_pair[self.at_home]] = np.flatnonzero(self.at_home)
+        of_node = node_of[parent]
+        of_node[split] = np.searchsorted(nodes, apart[split] << 32 | parent[split])
+        order = np.argsort(apart.astype(np.uint16) if shards <= 1 << 16 else apart, kind="stable")
+        self.triple_shard, self.triple_w, self.triple_node, self.triple_count = apart[order], w[order], of_node[order], len(triples)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.triple = np.full(len(number), -1)
@@ -208,11 +224,11 @@ def _deal(shards: int, heavy):
             of_triple = np.bincount(g.triple[learn & (g.triple >= 0)], minlength=g.triple_count).astype(np.uint32)
             each = np.bincount(g.triple_node, minlength=len(g.node_pair)).astype(np.uint32)
             known = np.array([x is not None for x in ids])
-            skeleton = _pack(np.array([x or 0 for x in ids], np.int64), known, np.array(train, bool), np.diff(bounds), words, number.astype(np.uint32))
+            skeleton = _pack(np.array([x or 0 for x in ids], np.int64), known, np.array(train, bool), np.diff(bounds), number.astype(np.uint32))
             rows = [(-1 - block, block, -1, skeleton)]
             ranks = np.arange(shards + 1)
             edges, ends = np.searchsorted(g.node_shard, ranks), np.searchsorted(g.triple_shard, ranks)
-            seconds, thirds = words[g.v[g.node_pair]] >> _SECOND, (words[g.triple_w] >> _THIRD).astype(np.uint32)
+            seconds, thirds = (words[g.v[g.node_pair]] >> _SECOND).astype(np.uint32), (words[g.triple_w] >> _THIRD).astype(np.uint32)
             for k in np.flatnonzero(np.diff(edges)):
                 a, b, c, d = edges[k], edges[k + 1], ends[k], ends[k + 1]
                 at = np.flatnonzero(g.new_word[a:b])
@@ -249,7 +265,7 @@ def _build(got: list[list[np.ndarray]], n: int) -> Trie:
 
 
 def _answer(n: int):
-    """A shard's rows become answers: each word's count, each node's and each triple's code. Documents pass through."""
+    """A shard's rows become answers: each word with its count, each node's and each triple's code. Documents pass through."""
 
     def at(values: np.ndarray, i: np.ndarray, none: int) -> np.ndarray:
         out = np.full(len(i), none, values.dtype)
@@ -266,7 +282,7 @@ def _answer(n: int):
             word = trie.find_words(w)
             pair = trie.levels[0].find(np.repeat(word, k), second)
             triple = trie.levels[1].find(np.repeat(pair, each), third)
-            blobs.append(_pack(at(trie.counts, word, 0), at(trie.levels[0].codes, pair, UNSEEN), at(trie.levels[1].codes, triple, UNSEEN)))
+            blobs.append(_pack(w, at(trie.counts, word, 0), at(trie.levels[0].codes, pair, UNSEEN), at(trie.levels[1].codes, triple, UNSEEN)))
         return pd.DataFrame({"block": rows["block"], "part": rows["part"], "blob": blobs})
 
     return job
@@ -289,18 +305,19 @@ def _gather(n: int, shards: int, heavy):
 
     def job(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("part")
-        ids, known, train, sizes, words, number = _unpack(rows["blob"].iloc[0])
+        ids, known, train, sizes, number = _unpack(rows["blob"].iloc[0])
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         number = number.astype(np.int64)
-        g = _Grams(words, number, bounds, shards, heavy[0])
         got = [_unpack(b) for b in rows["blob"].iloc[1:]]
+        words = np.unique(np.concatenate([START, END, *(x[0] for x in got)]))  # every word but the end stands before another
+        g = _Grams(words, number, bounds, shards, heavy[0])
         counts = np.zeros(len(words), np.int64)
-        counts[g.u[g.node_pair[g.new_word]]] = np.concatenate([x[0] for x in got])
+        counts[g.u[g.node_pair[g.new_word]]] = np.concatenate([x[1] for x in got])
         much = np.isin(words, heavy[0])
         counts[much] = heavy[1][np.searchsorted(heavy[0], words[much])]
         of_pair = np.zeros(len(g.u))
-        of_pair[g.node_pair[g.at_home]] = count_of[np.concatenate([x[1] for x in got])[g.at_home]]
-        of_triple = count_of[np.concatenate([x[2] for x in got])]
+        of_pair[g.node_pair[g.at_home]] = count_of[np.concatenate([x[2] for x in got])[g.at_home]]
+        of_triple = count_of[np.concatenate([x[3] for x in got])]
         at = g.has_pair
         deep = g.triple[at] >= 0
         c1, cv, c2 = counts[number[at]].astype(float), counts[number[at - 1]].astype(float), of_pair[g.pair[at]]
