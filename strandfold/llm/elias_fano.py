@@ -10,6 +10,9 @@ import tempfile
 import numpy as np
 
 _STEP = 1 << 15
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+_ONES = _BITS.sum(axis=1, dtype=np.uint8)  # of each byte
+_PLACES = np.argsort(1 - _BITS.astype(np.int8), axis=1, kind="stable")  # of each byte's ones, in order
 
 
 class EliasFano:
@@ -21,10 +24,10 @@ class EliasFano:
         self.low_bits = low = max(0, min(57, bits - max(1, n).bit_length()))
         self.highs = (1 << (bits - low)) if n else 0
         packed = [np.empty(0, np.uint8)]
-        step = 8 * _STEP  # whole bytes whatever the width
+        step = _STEP  # whole bytes whatever the width
         for i in range(0, n if low else 0, step):
-            part = values[i : i + step, None] >> np.arange(low, dtype=np.uint64) & np.uint64(1)
-            packed.append(np.packbits(part.astype(np.uint8).ravel(), bitorder="little"))
+            part = np.ascontiguousarray(values[i : i + step], "<u8").view(np.uint8).reshape(-1, 8)
+            packed.append(np.packbits(np.unpackbits(part, axis=1, count=low, bitorder="little").ravel(), bitorder="little"))
         self.low = np.concatenate([*packed, np.zeros(8, np.uint8)])
         high = (values >> np.uint64(low)).astype(np.int64)
         top = int(high[-1]) + 1 if n else 0
@@ -53,12 +56,14 @@ class EliasFano:
         for i in range(0, len(k), _STEP):
             q = k[i : i + _STEP]
             word = np.searchsorted(before, q, "right") - 1
-            bits = np.unpackbits(rows[word], axis=1, bitorder="little")
-            if not one:
-                bits ^= 1
-            rank = np.cumsum(bits, axis=1, dtype=np.uint8)
-            inside = (q - before[word] + 1).astype(np.uint8)
-            out[i : i + _STEP] = word * 64 + (rank == inside[:, None]).argmax(axis=1)
+            row = rows[word] if one else ~rows[word]
+            ones = _ONES[row]
+            upto = np.cumsum(ones, axis=1, dtype=np.uint8)
+            rank = (q - before[word]).astype(np.uint8)
+            byte = (upto > rank[:, None]).argmax(axis=1)
+            each = np.arange(len(q))
+            inside = rank - (upto[each, byte] - ones[each, byte])
+            out[i : i + _STEP] = word * 64 + byte * 8 + _PLACES[row[each, byte], inside]
         return out
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:

@@ -38,7 +38,7 @@ from strandfold.llm.elias_fano import Level, Trie
 
 HEAVY = 4096
 BLOCK_TOKENS = 1_500_000
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_500_000
 GRID = [0.5, 4.0, 32.0]
 UNIT = 4096.0  # codes of probabilities: -log10 p in steps of 1 / UNIT
 UNSEEN = 65535
@@ -283,6 +283,8 @@ def _answer(n: int):
             pair = trie.levels[0].find(np.repeat(word, k), second)
             triple = trie.levels[1].find(np.repeat(pair, each), third)
             blobs.append(_pack(w, at(trie.counts, word, 0), at(trie.levels[0].codes, pair, UNSEEN), at(trie.levels[1].codes, triple, UNSEEN)))
+        del got, trie
+        W.release()
         return pd.DataFrame({"block": rows["block"], "part": rows["part"], "blob": blobs})
 
     return job
@@ -293,15 +295,15 @@ def _gather(n: int, shards: int, heavy):
     count_of = np.rint(10.0 ** (-np.arange(UNSEEN + 1) / UNIT) * (n + 1))
     count_of[UNSEEN] = 0
 
-    def under(c1, cv, c2, cuv, c3, deep) -> Iterator[np.ndarray]:
-        """log10 p of tokens under every pair of strengths; deep: whether a pair stands before the token."""
+    def under(c1, cv, c2, cuv, c3) -> Iterator[np.ndarray]:
+        """log10 p of tokens under every pair of strengths; where no pair stands before a token, cuv and c3 are 0 and p is that of the word before."""
         one = np.maximum(c1, 1) / (n + 1)
         for k in GRID:
             s = k * np.sqrt(1 + cv)
             two = (c2 + s * one) / (cv + s)
             for m in GRID:
                 t = m * np.sqrt(1 + cuv)
-                yield np.log10(np.where(deep, (c3 + t * two) / (cuv + t), two))
+                yield np.log10((c3 + t * two) / (cuv + t))
 
     def job(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("part")
@@ -325,10 +327,10 @@ def _gather(n: int, shards: int, heavy):
         cuv = np.where(deep, np.minimum(of_pair[g.pair[at - 1]], cv), 0)
         c3 = np.where(deep, np.minimum(np.append(of_triple, 0)[g.triple[at]], np.minimum(c2, cuv)), 0)
         starts = bounds[:-1] - np.arange(len(ids))  # without the texts' starts
-        scores = np.stack([np.add.reduceat(x, starts) for x in under(c1, cv, c2, cuv, c3, deep)], axis=1)
+        scores = np.stack([np.add.reduceat(x, starts) for x in under(c1, cv, c2, cuv, c3)], axis=1)
         own = np.repeat(train, sizes - 1)
         less = [np.maximum(x[own] - 1, 0) for x in (c1, cv, c2, cuv, c3)]
-        gains = [float(x.sum()) for x in under(*less, deep[own])]
+        gains = [float(x.sum()) for x in under(*less)]
         return pd.DataFrame({
             "doc_id": pd.array([int(i) if k else None for i, k in zip(ids, known, strict=True)], "Int64"),
             "train": train, "n_tokens": sizes - 1, "n_known": np.add.reduceat((c1 > 0).astype(np.int64), starts),
