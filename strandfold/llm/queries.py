@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandfold.llm import bpe, embeddings, fingerprints, language, licences, lm, mixing, near_dedup, quality, toxicity
+from strandfold.llm import bpe, embeddings, fingerprints, language, licences, lm, mixing, near_dedup, pieces, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -106,6 +106,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids and of the text they decode to, checked against the library."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded="decoded").drop("text")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -117,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_sentencepiece": op11_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {"op5_license_scan": licences.oracle_sql(), "op7_minhash_near_dedup": near_dedup.oracle_sql()}
