@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandfold.llm import bpe, embeddings, fingerprints, language, licences, lm, mixing, near_dedup, pieces, quality, toxicity
+from strandfold.llm import bpe, embeddings, fingerprints, language, licences, lm, manifest, mixing, near_dedup, pieces, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -118,6 +118,19 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof in the manifest by language, and whether tampering shows."""
+    docs = _read(spark, sf_dir, "documents")
+    hashed = lambda n_chars: manifest.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    tampered = F.when((_crc(7) == 0) & F.col("n_chars").isNotNull(), hashed(more))
+    made = manifest.manifest(docs, F.col("lang"), [F.col("doc_id")], hashed(F.col("n_chars")), {"doc_id": F.col("doc_id"), "tampered": tampered})
+    return made.proofs(asked="tampered").select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -130,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
     "op11_sentencepiece": op11_sentencepiece,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {"op5_license_scan": licences.oracle_sql(), "op7_minhash_near_dedup": near_dedup.oracle_sql()}
