@@ -28,11 +28,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandfold.durable import durable
+from strandfold.llm.places import placed
 
 LEVELS = 7
 
@@ -103,18 +104,6 @@ def fold(node: str, place: int, n: int, proof: Iterator[str]) -> str:
     return node
 
 
-def placed(rows: DataFrame, tree: str, order: list[Column]) -> DataFrame:
-    """rows with their place in their tree in an order, and the tree's size; no task sees a whole tree."""
-    order = [F.col(tree), *order]
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
-    sorted_ = durable(sorted_.withColumn("_part", F.shiftright("_row", 33)), "placed")
-    runs = sorted_.groupBy("_part", tree).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))  # one row a partition and tree
-    own = Window.partitionBy(tree)
-    before = F.sum("_n").over(own.orderBy("_part")) - F.col("_n")
-    runs = durable(runs.select("_part", tree, (before - F.col("_first")).alias("_shift"), F.sum("_n").over(own).alias("size")), "runs")
-    return sorted_.join(runs, ["_part", tree]).withColumn("place", F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
-
-
 def _block(place: str, levels: int) -> Column:
     return F.shiftright(place, levels).cast("long")
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandfold.llm import bpe, embeddings, fingerprints, language, licences, lm, manifest, mixing, near_dedup, pieces, quality, toxicity
+from strandfold.llm import bpe, embeddings, fingerprints, language, licences, lm, manifest, mixing, near_dedup, pieces, quality, toxicity, trie
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -118,6 +118,11 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the conversations' prefix trie with what its subtree sums up."""
+    return trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf and proof in the manifest by language, and whether tampering shows."""
     docs = _read(spark, sf_dir, "documents")
@@ -143,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
