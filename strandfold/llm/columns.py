@@ -13,3 +13,10 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             name = "_" + name
         out.append(name)
     return out
+
+
+def crc32_sql(value: str) -> str:
+    """Unsigned crc32 of a value's decimal or other text in DuckDB, bit by bit (ASCII only); null for null."""
+    bits = f"flatten(list_transform(string_split(({value})::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end"
+    return f"(4294967295 - list_reduce({bits}, lambda a, x: {step}, 4294967295::bigint))"

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandfold.durable import durable
+from strandfold.llm.columns import crc32_sql
 from strandfold.llm.places import placed
 
 LEVELS = 7
@@ -274,3 +275,36 @@ def manifest(rows: DataFrame, group: Column, order: list[Column], hashed: Column
     trees = top.join(_paths(high, levels).drop("tree"), "place").select(F.col("of").alias("tree"), F.col("hash").alias("subroot"), "place", "size", "above")
     found = root.first()
     return Manifest(leaves, bands, durable(trees, "trees"), found and found["root"], levels)
+
+
+def oracle_sql() -> str:
+    """The query of the documents by language for DuckDB: levels by recursion, proofs from whole trees."""
+    told = lambda x: f"coalesce(strlen(({x})::varchar)::varchar || ':' || ({x})::varchar, '-')"
+    hashed = lambda n: "sha256(" + " || ".join(map(told, ("doc_id", "source", "lang", n, "text"))) + ")"
+    rise = "select tree, h + 1, i // 2, sha256(node || coalesce(after, '')) from (select *, lead(node) over (partition by tree order by i) as after, count(*) over (partition by tree) as n from {}) where i % 2 = 0 and n > 1"
+    step = "case x[1] when 'l' then sha256(x[2:] || a) when 'r' then sha256(a || x[2:]) else sha256(a) end"
+
+    def sides(at: str, nodes: str, own: str) -> str:
+        sibling = f"case when s.node is null then '-' when s.i < l.place >> q.h then 'l' || s.node else 'r' || s.node end"
+        return f"""select l.{own} as {own}, list({sibling} order by q.h) as side from {at} l
+  join (select distinct tree, h from {nodes}) q on q.tree = l.tree join (select tree, max(h) as high from {nodes} group by tree) t on t.tree = l.tree and q.h < t.high
+  left join {nodes} s on s.tree = l.tree and s.h = q.h and s.i = xor(l.place >> q.h, 1) group by l.{own}"""
+
+    return f"""
+with recursive docs as (
+  select row_number() over () as r, doc_id, coalesce('=' || lang, '') as tree, {hashed('n_chars')} as leaf,
+    case when {crc32_sql('doc_id')} % 7 = 0 and n_chars is not null then {hashed('n_chars::hugeint + 1')} end as tampered from documents),
+leaves as materialized (select *, row_number() over (partition by tree order by doc_id nulls first, leaf, r) - 1 as place from docs),
+nodes(tree, h, i, node) as (select tree, 0, place, leaf from leaves union all {rise.format('nodes')}),
+roots as materialized (select tree, arg_max(node, h) as node from nodes group by tree),
+places as materialized (select '' as tree, tree as own, node, row_number() over (order by tree) - 1 as place from roots),
+high(tree, h, i, node) as (select tree, 0, place, node from places union all {rise.format('high')}),
+inner_sides as materialized ({sides('leaves', 'nodes', 'r')}),
+outer_sides as materialized ({sides('places', 'high', 'own')}),
+proofs as (
+  select l.*, r.node as subroot, (select arg_max(node, h) from high) as root, coalesce(i.side, []) || coalesce(o.side, []) as side
+  from leaves l join roots r using (tree) left join inner_sides i using (r) left join outer_sides o on o.own = l.tree),
+told as (
+  select *, sha256(array_to_string(list_transform(list_filter(side, lambda x: x <> '-'), lambda x: x[2:]), '')) as proof_sha256,
+    list_reduce(list_prepend(coalesce(tampered, leaf), side), lambda a, x: {step}) as folded_root from proofs)
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from told"""

@@ -152,4 +152,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op5_license_scan": licences.oracle_sql(), "op7_minhash_near_dedup": near_dedup.oracle_sql()}
+ORACLES: dict[str, str] = {"op5_license_scan": licences.oracle_sql(), "op7_minhash_near_dedup": near_dedup.oracle_sql(), "op12_prefix_trie": trie.oracle_sql(), "op13_merkle_manifest": manifest.oracle_sql()}

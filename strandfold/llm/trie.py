@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandfold.durable import durable
+from strandfold.llm.columns import crc32_sql
 from strandfold.llm.places import placed, running
 
 SMALL = 4096
@@ -271,3 +272,34 @@ def prefix_trie(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     )
     found = nodes.join(rollup(summed, paths, small), KEY).join(end_hashes(ends), KEY, "left")
     return found.select(*KEY, "parent_conv_id", "n_convs", "n_children", *VALUES, F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
+def oracle_sql() -> str:
+    """The query of the conversations for DuckDB: every prefix of every conversation, and sums over all pairs of a node and one above it."""
+    h = f"{crc32_sql('conv_id')} % {MOST}"
+    return f"""
+with said as (
+  select row_number() over () as r, conv_id, turn, strlen(coalesce(text, '')) as bytes,
+    sha256(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as digest from conversations where conv_id is not null),
+own as materialized (select *, row_number() over (partition by conv_id order by turn nulls first, digest, r) - 1 as place, count(*) over (partition by conv_id) as n from said),
+sizes as materialized (select conv_id, max(n) as n, {h} as h, conv_id - conv_id % {GROUP} as base from own group by conv_id),
+convs as materialized (select s.*, least(s.h, coalesce(b.n, 0)) as got from sizes s left join sizes b on b.conv_id = s.base),
+turns as (
+  select c.conv_id, o.place + 1 as depth, o.digest, o.bytes from convs c join own o on o.conv_id = c.base where o.place < c.h
+  union all select c.conv_id, c.got + o.place - c.h + 1, o.digest, o.bytes from convs c join own o on o.conv_id = c.conv_id where o.place >= c.h),
+lists as (select conv_id, list(digest order by depth) as said, list(bytes order by depth) as bytes from turns group by conv_id),
+whole as (select conv_id, coalesce(said, []) as said, coalesce(bytes, []) as bytes from convs left join lists using (conv_id)),
+prefixes as materialized (
+  select conv_id, d as depth, sha256(array_to_string(said[1:d], '')) as k, bytes[d] as bytes, d = len(said) as ends
+  from (select *, unnest(range(0, len(said) + 1)) as d from whole)),
+nodes as materialized (
+  select min(conv_id) as conv_id, depth, k, count(*) as n_convs, coalesce(max(bytes), 0) as bytes,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256 from prefixes group by depth, k),
+ups as materialized (select n.conv_id, n.depth, p.k as up from nodes n join prefixes p on p.conv_id = n.conv_id and p.depth = n.depth - 1),
+kids as materialized (select up as k, depth - 1 as depth, count(*) as n from ups group by all),
+facts as materialized (select n.*, coalesce(c.n, 0) as n_children from nodes n left join kids c using (k, depth)),
+sums as (
+  select p.k, p.depth, sum((n.n_children = 0)::int)::bigint as n_leaves, sum((n.n_convs - 1) * n.bytes)::bigint as saved_tokens
+  from facts n join prefixes p on p.conv_id = n.conv_id and p.depth <= n.depth group by all)
+select f.conv_id, f.depth, u.conv_id as parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+from facts f join sums s using (k, depth) left join ups on ups.conv_id = f.conv_id and ups.depth = f.depth left join nodes u on u.k = ups.up and u.depth = f.depth - 1"""
