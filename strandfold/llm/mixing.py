@@ -8,9 +8,10 @@ target by less than the size of the one document that is left over at the end. B
 documents of a source are rounded first, from the largest to the least so that the residual tends to
 be small; the residuals meet in blocks again, level by level, until one is left for each source, and
 that one is drawn by its fraction.
-All draws are hashes, so reruns agree. Blocks are dealt by a hash of the document; rows whose id is null
-or repeated are dealt by their place in the table too, so no group is much larger than a block, however
-large a source is or however often an id comes.
+All draws are hashes of what a document holds, so reruns agree, however the table is split. Rows whose
+id is null or repeated are told apart by source, size and text, and those alike in all of that by their
+number among their like, so that they are interchangeable; so no block is much larger than BLOCK,
+however large a source is or however often an id comes.
 
 Rows: null and empty texts have size 0 and none is taken; null is a source of its own, the last;
 repeated rows are rounded each by itself, and `mixed` repeats each row as often as that row was taken;
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from strandfold.durable import durable
 from strandfold.llm.columns import fresh
+from strandfold.llm.places import placed
 from strandfold.operators.groups import numbered
 
 WEIGHTS = (5, 2, 1)
@@ -92,7 +94,7 @@ def _pair(level: int):
     return step
 
 
-FIELDS = ["doc_id", "row", "salt", "size", "copies", "p", "source_size", "target"]
+FIELDS = ["doc_id", "salt", "size", "copies", "p", "source_size", "target", "row"]
 
 
 def _round(rows: DataFrame, keys: list[str], level: int) -> DataFrame:
@@ -105,21 +107,26 @@ def _round(rows: DataFrame, keys: list[str], level: int) -> DataFrame:
     return block.select("source", F.explode(chain).alias("r")).select("source", *[f"r.{c}" for c in FIELDS])
 
 
-def _placed(docs: DataFrame, doc_id: str, text: str, source: str, row: Column) -> DataFrame:
-    """(doc_id, source, size, row, salt): salt is the row's number where its id is null or comes again, else 0."""
+def _salted(docs: DataFrame, doc_id: str, text: str, source: str, row: Column) -> DataFrame:
+    """(doc_id, source, size, row, salt): salt tells rows apart whose id is null or comes again, else it is 0."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = durable(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), row.alias("row")), "sizes")
-    again = sizes.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again"))
-    salt = F.when(F.col("again") | F.col("doc_id").isNull(), F.col("row")).otherwise(F.lit(0))
-    return durable(sizes.join(again, "doc_id", "left").select("doc_id", "source", "size", "row", salt.alias("salt")), "sizes")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(text)).alias("told"), row.alias("row"))
+    rows = durable(rows, "sizes")
+    again = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again"))
+    marked = durable(rows.join(durable(again, "again"), "doc_id", "left"), "sizes")
+    shared = F.coalesce("again", F.lit(False)) | F.col("doc_id").isNull()
+    alike = marked.where(shared).withColumn("like", F.xxhash64("doc_id", "source", "size", "told"))
+    apart = placed(alike, "like", [F.col("row")], "among").withColumn("salt", F.xxhash64("like", "place"))
+    kept = ["doc_id", "source", "size", "row", "salt"]
+    return durable(marked.where(~shared).withColumn("salt", F.lit(0).cast("long")).select(*kept).unionByName(apart.select(*kept)), "salted")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: Column | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken, row) per row of docs.
 
-    row: a number that tells rows apart; where none is given, rows are numbered as they are read.
+    row: a number that tells rows apart and decides nothing else; where none is given, rows are numbered as they are read.
     """
-    sizes = _placed(docs, doc_id, text, source, F.monotonically_increasing_id() if row is None else row)
+    sizes = _salted(docs, doc_id, text, source, F.monotonically_increasing_id() if row is None else row)
     goal = targets(sizes)
     rows = sizes.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

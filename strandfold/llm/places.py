@@ -10,15 +10,15 @@ from strandfold.durable import durable
 SPAN = 12
 
 
-def placed(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
-    """rows with their place (from 0) in their group in an order, and the group's size, by sorted ranges and their heads."""
+def placed(rows: DataFrame, group: str, order: list[Column], size: str = "size") -> DataFrame:
+    """rows with their place (from 0) in their group in an order, and the group's size (a column of that name), by sorted ranges and their heads."""
     order = [F.col(group), *order]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
     ranged = durable(ranged.withColumn("_part", F.shiftright("_row", 33)), "placed")
     runs = ranged.groupBy("_part", group).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))  # one row a partition and group
     own = Window.partitionBy(group)
     before = F.sum("_n").over(own.orderBy("_part")) - F.col("_n")
-    runs = durable(runs.select("_part", group, (before - F.col("_first")).alias("_shift"), F.sum("_n").over(own).alias("size")), "runs")
+    runs = durable(runs.select("_part", group, (before - F.col("_first")).alias("_shift"), F.sum("_n").over(own).alias(size)), "runs")
     return ranged.join(runs, ["_part", group]).withColumn("place", F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
 
 
