@@ -173,12 +173,14 @@ def near_duplicates(
     miss: float = MISS,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs; links have 100 * intersection >= percent * union."""
-    return _found(docs, doc_id, text, percent, bands, rows, miss).select("doc_id", "n_shingles", "component_id", "kept")
+    return _found(docs, doc_id, text, percent, bands, rows, miss).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns."""
-    kept = _found(docs, doc_id, text, percent, BANDS, ROWS, MISS).where("kept")
+    """One row of docs for each component of near_duplicates, of its least id, with all columns."""
+    kept = _found(docs, doc_id, text, percent, BANDS, ROWS, MISS).where("stays")
     kept = kept.select(F.col("row").alias("_row"), F.col("node").isNull().alias("_wordless")).distinct()
     # Rows of one id and text are one component, so one stays; rows without words are no copies of each other.
     once = F.when(F.col("_wordless"), F.monotonically_increasing_id())
@@ -187,7 +189,7 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def _found(docs: DataFrame, doc_id: str, text: str, percent: int, bands: int, rows: int, miss: float) -> DataFrame:
-    """near_duplicates with the columns row and node."""
+    """near_duplicates with the columns row, node and stays: whether a row is the one of its component that stays, among rows of one id too."""
     sketch = durable(_sketch(docs, doc_id, text, bands, rows), "sketch")
     low = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "place")
     nodes = sketch.where("node is not null").groupBy("node").agg(
@@ -210,8 +212,8 @@ def _found(docs: DataFrame, doc_id: str, text: str, percent: int, bands: int, ro
     found = alone.join(lows, "node", "left").select("node", F.coalesce("least", "low").alias("least"))
     out = sketch.select("doc_id", "row", "place", "n_shingles", "node").join(found, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
-    kept = F.col("node").isNull() | (F.col("place") == F.col("least.place"))
-    return out.select("doc_id", "row", "node", "n_shingles", own.alias("component_id"), kept.alias("kept"))
+    stays = F.col("node").isNull() | (F.col("place") == F.col("least.place"))
+    return out.select("doc_id", "row", "node", "n_shingles", own.alias("component_id"), stays.alias("stays"))
 
 
 def _link(docs, text, doc_id, member, facts, percent, steps) -> DataFrame:
