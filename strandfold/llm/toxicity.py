@@ -199,14 +199,14 @@ class Index:
 
 
 def _distinct(texts: pa.Array, labels: list) -> list[int]:
-    """Rows but those whose least shingles and label are those of an earlier row."""
+    """Rows but those whose least shingles and label are those of an earlier row; rows without words all stay, since their share of label 1 is what such texts score."""
     seen: set[tuple] = set()
     out = []
     i = 0
     for _, _, codes, bounds in W.word_codes(texts):
         for s in W.shingle_sets(codes, bounds):
             key = (labels[i] > 0, s[:LEAST_SHINGLES].tobytes())
-            if key not in seen:
+            if not len(s) or key not in seen:
                 out.append(i)
             seen.add(key)
             i += 1
