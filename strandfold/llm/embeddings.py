@@ -7,10 +7,11 @@ shards overlap. In each shard every node gets a robust-pruned list of neighbours
 edges; the lists of a node from all shards are united. Then every vector searches its home shard: a
 greedy beam search from the medoid (and some fixed entries) walks towards it; once inside the
 threshold, the walk spreads over every neighbour that is within it (range expansion). What is found
-is verified by the cosine in double precision. A sample of vectors, drawn from all and from those with
-links, is held against all vectors block by block; if the mean recall of the audited vectors falls
-below `recall`, margin and beam are widened and the search is repeated. Where TRIES searches fall
-short, clusters are compared exactly: with t the angle of the threshold, vectors join every cluster
+is verified by the cosine in double precision. A sample of vectors is held against all vectors block by
+block, drawn from all and from those that have a link to a vector on the same side of random planes,
+which is told without the search; if the mean recall of the linked ones among them falls below
+`recall`, margin and beam are widened and the search is repeated. Where TRIES searches fall short, or
+fewer than AUDITED audited vectors are linked, so that their recall tells little, clusters are compared exactly: with t the angle of the threshold, vectors join every cluster
 whose centre is at most 2 t further away than their nearest, which by the triangle inequality puts
 both ends of each link into either's home. A cluster of more than CELL nodes is searched as several graphs, each by all of its
 vectors, so no task holds more than CELL nodes and CELL queries.
@@ -42,6 +43,7 @@ CENTRES = 1024
 DEGREE, POOL, ALPHA = 24, 64, 1.2
 BEAM, ENTRIES, MARGIN = 48, 8, 0.12
 AUDIT, RECALL, TRIES = 200, 0.99, 3
+PLANES, AUDITED = 16, 50
 SLICE = 8192
 
 
@@ -249,13 +251,35 @@ def _found_by(cells: DataFrame, lists: DataFrame | None, threshold: float, beam:
     return hits, hits.where("found >= 0").groupBy("node").agg(F.sum("found").alias("found"))
 
 
-def _audit(nodes: DataFrame, threshold: float, found: DataFrame) -> float | None:
-    """Mean recall of the linked ones among AUDIT nodes and AUDIT nodes with links found, by cosine with all nodes in blocks; None if none is linked."""
+def _likely(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node): nodes that a test which knows nothing of the search finds linked: the cosine with one vector that lies on the same side of PLANES random planes."""
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pandas()
+            found = np.zeros(len(rows), np.int64)
+            for size, at in rows.groupby(rows["vector"].map(len)).indices.items():
+                planes = np.random.default_rng(size).normal(size=(PLANES, size))
+                x = np.stack([np.asarray(v, np.float64) for v in rows["vector"].iloc[at]])
+                found[at] = (x @ planes.T > 0) @ (1 << np.arange(PLANES))
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("node"), batch.column("vector"), pa.array(found)], names=["part", "node", "vector", "side"])
+
+    kind = nodes.schema["vector"].dataType.simpleString()
+    placed = durable(nodes.select("part", "node", "vector").mapInArrow(sides, f"part string, node {nodes.schema['node'].dataType.simpleString()}, vector {kind}, side long"), "sides")
+    first = placed.groupBy("part", "side").agg(F.min("node").alias("mate"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = durable(first.join(placed.select(F.col("node").alias("mate"), F.col("vector").alias("w")), "mate"), "mates")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
+    met = placed.join(first, ["part", "side"]).where("node <> mate")
+    return met.where(dot("vector", "w") >= threshold * F.sqrt(dot("vector", "vector")) * F.sqrt(dot("w", "w"))).select("node")
+
+
+def _audit(nodes: DataFrame, threshold: float, found: DataFrame, likely: DataFrame) -> tuple[float | None, int]:
+    """Mean recall of the linked ones among AUDIT nodes and AUDIT likely ones, by cosine with all nodes in blocks, and their number; None if none is linked."""
     order = F.xxhash64("node", F.lit(17))
-    drawn = nodes.orderBy(order).limit(AUDIT).select("node").unionByName(found.where("found > 0").orderBy(order).limit(AUDIT).select("node")).distinct()
+    drawn = nodes.orderBy(order).limit(AUDIT).select("node").unionByName(likely.orderBy(order).limit(AUDIT)).distinct()
     sample = nodes.join(drawn, "node").select("part", "node", "vector").toPandas()  # at most 2 AUDIT vectors
     if not len(sample):
-        return None
+        return None, 0
     parts = {p: (g["node"].to_numpy(), _matrix(g["vector"])) for p, g in sample.groupby("part")}
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +295,9 @@ def _audit(nodes: DataFrame, threshold: float, found: DataFrame) -> float | None
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64())], names=["node", "true"])
 
     truth = nodes.select("part", "node", "vector", "weight").mapInArrow(job, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    return truth.where(F.col("true") > 0).join(found, "node", "left").agg(F.avg(F.least("true", F.coalesce("found", F.lit(0))) / F.col("true")).alias("recall")).first()["recall"]
+    share = F.least("true", F.coalesce("found", F.lit(0))) / F.col("true")
+    got = truth.where(F.col("true") > 0).join(found, "node", "left").agg(F.avg(share).alias("recall"), F.count(F.lit(1)).alias("n")).first()
+    return got["recall"], got["n"]
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -287,17 +313,23 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         F.min("part").alias("part"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("low")
     )
     nodes = durable(nodes, "nodes")
-    margin, beam = MARGIN, BEAM
+    margin, beam, exact = MARGIN, BEAM, False
+    likely = durable(_likely(nodes, threshold), "likely")
     for _ in range(TRIES):
         cells = durable(_blocked(_cells(nodes, margin)), "cells")
         hits, found = _found_by(cells, _lists(cells), threshold, beam)
-        reached = _audit(nodes, threshold, found)
-        if reached is None or reached >= recall:
+        reached, linked = _audit(nodes, threshold, found, likely)
+        if linked >= AUDITED and reached >= recall:
+            break
+        if linked < AUDITED:  # too few to tell the search's recall
+            exact = True
             break
         margin, beam = margin * 1.5, beam * 2
     else:
+        exact = True
+    if exact:
         hits, found = _found_by(durable(_blocked(_cells(nodes, 0.0, threshold)), "cells"), None, threshold, None)
-        reached = _audit(nodes, threshold, found)
+        reached, _ = _audit(nodes, threshold, found, likely)
     labels = connected_components(hits.where("found < 0"), "node", "to")
     named = nodes.select("node", "low", "weight").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
