@@ -140,7 +140,7 @@ def test_near_dedup_of_null_and_repeated_ids(spark):
     count = collections.Counter
     assert count((r.doc_id, r.n_shingles, r.component_id) for r in got) == count((i, len(shingles(t)), least[k]) for k, (i, t) in enumerate(rows))
     want = count(least[g[0]] for g in groups.values())
-    assert count(r.doc_id for r in got if r.kept) == want and all(r.doc_id == r.component_id for r in got if r.kept)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     stage = dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, table, SF)
     kept = [(r.doc_id, r.text) for r in stage.collect()]
     assert stage.columns == table.columns and count(i for i, _ in kept) == want
@@ -322,6 +322,41 @@ def test_licences(spark, docs, odd):
     }
 
 
+def test_licences_of_any_length_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for name in ("MIT-text", "GPL-3.0-text", "Apache-2.0-text", "BSD-text", "MPL-2.0-text"):
+        words_ = licences.words_of(licences.TEMPLATES[name])
+        for every in (6, 7, 8, 11):
+            longer = [x for k, w in enumerate(words_) for x in ([w, "new"] if k % every == every - 1 else [w])]
+            shorter = [w for k, w in enumerate(words_) if k % every]
+            for made in (longer, shorter, longer + ["and", "then"] + shorter, words_[: len(words_) * 2 // 3] + longer[-20:]):
+                around = [rng.choice(["to", "the", "copy", "of", "xx"]) for _ in range(rng.randrange(8))]
+                rows.append((len(rows), " ".join(around + made + around)))
+    want = {}
+    for k, text in rows:
+        grams = [f"{a} {b}" for a, b in zip(text.split(), text.split()[1:])]
+        for name, template in licences.TEMPLATES.items():
+            own, longest = set(licences.bigrams_of(template)), licences._longest(template, 0.8)
+            if len(own & set(grams)) < 0.8 / 1.2 * len(own):
+                continue
+            found = {}
+            for i in range(len(grams)):
+                seen = set()
+                for g in grams[i : i + longest]:
+                    seen.add(g)
+                    found[i] = max(found.get(i, 0), 2.0 * len(seen & own) / (len(seen) + len(own)))
+            at = [i for i, d in found.items() if d >= 0.8 and grams[i] in own]
+            if max(found.values()) >= 0.8:
+                apart = licences._places(template) // 2
+                want[k, name] = (sum(j == 0 or i - at[j - 1] > apart for j, i in enumerate(at)), max(found.values()))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.licence): (r.n_passages, r.dice) for r in licences.scan(table).collect()}
+    assert found == want and len({k for k, _ in want}) > 40
+    monkeypatch.setattr(licences, "STRIDE", 7)
+    assert {(r.doc_id, r.licence): (r.n_passages, r.dice) for r in licences.scan(table).collect()} == want
+
+
 def test_fingerprints(spark, docs, odd):
     text = [(r.doc_id, r.text) for r in docs.orderBy(F.desc("doc_id")).collect()]
     got = {r.doc_id: r for r in Q.op6_fingerprints(spark, SF).collect()}
@@ -471,6 +506,46 @@ def test_mix_takes_rows_one_by_one(spark):
     assert all(abs(10 * sum(r.copies for r in got if r.source == s) - next(r.target for r in got if r.source == s)) < 10 for s in "ab")
 
 
+def test_mix_is_the_same_however_the_table_is_split(spark, docs, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 1, 2, k]), " ".join(["w"] * rng.randrange(30)), rng.choice("ab")) for k in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.option("parquet.block.size", 2048).parquet(f"{tmp_path}/t")
+    seen = []
+    for size in ("1k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        table = spark.read.parquet(f"{tmp_path}/t")
+        seen.append((sorted(map(str, (tuple(r) for r in mixing.mix(table).drop("row").collect()))), table.rdd.getNumPartitions()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0][0] == seen[1][0] and seen[0][1] != seen[1][1]
+
+
+def test_toxicity_of_empty_texts_is_the_share_among_empty_examples(spark):
+    rows = [(k, "", int(k == 500)) for k in range(1001)] + [(2000 + k, f"nice words number {k} here and there", 0) for k in range(30)] + [(3000 + k, f"bad {k} awful mean words of hate", 1) for k in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.train(table, F.col("toxic"), table.select("doc_id", "text"))
+    assert 0.0005 < index.empty < 0.002
+    got = toxicity.score(spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id long, text string"), index).collect()
+    assert all(r.score == index.empty for r in got)
+
+
+def test_embedding_recall_is_measured_without_the_search(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 16))
+    x[1::10] = x[::10] + rng.normal(0, 0.02, x[::10].shape)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    links = (x @ x.T >= 0.98).sum(axis=1) - 1
+    walk = embeddings.range_search
+    lossy = lambda x, lists, q, threshold, beam, own: ((i, near if k % 2 else near[:0]) for k, (i, near) in enumerate(walk(x, lists, q, threshold, beam, own)))
+    monkeypatch.setattr(embeddings, "range_search", lossy)
+    monkeypatch.setattr(embeddings, "TRIES", 1)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(table).collect()}
+    assert links.sum() > 500 and [got[k].n_links for k in range(len(x))] == links.tolist() and got[0].recall == 1.0  # about half was lost, so all were compared
+    few = table.where("vec_id % 10 not in (0, 1) or vec_id < 20")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(few).collect()}
+    assert sum(r.n_links for r in got.values()) == 4 and got[0].recall == 1.0  # too few linked to measure by
+
+
 def test_pipeline_keeps_columns_and_odd_rows(spark, docs, odd):
     import corpus_pipeline
 
