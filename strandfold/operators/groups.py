@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandfold.durable import durable
 from strandfold.operators.components import connected_components
 from strandfold.operators.coverage import covered_by, exact_classes, sides
+from strandfold.operators.places import SPAN, placed, running
 
 
 def reject_unknown_refs(items: DataFrame, matches: DataFrame) -> DataFrame:
@@ -32,21 +33,28 @@ def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
 
 
 def clip_components(matches: DataFrame, classes: DataFrame) -> DataFrame:
-    """(match_id, component) of perceptual matches: two are one component if on one exact class they share a bin; a side without ranges shares with all of its class."""
+    """(match_id, component) of perceptual matches: two are one component if on one exact class they share a bin; a side without ranges shares with all of its class.
+
+    A class is swept over its spans by start, in sorted ranges and stretches: the greatest end so far tells
+    where an island begins, and the island's first match is carried along it. No task needs a whole class.
+    """
     own = classes.select(F.col("item_id"), "class_id")
     p = matches.where("kind <> 'exact'")
     ends = p.join(own.withColumnsRenamed({"item_id": "a_id", "class_id": "ca"}), "a_id").join(own.withColumnsRenamed({"item_id": "b_id", "class_id": "cb"}), "b_id")
     left = ends.select("match_id", F.col("ca").alias("class_id"), F.col("a_sample_ranges").alias("ranges"))
     right = ends.where("ca <> cb").select("match_id", F.col("cb").alias("class_id"), F.col("b_sample_ranges").alias("ranges"))
     spans = left.unionByName(right).select("match_id", "class_id", F.explode_outer("ranges").alias("r")).select("match_id", "class_id", "r.start", "r.end")
-    wild = spans.groupBy("class_id").agg(F.bool_or(F.col("start").isNull()).alias("wild"))
-    order = Window.partitionBy("class_id").orderBy(F.col("start").asc_nulls_first(), "end", "match_id")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.col("wild"), 0).when(F.col("start") <= reach, 0).otherwise(1)
-    islands = spans.join(wild, "class_id").withColumn("_new", new).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    least = islands.groupBy("class_id", "island").agg(F.min("match_id").alias("first"))
-    edges = islands.join(least, ["class_id", "island"]).select(F.col("match_id").alias("a"), F.col("first").alias("b"))
-    return connected_components(edges).select(F.col("node").alias("match_id"), "component")
+    return connected_components(island_edges(spans)).select(F.col("node").alias("match_id"), "component")
+
+
+def island_edges(spans: DataFrame, span: int = SPAN) -> DataFrame:
+    """(a, b): the match of each of spans (class_id, match_id, start, end) and the first match of its island; a null start reaches over its whole class."""
+    swept = placed(spans, "class_id", [F.col("start").asc_nulls_first(), F.col("end"), F.col("match_id")])
+    wild = F.when(F.col("start").isNull(), 1)  # those come first, so all others of the class come after them
+    seen = durable(running(swept, "class_id", "place", {"reach": (F.max, F.col("end")), "wild": (F.max, wild)}, before=True, span=span), "swept")
+    new = (F.col("place") == 0) | (F.col("wild").isNull() & F.coalesce(F.col("start") > F.col("reach"), F.lit(True)))
+    first = F.when(new, F.struct("place", "match_id"))
+    return running(seen, "class_id", "place", {"first": (F.max, first)}, span=span).select(F.col("match_id").alias("a"), F.col("first.match_id").alias("b"))
 
 
 def expand_aliases(matches: DataFrame, classes: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,7 +73,7 @@ def exact_only(matches: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(items: DataFrame, matches: DataFrame, classes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """members (group_id, item_id) and matches (group_id, match_id), numbered by least member, size and members."""
+    """members (group_id, item_id) and matches (group_id, match_id), numbered by least member, size and members; no set is gathered."""
     classes = durable(exact_classes(items, matches), "classes") if classes is None else classes
     members, used = expand_aliases(matches, classes, clip_components(matches, classes))
     alone = exact_only(matches, classes)
@@ -75,11 +83,58 @@ def duplicate_groups(items: DataFrame, matches: DataFrame, classes: DataFrame |
     used = used.select(tag(0, "component"), "match_id").unionByName(
         exact.join(alone.select("class_id").distinct(), "class_id").select(tag(1, "class_id"), "match_id")
     )
-    sets = durable(members.groupBy("source").agg(F.array_sort(F.collect_set("item_id")).alias("members")), "sets")
-    distinct = sets.select("members").distinct().withColumns({"least": F.element_at("members", 1), "n": F.size("members")})
-    ids = durable(numbered(distinct, ["least", "n", "members"], "group_id"), "groups")
-    own = sets.join(ids, "members").select("source", "group_id")
-    return ids.select("group_id", F.explode("members").alias("item_id")), own.join(used, "source").select("group_id", "match_id").distinct()
+    members = durable(members, "sources")
+    same = durable(same_sets(members), "sets")
+    groups = numbered_sets(members, same.where("source = head").select(F.col("head").alias("set"), "least", "n"))
+    groups = durable(groups.select(F.col("set").alias("head"), "group_id"), "groups")
+    own = same.join(groups, "head").select("source", "head", "group_id")
+    return (
+        members.join(own.where("source = head"), "source").select("group_id", "item_id"),
+        own.join(used, "source").select("group_id", "match_id").distinct(),
+    )
+
+
+def same_sets(members: DataFrame) -> DataFrame:
+    """(source, head, least, n): sources of members (source, item_id; each pair once) that have the same items share a head, the least of them.
+
+    A set is told by its size, its least item and two digests that no order sways, all of them sums made before
+    the shuffle; that the digests' equals are equal is verified by counting the items they have in common, and
+    sources that differ all the same stay apart.
+    """
+    digest = [F.bit_xor(F.xxhash64(F.lit(k), "item_id")).alias(f"d{k}") for k in (1, 2)]
+    sets = durable(members.groupBy("source").agg(F.min("item_id").alias("least"), F.count(F.lit(1)).alias("n"), *digest), "digests")
+    told = ["least", "n", "d1", "d2"]
+    heads = durable(sets.groupBy(*told).agg(F.min("source").alias("head"), F.count(F.lit(1)).alias("of")).where("of > 1"), "heads")
+    like = durable(sets.join(heads, told).where("source <> head").select("source", "head", "n"), "like")
+    theirs = members.join(like, "source").select("source", "head", "n", "item_id")
+    heads_ = members.join(like.select("head").distinct(), members["source"] == F.col("head"), "left_semi").select(F.col("source").alias("head"), "item_id")
+    equal = theirs.join(heads_, ["head", "item_id"]).groupBy("source", "head", "n").agg(F.count(F.lit(1)).alias("both")).where("both = n").select("source", "head")
+    return sets.join(equal, "source", "left").select("source", F.coalesce("head", "source").alias("head"), "least", "n")
+
+
+def numbered_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """sets (set, least, n) with group_id from 1, in the order of least item, size and items; members: (source, item_id) of them, each pair once.
+
+    Only sets that agree in least item and size need their items compared. Their items, in order, are
+    ranked by pairs, then pairs of pairs, each round leaving half of the rows, until a set has one rank.
+    """
+    ties = sets.groupBy("least", "n").agg(F.count(F.lit(1)).alias("of")).where("of > 1 and n > 1").select("least", "n")
+    tied = durable(sets.join(ties, ["least", "n"]).select("set", "n"), "ties")
+    longest = tied.agg(F.max("n").alias("n")).first()["n"] or 0
+    ordered = sets.withColumn("order", F.lit(0).cast("long"))
+    if longest:
+        rows = placed(members.join(tied.select(F.col("set").alias("source")), "source", "left_semi"), "source", [F.col("item_id")])
+        rows = durable(rows.select(F.col("source").alias("set"), "place", F.col("item_id").alias("rank")), "ranks")
+        while longest > 1:
+            at = F.shiftright("place", 1).alias("place")
+            first, second = F.max(F.when(F.col("place") % 2 == 0, F.col("rank"))), F.max(F.when(F.col("place") % 2 == 1, F.col("rank")))
+            pairs = durable(rows.groupBy("set", at).agg(first.alias("x"), second.alias("y")), "pairs")
+            ranks = numbered(pairs.select("x", "y").distinct(), [F.col("x"), F.col("y").asc_nulls_first()], "rank")
+            same = (pairs["x"] == ranks["x"]) & pairs["y"].eqNullSafe(ranks["y"])
+            rows = durable(pairs.join(ranks, same).select("set", "place", "rank"), "ranks")
+            longest = -(-longest // 2)
+        ordered = sets.join(rows.select("set", F.col("rank").alias("order")), "set", "left")
+    return numbered(ordered, ["least", "n", "order"], "group_id")
 
 
 def linked_groups(members: DataFrame, seeds: DataFrame) -> DataFrame:
