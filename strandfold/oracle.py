@@ -156,6 +156,28 @@ CTES: dict[str, str] = {f"taken_{k}": _place(k) for k in range(1, P.top_offsets
 }
 
 
+def _walk(order: str) -> str:
+    """The removal walk through an order, one place of all groups a step."""
+    return f"""@select group_id, 0::bigint as k, list(item_id) as kept, null::bigint as gone from members group by group_id
+        union all select group_id, k + 1, case when ok then list_filter(kept, lambda x: x <> item_id) else kept end, case when ok then item_id end from (
+        select w.group_id, w.k, w.kept, p.item_id, len(w.kept) > 1 and case when len(list_intersect(t.mates, w.kept)) > 1 then 100.0 else least(100.0, 100.0 * count(distinct b.bin) / n.n) end + 1e-9 >= {P.min_coverage} as ok
+        from walk_{order} w join {order} p on p.group_id = w.group_id and p.place = w.k + 1 join mates t on t.group_id = p.group_id and t.item_id = p.item_id join item_n n on n.item_id = p.item_id
+        left join direct_bins b on b.group_id = w.group_id and b.item_id = p.item_id and list_contains(w.kept, b.other_id) group by w.group_id, w.k, w.kept, p.item_id, t.mates, n.n)"""
+
+
+CTES |= {
+    "pair_cover": """select u.group_id, b.item_id, b.other_id, case when bool_or(b.kind = 'exact') then 100.0 else least(100.0, 100.0 * count(distinct bin) / n) end + 1e-9 as c
+        from bins b join used u using (match_id) join item_n using (item_id) group by u.group_id, b.item_id, b.other_id, n""",
+    "contained": """select x.group_id, x.other_id as item_id, count(*) as contained from pair_cover x join pair_cover y on x.group_id = y.group_id and x.item_id = y.other_id and x.other_id = y.item_id
+        where x.c >= 95 and y.c < 95 group by all""",
+    "fully": """select n.group_id, n.item_id, row_number() over (partition by n.group_id order by coalesce(c.contained, 0), -v.covered_percent, width * height, size_bytes, duration_seconds, path) as place
+        from named n join covered v using (group_id, item_id) left join contained c using (group_id, item_id)""",
+    "mates": "select m.group_id, m.item_id, list(o.item_id) as mates from members m join classes x using (item_id) join members o on o.group_id = m.group_id join classes y on y.item_id = o.item_id and y.class_id = x.class_id group by all",
+    "direct_bins": "select distinct u.group_id, b.item_id, b.other_id, b.bin from bins b join used u using (match_id) where b.kind <> 'exact' and b.item_id <> b.other_id",
+    "walk_prior": _walk("prior"),
+    "walk_fully": _walk("fully"),
+}
+
 KEPT = ("samples", "ranked_offsets", "records", "matches", "points", "fast_points", "members", "bins", "classes", "covered")
 
 

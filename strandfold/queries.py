@@ -673,12 +673,13 @@ def removal_priority(s):
     return s.prior
 
 
-@query()
+@query("select group_id, gone as item_id, (row_number() over (partition by group_id order by k))::int as place from walk_fully where gone is not null")
 def recommend_removals(s):
     return policy.recommend_removals(s.members, s.used, s.matches, s.items, "delete-fully-covered", P.interval, P.min_coverage)
 
 
-@query()
+@query("""select group_id, list_sort(list(item_id) filter (item_id not in (select gone from walk_prior w where w.group_id = members.group_id and gone is not null))) as keeper_ids,
+    coalesce((select list(gone order by k) from walk_prior w where w.group_id = members.group_id and gone is not null), []) as removal_order, 'strategy:delete-shorter-name' as method from members group by group_id""")
 def strategy_decisions(s):
     gone = policy.recommend_removals(s.members, s.used, s.matches, s.items, "delete-shorter-name", P.interval, P.min_coverage)
     return policy.strategy_decisions(s.members, gone, "strategy:delete-shorter-name")
