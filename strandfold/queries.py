@@ -130,32 +130,54 @@ def load_frames(s):
     return s.frames.select("item_id", "pos", "ts", F.md5("pixels").alias("digest"))
 
 
-@query("select item_id, item_id % 3 = 0 as hit from items")
+def _file_store(s) -> stores.FileStore:
+    return stores.FileStore(s.spark, f"{shared_dir(s.spark)}/files-{s.spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
+
+
+@query("select item_id, item_id % 3 = 0 and item_id % 2 = 0 as hit from items")
 def fingerprint_store_lookup(s):
-    return stores.lookup(s.files, s.store).select("item_id", "hit")
+    """A third of the files is stored, every other of them broken; what is broken is a miss and leaves the store."""
+    store = _file_store(s)
+    samples = F.array(F.struct(F.lit(0).alias("pos"), F.transform(F.sequence(F.lit(1), F.when(F.pmod("mtime_ns", F.lit(2)) == 0, 9).otherwise(8)), lambda k: k).alias("regions")))
+    store.put(s.store.withColumn("samples", samples))
+    store.lookup(s.files)
+    found = store.fingerprints.read().select(*stores.KEY).withColumn("hit", F.lit(True))  # as the store is afterwards
+    return s.files.join(found, stores.KEY, "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 @query("""select path, size_bytes, case when item_id % 2 = 0 then 2 else 1 end as written_at from items where item_id % 3 = 0 or item_id % 2 = 0""")
 def fingerprint_store_upsert(s):
+    """Two commits, and a writer that dies before its commit between them; the table is read again from its log."""
+    store = _file_store(s)
     new = s.files.where("item_id % 2 = 0").drop("item_id").withColumn("written_at", F.lit(2))
-    return stores.upsert(s.store, new).select("path", "size_bytes", "written_at")
+    store.put(s.store)
+    store.fingerprints._write(new.withColumns({"written_at": F.lit(3), "batch": F.lit(None).cast("long"), "_gone": F.lit(False)}), 1)
+    store.put(new)
+    return store.fingerprints.read().select("path", "size_bytes", "written_at")
 
 
 @query("select item_id, 'cannot decode' as error, true as cached from items where item_id % 5 = 1")
 def failure_store(s):
-    return stores.known_failures(s.files, s.failed).select("item_id", "error", "cached")
+    store = _file_store(s)
+    store.fail(s.failed)
+    return s.files.join(store.failed(s.files), stores.KEY).select("item_id", "error", "cached")
 
 
 @query("select item_id, sha256 from items")
 def file_hash_store(s):
-    files = s.docs.select("doc_id", "text").join(s.items.select(F.col("item_id").alias("doc_id"), "path", "size_bytes", "mtime_ns"), "doc_id")
-    known = s.items.where("item_id % 2 = 0").select("path", "size_bytes", "mtime_ns", "sha256")
-    return stores.with_hashes(files, known, "text").select(F.col("doc_id").alias("item_id"), "sha256")
+    """Half of the hashes are stored; the texts of the others only are read and hashed."""
+    store, files = _file_store(s), s.items.select("item_id", "path", "size_bytes", "mtime_ns")
+    store.hashes.append(s.items.where("item_id % 2 = 0").select("path", "size_bytes", "mtime_ns", "sha256"))
+    texts = s.docs.select(F.col("doc_id").alias("mtime_ns"), F.col("text").cast("binary").alias("content"))
+    return store.hashed(files, lambda asked: texts.join(asked, "mtime_ns").select("path", "content")).select("item_id", "sha256")
 
 
 @query("select item_id, case when item_id % 3 = 0 then 'hit' when item_id % 5 = 1 then 'failed' else 'pending' end as status from items")
 def incremental_split(s):
-    return stores.incremental_split(s.files, s.store, s.failed).select("item_id", "status")
+    store = _file_store(s)
+    store.fail(s.failed)
+    store.fingerprints.append(s.store)
+    return store.split(s.files).select("item_id", "status")
 
 
 @query("""select user_id as run_id, arg_max(event_type, {'t': ts, 'e': event_id}) as status, max(ts) as at from events group by user_id""")
@@ -733,15 +755,21 @@ def _stream(s) -> tuple[DataFrame, str]:
     return s.spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), base
 
 
+def _text_files(rows: DataFrame) -> DataFrame:
+    """The store's key of arriving documents."""
+    path = F.concat(F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return rows.withColumns({"path": path, "size_bytes": F.octet_length("text").cast("long"), "mtime_ns": F.col("doc_id"), "kind": F.lit("fast"), "interval": F.lit(P.interval)})
+
+
 @query("select item_id, pos, mean from samples")
 def stream_fingerprints(s):
     stream, base = _stream(s)
-    incremental.stream_fingerprints(stream, adapters.document_samples, f"{base}/store", f"{base}/checkpoint", P).awaitTermination()
+    incremental.stream_fingerprints(stream, adapters.document_samples, f"{base}/store", f"{base}/checkpoint", P, files=_text_files).awaitTermination()
     return incremental.current(s.spark, f"{base}/store", "samples").select("item_id", "pos", F.col("mean").cast("int").alias("mean"))
 
 
 @query()
 def stream_match_new(s):
     stream, base = _stream(s)
-    incremental.stream_match_new(s.spark, stream, adapters.document_samples, f"{base}/store", f"{base}/checkpoint", P).awaitTermination()
+    incremental.stream_match_new(s.spark, stream, adapters.document_samples, f"{base}/store", f"{base}/checkpoint", P, files=_text_files).awaitTermination()
     return incremental.current_matches(s.spark, f"{base}/store").select("a", "b", "i", "j", "distance")

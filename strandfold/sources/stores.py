@@ -1,14 +1,17 @@
-"""Fingerprint, failure and hash stores as tables, incremental scans, run history and snapshots.
+"""Fingerprint, failure and hash stores, incremental scans, run history and snapshots.
 
-A store is append-only Parquet read as the last row of each key; a lookup is a join on the key
-(path, size_bytes, mtime_ns, kind, interval).
+A lookup is a join on the key (path, size_bytes, mtime_ns, kind, interval). FileStore keeps the stores in tables
+with versions; the functions beside it are the same steps on any tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandfold.durable import durable
+from strandfold.sources.versions import Table
+
 KEY = ["path", "size_bytes", "mtime_ns", "kind", "interval"]
 FILE_KEY = ["path", "size_bytes", "mtime_ns"]
 
@@ -93,3 +96,73 @@ def snapshot(saved: DataFrame, run_id: str, snapshot_id: str, state: str | None
 def append_results(results: DataFrame, path: str) -> None:
     """Adds (plan_id, item_id, status, error) rows to a result log partitioned by plan."""
     results.write.mode("append").partitionBy("plan_id").parquet(path)
+
+
+KEY_SCHEMA = "path string, size_bytes long, mtime_ns long, kind string, interval double"
+FILE_SCHEMA = "path string, size_bytes long, mtime_ns long"
+
+
+class FileStore:
+    """Fingerprints, failures and content hashes of files, each a table with versions, cut by path.
+
+    batch: the number of a stream's batch that works on the store; what the same batch has put there in an earlier
+    attempt doesn't count as known, so that the attempt is repeated as a whole.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, batch: int | None = None):
+        self.batch = batch
+        self.fingerprints = Table(spark, f"{path}/fingerprints", tuple(KEY), ("path",))
+        self.failures = Table(spark, f"{path}/failures", tuple(KEY), ("path",))
+        self.hashes = Table(spark, f"{path}/hashes", tuple(FILE_KEY), ("path",))
+
+    def _near(self, table: Table, files: DataFrame, schema: str) -> DataFrame:
+        """The table's folders that the files lie in."""
+        rows = table.read(table.touched(files), empty=schema)
+        return rows if self.batch is None or "batch" not in rows.columns else rows.where(~F.col("batch").eqNullSafe(F.lit(self.batch)))
+
+    def _stamped(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("batch", F.lit(self.batch).cast("long"))
+
+    def lookup(self, files: DataFrame) -> DataFrame:
+        """files with hit; broken rows that are met are misses and leave the store."""
+        known = self._near(self.fingerprints, files, KEY_SCHEMA)
+        met = known.join(files.select(*KEY).distinct(), KEY, "left_semi")
+        if "samples" in known.columns:
+            broken = durable(met.select(*KEY).join(sound(met).select(*KEY), KEY, "left_anti"), "broken")
+            if not broken.isEmpty():
+                self.fingerprints.delete(broken)
+        return lookup(files, met)
+
+    def split(self, files: DataFrame, retry: bool = False) -> DataFrame:
+        """files with status hit, failed (as before) or pending."""
+        looked = self.lookup(files).withColumnRenamed("hit", "_hit")
+        failed = self._near(self.failures, files, KEY_SCHEMA + ", error string").select(*KEY).withColumn("_failed", F.lit(not retry))
+        status = F.when(F.col("_hit"), "hit").when(F.coalesce("_failed", F.lit(False)), "failed").otherwise("pending")
+        return looked.join(failed, KEY, "left").withColumn("status", status).drop("_hit", "_failed")
+
+    def put(self, rows: DataFrame, name: str | None = None) -> None:
+        """Stores fingerprints (key, and any other columns), one row a key, and clears their failures."""
+        rows = durable(self._stamped(rows), "fingerprints")
+        self.fingerprints.append(rows, name)
+        failed = self._near(self.failures, rows, KEY_SCHEMA + ", error string")
+        cleared = durable(failed.select(*KEY).join(rows.select(*KEY), KEY, "left_semi"), "cleared")
+        if not cleared.isEmpty():
+            self.failures.delete(cleared)
+
+    def fail(self, rows: DataFrame, name: str | None = None) -> None:
+        """Stores failures (key, error)."""
+        self.failures.append(self._stamped(rows.select(*KEY, "error")), name)
+
+    def failed(self, files: DataFrame, retry: bool = False) -> DataFrame:
+        """(key, error, cached) of files that failed before unchanged."""
+        return known_failures(files.select(*KEY), self._near(self.failures, files, KEY_SCHEMA + ", error string"), retry)
+
+    def hashed(self, files: DataFrame, content) -> DataFrame:
+        """files (path, size_bytes, mtime_ns, ...) with sha256; content(files) -> (path, content) is asked only for files not known, whose hashes are stored."""
+        known = self._near(self.hashes, files, FILE_SCHEMA + ", sha256 string")
+        met = durable(files.join(known.select(*FILE_KEY, "sha256"), FILE_KEY, "left"), "hashed")
+        open_ = met.where("sha256 is null").drop("sha256")
+        made = durable(open_.join(content(open_.select(*FILE_KEY)), "path").select(*FILE_KEY, F.sha2("content", 256).alias("sha256")).dropDuplicates(FILE_KEY), "hashes")
+        if not made.isEmpty():
+            self.hashes.append(made)
+        return met.where("sha256 is not null").unionByName(open_.join(made, FILE_KEY, "left"))
