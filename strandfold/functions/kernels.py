@@ -44,6 +44,12 @@ def sample_tokens(dhash: Column, ahash: Column, regions: Column | None = None) -
     return F.concat(whole, F.flatten(F.coalesce(tiles, F.array().cast("array<array<int>>"))))
 
 
+def first_band(x: Column, y: Column) -> Column:
+    """The first of the eight bands that two sample structs have alike; null if none."""
+    alike = [(F.shiftrightunsigned(x[h].bitwiseXOR(y[h]), 16 * k).bitwiseAND(0xFFFF) == 0, n) for n, (h, k) in enumerate([("dhash", k) for k in range(4)] + [("ahash", k) for k in range(4)])]
+    return F.coalesce(*[F.when(same, n) for same, n in alike])
+
+
 def whole_distance(da: Column, aa: Column, ma: Column, db: Column, ab: Column, mb: Column) -> Column:
     """Differing bits of both hashes, and up to 8 for the difference of the means."""
     means = F.least(F.lit(8), F.floor(F.abs(ma.cast("int") - mb.cast("int")) / 16)).cast("int")

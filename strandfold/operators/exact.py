@@ -15,9 +15,15 @@ def same_size_suspects(items: DataFrame) -> DataFrame:
     return items.join(many, "size_bytes", "left_semi")
 
 
+def hashed_suspects(items: DataFrame, contents: DataFrame, content: str = "content") -> DataFrame:
+    """Suspects with sha256 of their contents (item_id, content): sizes are compared first, and only what they leave is hashed."""
+    suspects = same_size_suspects(items.drop("sha256"))
+    return suspects.join(contents.select("item_id", content), "item_id").withColumn("sha256", F.sha2(content, 256)).drop(content)
+
+
 def exact_groups(items: DataFrame) -> DataFrame:
     """(size_bytes, sha256, anchor, n) of digests that come more than once; anchor is the least id."""
-    return same_size_suspects(items).groupBy("size_bytes", "sha256").agg(F.min("item_id").alias("anchor"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return items.groupBy("size_bytes", "sha256").agg(F.min("item_id").alias("anchor"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def exact_matches(items: DataFrame) -> DataFrame:

@@ -11,17 +11,26 @@ from strandfold.params import Params
 
 
 def sample_pairs(pairs: DataFrame, samples: DataFrame) -> DataFrame:
-    """(a, b, i, j, ts_a, ts_b, distance): informative samples of both items that share a token, each pair of samples once."""
-    if "regions" not in samples.columns:
-        samples = samples.withColumn("regions", F.array().cast("array<struct<dhash: bigint, ahash: bigint, mean: smallint>>"))
+    """(a, b, i, j, ts_a, ts_b, distance): informative samples of both items that share a token, each pair of samples once.
+
+    Rows of the index carry their sample's hashes, so the distance is taken in the join itself. A pair of samples
+    that shares several tokens is told at the first of them only.
+    """
+    regional = "regions" in samples.columns
     usable = drop_uninformative(samples)
-    tokens = usable.select("item_id", "pos", F.explode(F.array_distinct(K.sample_tokens(F.col("dhash"), F.col("ahash"), F.col("regions")))).alias("token"))
-    left = pairs.join(tokens.select(F.col("item_id").alias("a"), F.col("pos").alias("i"), "token"), "a")
-    met = left.join(tokens.select(F.col("item_id").alias("b"), F.col("pos").alias("j"), "token"), ["b", "token"]).select("a", "b", "i", "j").distinct()
-    whole = F.struct("dhash", "ahash", "mean", "regions")
-    x = usable.select(F.col("item_id").alias("a"), F.col("pos").alias("i"), F.col("ts").alias("ts_a"), whole.alias("x"))
-    y = usable.select(F.col("item_id").alias("b"), F.col("pos").alias("j"), F.col("ts").alias("ts_b"), whole.alias("y"))
-    return met.join(x, ["a", "i"]).join(y, ["b", "j"]).select("a", "b", "i", "j", "ts_a", "ts_b", K.sample_distance("x", "y").cast("int").alias("distance"))
+    tokens = F.array_distinct(K.sample_tokens(F.col("dhash"), F.col("ahash"), F.col("regions") if regional else None))
+    whole = F.struct("dhash", "ahash", "mean", *(["regions", F.array_sort(tokens).alias("tokens")] if regional else []))
+    index = usable.select("item_id", "pos", "ts", whole.alias("whole"), F.explode(tokens).alias("token"))
+    side = lambda item, pos, ts, sample: index.select(F.col("item_id").alias(item), F.col("pos").alias(pos), F.col("ts").alias(ts), F.col("whole").alias(sample), "token")
+    met = pairs.join(side("a", "i", "ts_a", "x"), "a").join(side("b", "j", "ts_b", "y"), ["b", "token"])
+    x, y = F.col("x"), F.col("y")
+    if regional:
+        first = F.col("token") == F.array_min(F.array_intersect("x.tokens", "y.tokens"))
+        distance = K.sample_distance("x", "y")
+    else:
+        first = F.shiftright("token", 16) == K.first_band(x, y)
+        distance = K.whole_distance(x["dhash"], x["ahash"], x["mean"], y["dhash"], y["ahash"], y["mean"])
+    return met.where(first).select("a", "b", "i", "j", "ts_a", "ts_b", distance.cast("int").alias("distance"))
 
 
 def within(points: DataFrame, distance: int) -> DataFrame:

@@ -51,7 +51,7 @@ class Stage:
 
 
 def _matches(s: Stage) -> DataFrame:
-    both = exact.exact_matches(s.items).unionByName(s.records)
+    both = exact.exact_matches(s.suspects).unionByName(s.records)
     return durable(groups.numbered(filters.min_duplicate_percent(both, PERCENT), ["a_id", "b_id"], "match_id").select("match_id", *both.columns), "matches")
 
 
@@ -72,6 +72,7 @@ def _inventory(s: Stage) -> DataFrame:
 MAKERS: dict[str, Callable[[Stage], DataFrame]] = {
     "docs": lambda s: adapters.read(s.spark, s.sf_dir, "documents"),
     "items": lambda s: adapters.document_items(s.docs),
+    "suspects": lambda s: durable(exact.hashed_suspects(s.items, s.docs.select(F.col("doc_id").alias("item_id"), "text"), "text"), "suspects"),
     "samples": lambda s: adapters.document_samples(s.docs),
     "kept_samples": lambda s: durable(s.samples, "samples"),
     "fast": lambda s: adapters.fast_pass(s.kept_samples),
@@ -81,7 +82,7 @@ MAKERS: dict[str, Callable[[Stage], DataFrame]] = {
     "rare": lambda s: tokens.drop_frequent(durable(s.selected, "selected"), P.max_frequency),
     "scores": lambda s: candidates.shared_token_counts(s.rare),
     "capped": lambda s: durable(candidates.cap_candidates(candidates.min_shared(s.scores, P.min_shared), P.per_item), "capped"),
-    "candidates": lambda s: candidates.without_pairs(s.capped, exact.exact_pair_keys(s.items, s.capped)),
+    "candidates": lambda s: candidates.without_pairs(s.capped, exact.exact_pair_keys(s.suspects, s.capped)),
     "fast_points": lambda s: verify.sample_pairs(s.candidates, s.fast),
     "likely": lambda s: durable(verify.verify_candidates(s.candidates, s.fast, s.items, P), "likely"),
     "points": lambda s: durable(verify.matching_points(s.likely, s.kept_samples, P.distance), "points"),
@@ -381,17 +382,17 @@ def same_size_suspects(s):
 
 @query("select size_bytes, sha256, anchor, n from exact_sets")
 def exact_groups(s):
-    return exact.exact_groups(s.items)
+    return exact.exact_groups(s.suspects)
 
 
 @query("select a_id, b_id, kind, overlap_seconds, a_duplicated_percent, b_duplicated_percent, confidence from star")
 def exact_matches(s):
-    return exact.exact_matches(s.items).drop("a_sample_ranges", "b_sample_ranges")
+    return exact.exact_matches(s.suspects).drop("a_sample_ranges", "b_sample_ranges")
 
 
 @query("select a, b from capped semi join exact_pairs using (a, b)")
 def exact_pair_keys(s):
-    return exact.exact_pair_keys(s.items, s.capped)
+    return exact.exact_pair_keys(s.suspects, s.capped)
 
 
 @query("select a, b from capped")
@@ -666,7 +667,7 @@ def linked_groups(s):
 
 @query("select kind, count(*) as n, sum(a_id)::bigint as a, sum(b_id)::bigint as b from all_matches group by kind")
 def all_matches(s):
-    return exact.exact_matches(s.items).unionByName(s.records).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("a_id").alias("a"), F.sum("b_id").alias("b"))
+    return exact.exact_matches(s.suspects).unionByName(s.records).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("a_id").alias("a"), F.sum("b_id").alias("b"))
 
 
 @query("select a, b from candidates")

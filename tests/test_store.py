@@ -178,3 +178,16 @@ def test_a_batch_reads_postings_of_its_own_tokens_only(spark, tmp_path):
         plan = read._jdf.queryExecution().executedPlan().toString()
         assert len(table.touched(mine)) <= n and re.search(r"PartitionFilters: \[[^]]*_bucket", plan)
         assert sorted(r.token for r in incremental.postings(spark, f"{tmp_path}/store", mine).collect()) == [7 * k for k in range(n)]
+
+
+def test_only_files_of_equal_size_are_hashed(spark):
+    from strandfold.operators import exact
+
+    texts = {1: "abc", 2: "abd", 3: "abc", 4: "longer", 5: None}
+    contents = spark.createDataFrame(list(texts.items()), "item_id long, content string")
+    sizes = contents.where("content is not null").select("item_id", F.octet_length("content").cast("long").alias("size_bytes"))
+    hashed = exact.hashed_suspects(sizes, contents)
+    assert sorted(r.item_id for r in hashed.collect()) == [1, 2, 3]
+    assert content(exact.exact_groups(hashed).select("anchor", "n")) == [(1, 2)]
+    plan = hashed._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert min(k for k, line in enumerate(plan) if "sha2(" in line) < min(k for k, line in enumerate(plan) if "Join Inner" in line)
