@@ -17,10 +17,10 @@ def sample_pairs(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     that shares several tokens is told at the first of them only.
     """
     regional = "regions" in samples.columns
-    usable = drop_uninformative(samples)
     tokens = F.array_distinct(K.sample_tokens(F.col("dhash"), F.col("ahash"), F.col("regions") if regional else None))
-    whole = F.struct("dhash", "ahash", "mean", *(["regions", F.array_sort(tokens).alias("tokens")] if regional else []))
-    index = usable.select("item_id", "pos", "ts", whole.alias("whole"), F.explode(tokens).alias("token"))
+    usable = drop_uninformative(samples).withColumn("tokens", tokens)
+    whole = F.struct("dhash", "ahash", "mean", *(["regions", "tokens"] if regional else []))
+    index = usable.withColumn("whole", whole).select("item_id", "pos", "ts", "whole", F.explode("tokens").alias("token"))
     side = lambda item, pos, ts, sample: index.select(F.col("item_id").alias(item), F.col("pos").alias(pos), F.col("ts").alias(ts), F.col("whole").alias(sample), "token")
     met = pairs.join(side("a", "i", "ts_a", "x"), "a").join(side("b", "j", "ts_b", "y"), ["b", "token"])
     x, y = F.col("x"), F.col("y")
