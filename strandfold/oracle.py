@@ -178,7 +178,19 @@ CTES |= {
     "walk_fully": _walk("fully"),
 }
 
-KEPT = ("samples", "ranked_offsets", "records", "matches", "points", "fast_points", "members", "bins", "classes", "covered")
+#: The same grouping once more, of what is left after half of the planned removals were done.
+_AGAIN = ("exact_edges", "exact_reach", "classes", "clip_sides", "ends", "clip_bins", "clip_edges", "clip_reach", "clips", "clip_classes", "clip_members", "exact_in", "alone", "sources", "sets", "set_ids", "members", "sides")
+CTES |= {f"{name}_left": re.sub(rf"\b({'|'.join((*_AGAIN, 'items', 'matches'))})\b", r"\1_left", CTES[name]) for name in _AGAIN}
+CTES |= {
+    "resolved": "select item_id from actions where item_id % 2 = 0",
+    "complete": "select group_id from asked group by group_id having bool_and(item_id in (select item_id from resolved))",
+    "hidden": """select item_id from resolved union select item_id from members where group_id in (select group_id from complete)
+        and item_id not in (select item_id from members where group_id not in (select group_id from complete))""",
+    "items_left": "select * from items where item_id not in (select item_id from hidden)",
+    "matches_left": "select * from matches where a_id not in (select item_id from hidden) and b_id not in (select item_id from hidden)",
+}
+
+KEPT = ("samples", "ranked_offsets", "records", "matches", "points", "fast_points", "members", "bins", "classes", "covered", "actions", "hidden", "matches_left", "classes_left")
 
 
 def sql(body: str) -> str:

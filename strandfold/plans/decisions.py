@@ -134,7 +134,7 @@ def retire_resolved(items: DataFrame, matches: DataFrame, members: DataFrame, de
 
     A set is complete when all it asked for is resolved. Hidden are the resolved items, and members of
     complete sets that are in no other set. What is left is grouped anew; an open decision goes to the
-    groups within its old members that are left, the least old group first.
+    groups within its old members that are left, the least old group first. Sets are compared by counts of joined rows.
     """
     resolved = durable(resolved, "resolved")
     asked = requested(decisions).join(resolved.withColumn("done", F.lit(True)), "item_id", "left")
@@ -146,14 +146,26 @@ def retire_resolved(items: DataFrame, matches: DataFrame, members: DataFrame, de
     ends = lambda m, c: m.join(hidden.withColumnRenamed("item_id", c), c, "left_anti")
     kept_matches = durable(ends(ends(matches, "a_id"), "b_id").select(*matches.columns), "matches")
     new_members, new_matches = duplicate_groups(left, kept_matches)
-    old = members.join(resolved, "item_id", "left_anti").groupBy("group_id").agg(F.collect_set("item_id").alias("rest"))
-    remaining = decisions.join(complete, "group_id", "left_anti").join(old, "group_id").withColumnRenamed("group_id", "old_id")
-    now = new_members.groupBy("group_id").agg(F.array_sort(F.collect_set("item_id")).alias("now"))
-    # A group can only be within an old set that holds its least member.
-    keyed = now.withColumn("item_id", F.element_at("now", 1))
-    near = keyed.join(remaining.select("*", F.explode("rest").alias("item_id")), "item_id").where(F.size(F.array_except("now", "rest")) == 0)
-    best = near.groupBy("group_id").agg(F.min_by(F.struct("now", "keeper_ids", "removal_order", "method"), "old_id").alias("d"))
-    carried = best.select("group_id", F.array_intersect("d.now", "d.keeper_ids").alias("keeper_ids"), F.filter("d.removal_order", lambda x: F.array_contains(F.col("d.now"), x)).alias("removal_order"), "d.method")
+    rest = members.join(resolved, "item_id", "left_anti").join(complete, "group_id", "left_anti").join(decisions.select("group_id"), "group_id", "left_semi")
+    rest = durable(rest.select(F.col("group_id").alias("old_id"), "item_id"), "rest")
+    now = new_members.groupBy("group_id").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n"))
+    # A group can only be within an old set that holds its least member; it is if they have all of its members in common.
+    near = durable(now.join(rest, "item_id").select("group_id", "old_id", "n"), "near")
+    shared = near.join(new_members, "group_id").join(rest, ["old_id", "item_id"])
+    within = shared.groupBy("group_id", "old_id", "n").agg(F.count(F.lit(1)).alias("both")).where("both = n")
+    heirs = durable(within.groupBy("group_id").agg(F.min("old_id").alias("old_id")), "heirs")
+    left_of = heirs.join(decisions.withColumnRenamed("group_id", "old_id"), "old_id")
+
+    def carried_(column: str) -> DataFrame:
+        """(group_id, at, item_id) of a decision's items that its heir has."""
+        return left_of.select("group_id", F.posexplode(column).alias("at", "item_id")).join(new_members, ["group_id", "item_id"], "left_semi")
+
+    keep = carried_("keeper_ids").groupBy("group_id").agg(F.array_sort(F.collect_set("item_id")).alias("keeper_ids"))
+    remove = carried_("removal_order").groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("at", "item_id"))).getField("item_id").alias("removal_order"))
+    none = F.array().cast(NONE)
+    carried = left_of.select("group_id", "method").join(keep, "group_id", "left").join(remove, "group_id", "left").select(
+        "group_id", F.coalesce("keeper_ids", none).alias("keeper_ids"), F.coalesce("removal_order", none).alias("removal_order"), "method"
+    )
     return left, kept_matches, new_members, new_matches, carried
 
 

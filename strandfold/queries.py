@@ -741,7 +741,7 @@ def validate_plan(s):
     return plans.validate_plan(s.actions, s.decided, s.items, s.inventory)
 
 
-@query()
+@query("select group_id, item_id from members_left")
 def retire_resolved(s):
     done = s.actions.where("item_id % 2 = 0").select("item_id")
     return plans.retire_resolved(s.items, s.matches, s.members, s.decided, done)[2]
