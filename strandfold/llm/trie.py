@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from strandfold.durable import durable
 from strandfold.llm.columns import crc32_sql
-from strandfold.llm.places import placed, running
+from strandfold.operators.places import placed, running
 
 SMALL = 4096
 BATCH = 1 << 16

@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandfold.llm import places, trie
+from strandfold.llm import trie
 from strandfold.llm import queries as Q
+from strandfold.operators import places
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = "conv_id long, turn long, role string, text string, depth int, SIZE int"
