@@ -17,6 +17,7 @@ from strandfold.oracle import _DISTANCE, _FLAT, _TOKENS, sql
 from strandfold.params import DOCUMENTS as P
 from strandfold.plans import decisions as plans
 from strandfold.sources import adapters, discovery, reports, stores
+from strandfold.sources.runs import RunLog
 from strandfold.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,7 +127,8 @@ def assign_item_ids(s):
     return discovery.assign_item_ids(s.items.select("item_id", "path"), "dense_id").select("item_id", "dense_id")
 
 
-@query()
+@query("""select item_id, pos::int as pos, (pos * 3.0)::double as ts, md5(unhex(substr(h, pos * 1296 + 1, 1296))) as digest
+    from (select page_id as item_id, hex(encode(html)) as h, unnest(range(octet_length(encode(html)) // 648)) as pos from pages)""")
 def load_frames(s):
     return s.frames.select("item_id", "pos", "ts", F.md5("pixels").alias("digest"))
 
@@ -181,10 +183,16 @@ def incremental_split(s):
     return store.split(s.files).select("item_id", "status")
 
 
-@query("""select user_id as run_id, arg_max(event_type, {'t': ts, 'e': event_id}) as status, max(ts) as at from events group by user_id""")
+@query("""select user_id::varchar as run_id, case when max(ts) filter (event_type = 'purchase') is null then 'interrupted' else 'completed' end as status, min(ts) filter (event_type = 'view') as started_at,
+    max(ts) filter (event_type = 'purchase') as finished_at from events where event_type in ('view', 'purchase') group by user_id""")
 def run_history(s):
-    e = adapters.read(s.spark, s.sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("status"), F.struct("ts", "event_id").alias("at"))
-    return stores.run_history(e).select("run_id", "status", "at.ts").withColumnRenamed("ts", "at")
+    """Users as runs that begin with a view and end with a purchase, over two commits of the log."""
+    log = RunLog(s.spark, f"{shared_dir(s.spark)}/runs-{s.spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
+    kind = F.when(F.col("event_type") == "view", "started").when(F.col("event_type") == "purchase", "completed")
+    rows = adapters.read(s.spark, s.sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), kind.alias("event"), F.col("ts").alias("at"), "event_id").where("event is not null")
+    for part in (0, 1):
+        log.append(rows.where(F.col("event_id") % 2 == part))
+    return log.history().select("run_id", "status", "started_at", "finished_at")
 
 
 @query("select group_id, keeper_ids, removal_order, 'manual' as method from decided")

@@ -1,4 +1,4 @@
-"""Fingerprint, failure and hash stores, incremental scans, run history and snapshots.
+"""Fingerprint, failure and hash stores, incremental scans and snapshots.
 
 A lookup is a join on the key (path, size_bytes, mtime_ns, kind, interval). FileStore keeps the stores in tables
 with versions; the functions beside it are the same steps on any tables.
@@ -61,16 +61,6 @@ def incremental_split(files: DataFrame, store: DataFrame, failures: DataFrame, r
     return met.withColumn("status", F.when(F.col("hit"), "hit").when(F.coalesce("_failed", F.lit(False)), "failed").otherwise("pending")).drop("hit", "_failed")
 
 
-def run_history(events: DataFrame) -> DataFrame:
-    """The last state of each run of (run_id, status, at, summary...)."""
-    rest = [c for c in events.columns if c != "run_id"]
-    return events.groupBy("run_id").agg(F.max_by(F.struct(*rest), "at").alias("s")).select("run_id", *[f"s.{c}" for c in rest])
-
-
-def last_completed(events: DataFrame) -> DataFrame:
-    return run_history(events).where("status = 'completed'").agg(F.max_by("run_id", "at").alias("run_id"))
-
-
 def state_of(items: DataFrame, matches: DataFrame, **thresholds: float) -> str:
     """What decisions are bound to: a digest of the items, the matches and the thresholds they were made on, in any order of rows."""
     told = []

@@ -92,7 +92,7 @@ class Table:
 
     def _write(self, rows: DataFrame, files: int) -> str:
         folder = f"parts/{uuid.uuid4().hex}"
-        spread = F.pmod(F.xxhash64(*(self.key or rows.columns)), F.lit(files))
+        spread = F.pmod(F.xxhash64(*(self.key or self.cut)), F.lit(files)) if self.key or self.cut else F.lit(0)
         rows.withColumn("_bucket", self.bucket()).repartition("_bucket", spread).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         return folder
 

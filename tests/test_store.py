@@ -191,3 +191,26 @@ def test_only_files_of_equal_size_are_hashed(spark):
     assert content(exact.exact_groups(hashed).select("anchor", "n")) == [(1, 2)]
     plan = hashed._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert min(k for k, line in enumerate(plan) if "sha2(" in line) < min(k for k, line in enumerate(plan) if "Join Inner" in line)
+
+
+def test_run_log_keeps_the_last_good_export(spark, tmp_path):
+    from strandfold.sources.runs import RunLog, logged
+
+    log = RunLog(spark, f"{tmp_path}/runs")
+    assert log.history().isEmpty() and log.last_export() is None
+    logged(log, "one", lambda: ({"scanned": 2.0}, "exports/one"), {"roots": "/r"})
+    logged(log, "two", lambda: ({"scanned": 3.0}, "exports/two"))
+
+    def fails():
+        raise OSError("decode failed")
+
+    with pytest.raises(OSError, match="decode failed"):
+        logged(log, "three", fails)
+    log.start("four")
+    log.start("five")
+    found = {r.run_id: r for r in log.history(alive=["five"]).collect()}
+    assert {k: r.status for k, r in found.items()} == {"one": "completed", "two": "completed", "three": "failed", "four": "interrupted", "five": "running"}
+    assert found["one"].settings == {"roots": "/r"} and found["one"].summary == {"scanned": 2.0} and "decode failed" in found["three"].error
+    assert all(found[k].started_at and found[k].finished_at for k in ("one", "two", "three")) and log.last_export() == "exports/two"
+    with pytest.raises(ValueError):
+        log.end("four", "running")
