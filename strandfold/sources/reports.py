@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandfold.operators.align import sort_matches
+from strandfold.operators.groups import numbered
 
 RANGE = "array<struct<start: int, end: int>>"
 PARTS = {
     "files": "item_id long, path string, size_bytes long, mtime_ns long, duration_seconds double, width long, height long, codec string, detailed_sample_count long",
     "matches": f"match_id long, a_id long, b_id long, kind string, overlap_seconds double, a_duplicated_percent double, b_duplicated_percent double, confidence double, a_sample_ranges {RANGE}, b_sample_ranges {RANGE}",
     "settings": "schema_version int, settings map<string, string>",
+    "summary": "name string, value double",
+    "failures": "path string, error string, cached boolean",
 }
+#: Part files keep no order, so matches carry their place.
+WRITTEN = PARTS | {"matches": PARTS["matches"] + ", place long"}
 PLAN = {
     "decisions": "group_id long, method string, keeper_paths array<string>, removal_paths array<string>",
     "actions": "item_id long, path string, size_bytes long, mtime_ns long, covered_percent double, sources array<long>, n_sources long",
@@ -30,17 +34,29 @@ def read_parts(spark: SparkSession, path: str, parts: dict[str, str]) -> dict[st
     return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in parts.items()}
 
 
-def write_report(path: str, items: DataFrame, matches: DataFrame, settings: dict[str, str]) -> None:
-    """A report as lines of JSON: files, matches in the order of sort_matches, settings."""
-    none = F.array().cast(RANGE)
+def write_report(path: str, items: DataFrame, matches: DataFrame, settings: dict[str, str], summary: DataFrame | None = None, failures: DataFrame | None = None) -> None:
+    """A report as lines of JSON: files, matches in the order of sort_matches, settings, summary (one row of counts) and failures."""
+    spark, none = items.sparkSession, F.array().cast(RANGE)
     ranges = {c: F.coalesce(c, none) for c in ("a_sample_ranges", "b_sample_ranges")}
-    told = items.sparkSession.range(1).select(F.lit(1).alias("schema_version"), F.create_map(*[F.lit(x) for kv in settings.items() for x in kv]).alias("settings"))
-    write_parts(path, PARTS, files=items, matches=sort_matches(matches.withColumns(ranges)), settings=told)
+    order = [F.greatest("a_duplicated_percent", "b_duplicated_percent").desc(), F.col("a_id"), F.col("b_id")]
+    told = spark.range(1).select(F.lit(1).alias("schema_version"), F.create_map(*[F.lit(x) for kv in settings.items() for x in kv]).alias("settings"))
+    counts = spark.createDataFrame([], PARTS["summary"])
+    if summary is not None:
+        each = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in summary.columns])
+        counts = summary.select(F.explode(each).alias("s")).select("s.*")
+    failed = spark.createDataFrame([], PARTS["failures"]) if failures is None else failures
+    write_parts(path, WRITTEN, files=items, matches=numbered(matches.withColumns(ranges), order, "place"), settings=told, summary=counts, failures=failed)
+
+
+def report_parts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """All sections of a report by name; matches are in the order they were written in."""
+    parts = read_parts(spark, path, WRITTEN)
+    return parts | {"matches": parts["matches"].orderBy("place").drop("place")}
 
 
 def load_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
     """(items, matches, settings) of a report."""
-    parts = read_parts(spark, path, PARTS)
+    parts = report_parts(spark, path)
     return parts["files"], parts["matches"], parts["settings"].select("settings").first()["settings"] or {}
 
 

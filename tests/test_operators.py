@@ -190,7 +190,9 @@ def test_review_cycle(spark):
     veto = decisions(spark, (1, [1, 2], [0]), (2, [0, 3], [1]))
     assert plans.build_actions(plans.default_decisions(members, veto), found, known, 1.0, 95.0).isEmpty()
     done = spark.createDataFrame([(0,)], "item_id long")
-    _, _, after, _, _ = plans.retire_resolved(known, found, members, one, done)
+    two = one.unionByName(decisions(spark, (3, [4], [5]), (2, [0, 3], [1])))
+    _, _, after, _, carried = plans.retire_resolved(known, found, members, two, done)
+    assert sorted((r.group_id, r.keeper_ids, r.removal_order) for r in carried.collect()) == [(1, [3], [1]), (2, [4], [5])]
     got = {}
     for r in after.collect():
         got.setdefault(r.group_id, set()).add(r.item_id)
@@ -313,6 +315,12 @@ def test_report_and_plan_come_back(spark, tmp_path):
     files, matches, settings = reports.load_report(spark, f"{tmp_path}/r")
     assert sorted(files.collect()) == sorted(rows.collect()) and settings == {"interval": "1.0"}
     assert [(r.match_id, [tuple(x) for x in r.a_sample_ranges], r.b_sample_ranges) for r in matches.orderBy("match_id").collect()] == [(k, [(0, k)], []) for k in range(40)]
+    assert [r.match_id for r in matches.collect()] == list(range(39, 2, -1)) + [0, 1, 2]  # by the greater percent, then by ids
+    summary = spark.createDataFrame([(50, 40)], "scanned long, duplicate_pairs long")
+    failures = spark.createDataFrame([("/a/x", "no samples", True)], reports.PARTS["failures"])
+    reports.write_report(f"{tmp_path}/r", rows, found, {"interval": "1.0"}, summary, failures)
+    parts = reports.report_parts(spark, f"{tmp_path}/r")
+    assert sorted(map(tuple, parts["summary"].collect())) == [("duplicate_pairs", 40.0), ("scanned", 50.0)] and parts["failures"].collect() == failures.collect()
     decided = spark.createDataFrame([(1, [3], [5, 4], "m"), (2, [6], [], "m")], "group_id long, keeper_ids array<long>, removal_order array<long>, method string")
     actions = spark.createDataFrame([(5, 99.0, [3], 1)], "item_id long, covered_percent double, sources array<long>, n_sources long")
     reports.write_plan(f"{tmp_path}/p", decided, actions, rows)
