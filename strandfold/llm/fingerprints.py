@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from strandfold.llm import words as W
 
 PERMUTATIONS = 64
 BANDS = 16
-MOST_BINS = 10_000
+BIN_ROWS, MOST_BINS = 8192, 100_000
 
 
 def signatures(texts: pa.Array, permutations: int = PERMUTATIONS) -> np.ndarray:
@@ -67,26 +68,54 @@ def banded_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", b
     return near_dedup.near_duplicates(docs, doc_id, text, percent, bands, PERMUTATIONS // bands)
 
 
+def _slots(ids: DataFrame, bins: int):
+    """(slot, number of slots): slot(doc_id, hash) is a Column; slots ascend as ids descend and hashes ascend, null ids last.
+
+    Ids are cut at approximate quantiles, at most bins - 1. An id that several quantiles fall on holds many
+    rows, as null ids may: such rows have slots of their own, cut by their texts' hashes.
+    """
+    at = ", ".join(f"{k / bins!r}D" for k in range(1, bins))
+    found = ids.agg(F.expr(f"percentile_approx(doc_id, array({at}), {10 * bins})" if at else "null").alias("cuts"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    cuts, often = np.unique(np.array(found["cuts"] or [], np.int64), return_counts=True)
+    pieces = np.where(often > 1, often + 1, 0)[::-1]  # of the ids at cuts, by descending id
+    nulls = min(MOST_BINS, -(-found["none"] // BIN_ROWS))
+    base = np.arange(len(cuts) + 1) + np.concatenate([[0], np.cumsum(pieces)]).astype(np.int64)
+    shared = ids.sparkSession.sparkContext.broadcast((cuts, pieces, base, nulls))  # at most MOST_BINS cuts
+
+    @F.pandas_udf("int")
+    def slot(doc_id: pd.Series, missing: pd.Series, hashed: pd.Series) -> pd.Series:
+        cuts, pieces, base, nulls = shared.value
+        doc, part = doc_id.to_numpy(np.int64), hashed.to_numpy(np.int64) >> 31
+        rank = len(cuts) - np.searchsorted(cuts, doc, side="right") if len(cuts) else np.zeros(len(doc), np.int64)
+        # Ids of rank r are at least the cut of that rank, whose own slots come last.
+        own = np.append(pieces, 0)[rank]
+        equal = np.append(cuts[::-1], 0)[rank] == doc
+        out = base[rank] + np.where(equal & (own > 0), 1 + (part * own >> 32), 0)
+        return pd.Series(np.where(missing.to_numpy(bool), len(cuts) + 1 + pieces.sum() + (part * nulls >> 32), out).astype(np.int32))
+
+    return lambda doc_id, hashed: slot(F.coalesce(doc_id, F.lit(0).cast("long")), doc_id.isNull(), hashed), int(len(cuts) + 1 + pieces.sum() + nulls)
+
+
 def with_following(docs: DataFrame, bins: int) -> DataFrame:
     """Rows (bin, copy, doc_id, text) so dealt and sorted that within a bin each document stands before the next by descending id.
 
-    Ids are cut into at most `bins` ranges at approximate quantiles; the head of each range is also
-    put, with copy 1, after the end of the range before it (the first range's head after the last).
-    Null ids come last; equal ids are in the order of their texts.
+    A bin is one partition, a range of ids or a part of the rows of one id or of null; the first document of each
+    is also put, with copy 1, after the end of the bin before it (the first bin's after the last). Null ids come
+    last; equal ids are in the order of their texts' hashes. Only rows alike in id and text stay in one bin however
+    many they are; a task streams over them.
     """
     spark = docs.sparkSession
-    ids = docs.select("doc_id")
-    cuts = ids.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / bins) for k in range(1, bins)]), 10 * bins).alias("q")).first()["q"] if bins > 1 else None
-    cuts = sorted(set(cuts or []), reverse=True)
-    rank = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
-    bin_ = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(rank)
-    heads = sorted(((r["bin"], r["head"]) for r in ids.groupBy(bin_.alias("bin")).agg(F.max("doc_id").alias("head")).collect()))
-    before = [(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)]
-    table = F.broadcast(spark.createDataFrame(before or [(None, 0)], "head long, before int"))  # at most MOST_BINS + 1 rows
-    rows = docs.withColumn("bin", bin_).join(table, F.col("doc_id").eqNullSafe(F.col("head")), "left")
-    place = F.array_compact(F.array(F.struct(F.col("bin").alias("bin"), F.lit(0).alias("copy")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("bin"), F.lit(1).alias("copy")))))
-    rows = rows.select(F.explode(place).alias("p"), "doc_id", "text").select("p.bin", "p.copy", "doc_id", "text")
-    return rows.repartition(max(len(heads), 1), "bin").sortWithinPartitions("bin", "copy", F.col("doc_id").desc_nulls_last(), "text")
+    slot, slots = _slots(docs.select("doc_id"), bins)
+    hashed = docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("hash"), "text")
+    down = F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long"))
+    rows = hashed.withColumns({"bin": slot(F.col("doc_id"), F.col("hash")), "down": down})
+    heads = rows.groupBy("bin").agg(F.min(F.struct("down", "hash", "doc_id")).alias("h")).orderBy("bin").select("bin", "h.doc_id", "h.hash").collect()
+    before = [(h["doc_id"], h["hash"], heads[k - 1]["bin"]) for k, h in enumerate(heads)]
+    table = F.broadcast(spark.createDataFrame(before, "head long, head_hash long, bin int"))  # at most 3 * MOST_BINS rows
+    firsts = hashed.join(table, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("hash") == F.col("head_hash")))
+    copies = firsts.groupBy("bin", "doc_id").agg(F.min("text").alias("text"))
+    rows = rows.withColumn("copy", F.lit(0)).unionByName(copies.withColumns({"copy": F.lit(1), "hash": F.lit(0).cast("long"), "down": F.lit(0).cast("long")}))
+    return rows.repartitionById(slots, F.col("bin")).sortWithinPartitions("bin", "copy", "down", "hash", "text").select("bin", "copy", "doc_id", "text")
 
 
 def edits(docs: DataFrame) -> DataFrame:
@@ -97,7 +126,7 @@ def edits(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = docs.select("doc_id").count()
-    bins = min(MOST_BINS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 8192)))
+    bins = min(MOST_BINS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BIN_ROWS)))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"]
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

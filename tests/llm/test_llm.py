@@ -380,6 +380,28 @@ def test_fingerprints(spark, docs, odd):
     assert near == components(dict(rows)) and len(set(near.values())) < 60
 
 
+@pytest.mark.parametrize("hot", [None, 50])
+def test_following_documents_of_hot_ids(spark, monkeypatch, hot):
+    """Half of the rows share one id or null: they are dealt to many bins and each still meets the next one."""
+    monkeypatch.setattr(fingerprints, "BIN_ROWS", 10)
+    rows = [(hot if k % 2 else k, f"text {k} " * 4) for k in range(300)] + [(7, "same"), (7, "same"), (-(2**63), "least"), (2**63 - 1, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = fingerprints.with_following(table.na.fill("", ["text"]), 30).withColumn("part", F.spark_partition_id()).collect()
+    assert max(collections.Counter(r.part for r in dealt).values()) < 60
+    assert all(len({r.part for r in dealt if r.bin == b}) == 1 for b in {r.bin for r in dealt})
+    own = [r for r in dealt if not r.copy]
+    assert collections.Counter((r.doc_id, r.text) for r in own) == collections.Counter((i, t or "") for i, t in rows)
+    order = [r for b in sorted({r.bin for r in own}) for r in own if r.bin == b]
+    ids = [r.doc_id for r in order]
+    assert ids == sorted(ids, key=lambda i: (i is None, -(i or 0)))
+    want = collections.Counter()
+    for r, after in zip(order, order[1:] + order[:1], strict=True):
+        k = len(r.text) // 3
+        want[r.doc_id, hashlib.sha256((r.text[: len(r.text) - k] + after.text[:k]).encode()).hexdigest()] += 1
+    monkeypatch.setattr(fingerprints, "MOST_BINS", 30)
+    assert collections.Counter((r.doc_id, r.edited_sha256) for r in fingerprints.edits(table).collect()) == want
+
+
 def test_language_gradients_and_held_out_accuracy(spark, docs, odd):
     net = language.Network(["a", "b", "c"])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
