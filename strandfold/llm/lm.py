@@ -11,8 +11,10 @@ to shards by their first word; a shard adds the blocks' counts, builds its trie,
 what follows them and what follows that, with quantised probabilities c / (N + 1), and answers every block
 from it; a block's documents meet its answers again and are scored under every pair of k, of which one is
 kept. First words are told by codes of 56 bits, second words by 32 bits relative to the first, third words by
-24 bits relative to the pair, so an unseen third word is taken for one of m seen ones with chance m / 2^24. A word above N / HEAVY tokens (so fewer than HEAVY words) is dealt by its pair,
-and by its triple if the second word is such a one too; its exact count is broadcast. A block sends each
+24 bits relative to the pair, so an unseen third word is taken for one of m seen ones with chance m / 2^24. A word above N / HEAVY tokens, or above SHARD_TOKENS where that is less,
+is dealt by its pair, and by its triple if the second word is such a one too, so no word brings a shard more than
+SHARD_TOKENS tokens however large the corpus. Such words are fewer than HEAVY or than the shards; their exact counts
+go to all tasks, 16 bytes each. A block sends each
 pair and triple once, in one row a shard, so rows are at most its distinct pairs and triples, and no key
 gathers rows beyond the number of blocks.
 
@@ -139,7 +141,7 @@ def _count(docs: DataFrame, shard_bits: int) -> DataFrame:
     def reduce(key, rows: pd.DataFrame) -> pd.DataFrame:
         got = [_unpack(b) for b in rows["blob"]]
         words, counts = _sums(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).astype(np.int64))
-        much = counts >= counts.sum() / HEAVY
+        much = counts >= min(counts.sum() / HEAVY, SHARD_TOKENS)
         ends = int(counts[words == END[0]].sum())
         return pd.DataFrame({"shard": [key[0]], "v": [len(words)], "n": [int(counts.sum())], "ends": [ends], "heavy": [_pack(words[much], counts[much])]})
 
@@ -148,17 +150,19 @@ def _count(docs: DataFrame, shard_bits: int) -> DataFrame:
 
 
 def _heavy(counted: DataFrame, n: int, ends: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the words above N / HEAVY tokens, with the start and the end of a text."""
+    """Codes and counts of the words of `least` tokens or more, with the start and the end of a text."""
+    least = min(n / HEAVY, SHARD_TOKENS)
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 words, counts = _unpack(blob)
-                keep = (counts >= n / HEAVY) & (words != END[0])
+                keep = (counts >= least) & (words != END[0])
                 yield pa.RecordBatch.from_arrays([pa.array(words[keep].view(np.int64)), pa.array(counts[keep])], names=["w", "c"])
 
-    # Fewer than HEAVY words have that share of all tokens.
-    top = [(np.int64(r["w"]).view(np.uint64), r["c"]) for r in counted.select("heavy").mapInArrow(frequent, "w long, c long").collect()]
+    # Fewer than max(HEAVY, n / SHARD_TOKENS) words have as many.
+    got = counted.select("heavy").mapInArrow(frequent, "w long, c long").toArrow()
+    top = list(zip(got["w"].to_numpy().view(np.uint64), got["c"].to_numpy(), strict=True))
     top = sorted([*top, (START[0], ends), (END[0], ends)])
     return np.array([x[0] for x in top], np.uint64), np.array([x[1] for x in top], np.int64)
 

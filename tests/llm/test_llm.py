@@ -276,6 +276,31 @@ def test_lm_scores_equal_plain_counting(spark, docs, odd, monkeypatch):
                 assert sum(p(before, w, second, third) for w in [*words_of, "an unknown word"]) == pytest.approx(1)
 
 
+def test_lm_shards_hold_no_frequent_word_whole(spark, monkeypatch):
+    """A fifth of all tokens is one word; whatever N / HEAVY is, no shard gets more than a few times SHARD_TOKENS."""
+    monkeypatch.setattr(lm, "HEAVY", 2)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 500)
+    rng = random.Random(8)
+    rows = [(k, " ".join("the" if rng.random() < 0.2 else f"w{rng.randint(0, 900)}" for _ in range(100))) for k in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit(True).alias("train")).coalesce(1)
+    counted = lm._count(table, 6).cache()
+    n, ends = counted.agg(F.sum("n"), F.sum("ends")).first()
+    heavy = lm._heavy(counted, n, ends)
+    assert (lm.W.codes(np.frombuffer(b"the", np.uint8), np.array([0]), np.array([3])) & lm.CODE)[0] in heavy[0] and len(heavy[0]) < n / 500 + 2
+    shards = -(-n // 500)
+    dealt = table.mapInArrow(lm._deal(shards, heavy[0]), "key long, block long, part long, blob binary").where("key >= 0").collect()
+    triples = collections.Counter()
+    for r in dealt:
+        triples[r.key] += len(lm._unpack(r.blob)[5])
+    assert n == 20200 and sum(triples.values()) > 15000 and max(triples.values()) < 3 * 500
+    texts = {k: [*words(t), None] for k, t in rows}
+    p, _ = plain_lm(texts, set(texts))
+    for r in lm.score(table, F.lit(True)).where("doc_id < 9").collect():
+        line = ["<start>", *texts[r.doc_id]]
+        want = sum(math.log10(p(line[max(0, j - 2) : j], line[j], r.second, r.third)) for j in range(1, len(line)))
+        assert r.score == pytest.approx(want, rel=1e-6, abs=3e-4 * r.n_tokens)
+
+
 def test_mix_hits_targets(spark, docs, odd):
     got = mixing.mix(docs).collect()
     size = {r.doc_id: len(words(r.text)) for r in docs.collect()}
