@@ -11,12 +11,12 @@ to shards by their first word; a shard adds the blocks' counts, builds its trie,
 what follows them and what follows that, with quantised probabilities c / (N + 1), and answers every block
 from it; a block's documents meet its answers again and are scored under every pair of k, of which one is
 kept. First words are told by codes of 56 bits, second words by 32 bits relative to the first, third words by
-24 bits relative to the pair, so an unseen third word is taken for one of m seen ones with chance m / 2^24. A word above N / HEAVY tokens, or above SHARD_TOKENS where that is less,
-is dealt by its pair, and by its triple if the second word is such a one too, so no word brings a shard more than
-SHARD_TOKENS tokens however large the corpus. Such words are fewer than HEAVY or than the shards; their exact counts
-go to all tasks, 16 bytes each. A block sends each
-pair and triple once, in one row a shard, so rows are at most its distinct pairs and triples, and no key
-gathers rows beyond the number of blocks.
+24 bits relative to the pair, so an unseen third word is taken for one of m seen ones with chance m / 2^24.
+A word above N / HEAVY tokens, or above SHARD_TOKENS where that is less, is dealt by its pair, and by its
+triple if the second word is such a one too, so no word brings a shard more than SHARD_TOKENS tokens however
+large the corpus. Such words are fewer than HEAVY or than the shards; their exact counts go to all tasks,
+16 bytes each. A block sends each pair and triple once, in one row a shard, so rows are at most its distinct
+pairs and triples, and no key gathers rows beyond the number of blocks.
 
 Rows: a null or empty text has only its end; a null doc_id counts as training; repeated rows count
 as often as they come; very long texts are read whole; an empty table gives an empty table; other

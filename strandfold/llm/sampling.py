@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandfold.llm import words as W
+
 
 def labelled_rows(docs: DataFrame, label, most: int, most_bytes: int, doc_id: str = "doc_id", text: str = "text") -> pd.DataFrame:
     """At most `most` rows (doc_id, text, label), the same at each run: those whose hashed ids are least.
@@ -28,3 +31,9 @@ def labelled_sample(docs: DataFrame, label, most: int, most_bytes: int, doc_id:
     """(texts, labels) of those rows."""
     rows = labelled_rows(docs, label, most, most_bytes, doc_id, text)
     return pa.array(rows["text"].tolist(), pa.large_string()), rows["label"].tolist()
+
+
+def folds(texts: pa.Array, n: int = 3) -> np.ndarray:
+    """A fold for each text, told by its least shingle, so that copies and most near copies are in one."""
+    least = [int(s[0]) if len(s) else 0 for _, _, codes, bounds in W.word_codes(texts) for s in W.shingle_sets(codes, bounds)]
+    return (W.mix(np.array(least, np.uint64)) % np.uint64(n)).astype(np.int64)

@@ -257,12 +257,36 @@ def train(labelled: DataFrame, label, docs: DataFrame, text: str = "text", most:
     frequencies, n = _frequencies(docs, known, text)
     bags = list(_bags(texts, known))
     del texts, body, offsets
+    return _fitted(known, frequencies, n, bags, y, ids)
+
+
+def _fitted(known: np.ndarray, frequencies: np.ndarray, n: int, bags: list, y: np.ndarray, ids: list | None = None, weigh=relevance) -> Index:
+    """The calibrated index of examples; weigh: factors of terms beside idf."""
     idf = np.log((n + 1) / (frequencies + 1)) + 1
-    index = Index(known, idf * relevance(bags, y, len(known)), bags, y, ids)
+    index = Index(known, idf * weigh(bags, y, len(known)), bags, y, ids)
     index.calibrate()
     return index
 
 
+def cross_validated(texts: pa.Array, labels: list, fold: np.ndarray, docs: DataFrame, weigh=relevance, least: float = 0.7, text: str = "text") -> tuple[int, int, int, int]:
+    """(found, label 1, alarms, label 0): rows scored `least` or more of either label, each by an index of the other folds' examples."""
+    keep = np.array(_distinct(texts, labels))
+    texts, y, fold = texts.take(pa.array(keep)), np.array([float(labels[i] > 0) for i in keep]), fold[keep]
+    body, offsets = W.raw(texts)
+    known = np.unique(np.concatenate([terms(body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0] for lo, hi in W.chunks(offsets)]))
+    frequencies, n = _frequencies(docs, known, text)
+    bags = list(_bags(texts, known))
+    score = np.zeros(len(y))
+    for k in np.unique(fold):
+        rest, out = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        has = np.unique(np.concatenate([NONE, *[bags[i][0] for i in rest]]))
+        within = lambda bag, has=has: (np.searchsorted(has, bag[0][np.isin(bag[0], has)]), bag[1][np.isin(bag[0], has)])
+        index = _fitted(known[has], frequencies[has], n, [within(bags[i]) for i in rest], y[rest], weigh=weigh)
+        score[out] = [index.score(within(bags[i]))[0] for i in out]
+    told = score >= least
+    return int(told[y > 0].sum()), int((y > 0).sum()), int(told[y == 0].sum()), int((y == 0).sum())
+
+
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
 
 
