@@ -33,7 +33,7 @@ def labelled_sample(docs: DataFrame, label, most: int, most_bytes: int, doc_id:
     return pa.array(rows["text"].tolist(), pa.large_string()), rows["label"].tolist()
 
 
-def folds(texts: pa.Array, n: int = 3) -> np.ndarray:
+def folds(texts: pa.Array, n: int = 3, seed: int = 0) -> np.ndarray:
     """A fold for each text, told by its least shingle, so that copies and most near copies are in one."""
     least = [int(s[0]) if len(s) else 0 for _, _, codes, bounds in W.word_codes(texts) for s in W.shingle_sets(codes, bounds)]
-    return (W.mix(np.array(least, np.uint64)) % np.uint64(n)).astype(np.int64)
+    return (W.mix(np.array(least, np.uint64) ^ np.uint64(seed << 40)) % np.uint64(n)).astype(np.int64)

@@ -3,14 +3,14 @@
 Examples are a bounded sample of labelled rows (SAMPLE rows of at most SAMPLE_BYTES bytes); rows of one
 label whose least LEAST_SHINGLES shingles are equal are copies and vote once. Terms are all words of
 letters, digits and bytes above 0x7F (A-Z as a-z) that any example holds; none is left out. A term weighs
-(1 + log tf) * idf * rf: idf from document frequencies counted over all documents, and rf, the relevance
-frequency log2(2 + a / max(1, c)) of its a examples of label 1 and c others, which is at least 1. The
+(1 + log tf) * idf * rf^POWER: idf from document frequencies counted over all documents, and rf, the
+relevance frequency log2(2 + a / max(1, c)) of its a examples of label 1 and c others, which is at least 1. The
 index is inverted and cut into blocks of BLOCK examples, like ones (by the nearest of PIVOTS examples)
 side by side; each term holds its greatest weight in every block that it comes in. A query reads the
 FIRST blocks of greatest upper bound, then only those whose bound is not below its k-th best cosine so
-far, so the K neighbours are exact. Their votes are weighted by cosine; an isotonic fit on the examples'
-own leave-one-out votes turns the share of votes into a probability. The neighbours are returned as
-evidence, by the doc_id of the example.
+far, so the K neighbours are exact. Their votes are weighted by cosine; an isotonic fit turns the share of
+votes into a probability, by the votes that each of PARTS parts of the examples gets from an index of the
+others. The neighbours are returned as evidence, by the doc_id of the example.
 
 Rows: null and empty texts, and texts without any of the terms, have no neighbours and get the share
 of label 1 among such examples; ties between neighbours go to the example that comes first; repeated
@@ -31,11 +31,13 @@ from pyspark.sql import types as T
 
 from strandfold.llm import words as W
 from strandfold.llm.quality import _KIND
-from strandfold.llm.sampling import labelled_rows
+from strandfold.llm.sampling import folds, labelled_rows
 
 SAMPLE, SAMPLE_BYTES = 4000, 1 << 14
 BLOCK, FIRST, PIVOTS, K = 64, 4, 32, 15
 LEAST_SHINGLES = 4
+PARTS = 4  # for calibration
+POWER = 2.0  # of the relevance frequency, chosen by cross-validation on learnt rows (validate.py)
 ROWS = 1024  # scored at a time
 NONE = np.empty(0, np.int64)
 
@@ -168,14 +170,14 @@ class Index:
         """Label 1's part of the votes, one vote of the base rate added."""
         return float((cosines @ self.labels[ids] + self.labels.mean()) / (cosines.sum() + 1))
 
-    def calibrate(self) -> None:
-        """Isotonic regression of the labels on the leave-one-out shares: pool adjacent violators."""
+    def calibrate(self, votes: np.ndarray) -> None:
+        """Isotonic regression of the labels on shares of votes told without the example itself: pool adjacent violators."""
         lone = np.array([len(v[0]) == 0 for v in self.vectors], bool)
         self.empty = float((self.labels[lone].sum() + 0.5 * self.labels.mean()) / (lone.sum() + 0.5))
         some = np.flatnonzero(~lone)
         if not len(some):
             return
-        shares = np.array([self.share(*self.nearest(*self.vectors[i], without=i)) for i in some])
+        shares = votes[some]
         pools: list[list[float]] = []  # sum of labels, rows, least share
         for s, y in sorted(zip(shares.tolist(), self.labels[some].tolist(), strict=True)):
             pools.append([y, 1, s])
@@ -213,10 +215,10 @@ def _distinct(texts: pa.Array, labels: list) -> list[int]:
     return out
 
 
-def relevance(bags: list, labels: np.ndarray, n: int) -> np.ndarray:
-    """log2(2 + a / max(1, c)) of each of n terms: a examples of label 1 and c others hold it."""
+def relevance(bags: list, labels: np.ndarray, n: int, power: float = POWER) -> np.ndarray:
+    """log2(2 + a / max(1, c)) ** power of each of n terms: a examples of label 1 and c others hold it."""
     held = [np.bincount(np.concatenate([NONE, *[b[0] for b, y in zip(bags, labels, strict=True) if (y > 0) == one]]), minlength=n) for one in (True, False)]
-    return np.log2(2 + held[0] / np.maximum(1, held[1]))
+    return np.log2(2 + held[0] / np.maximum(1, held[1])) ** power
 
 
 def _frequencies(docs: DataFrame, known: np.ndarray, text: str) -> tuple[np.ndarray, int]:
@@ -255,16 +257,36 @@ def train(labelled: DataFrame, label, docs: DataFrame, text: str = "text", most:
     known = np.unique(np.concatenate(found))
     del found
     frequencies, n = _frequencies(docs, known, text)
-    bags = list(_bags(texts, known))
+    bags, part = list(_bags(texts, known)), folds(texts, PARTS, 1)
     del texts, body, offsets
-    return _fitted(known, frequencies, n, bags, y, ids)
+    return _fitted(known, frequencies, n, bags, y, part, ids)
+
+
+def _part(n: int, bags: list, rows: np.ndarray) -> tuple[np.ndarray, list]:
+    """(of n terms those that some of the rows hold, all bags with numbers among those and without other terms)."""
+    has = np.unique(np.concatenate([NONE, *[bags[i][0] for i in rows]]))
+    place = np.full(n, -1)
+    place[has] = np.arange(len(has))
+    return has, [(place[t][place[t] >= 0], c[place[t] >= 0]) for t, c in bags]
 
 
-def _fitted(known: np.ndarray, frequencies: np.ndarray, n: int, bags: list, y: np.ndarray, ids: list | None = None, weigh=relevance) -> Index:
-    """The calibrated index of examples; weigh: factors of terms beside idf."""
+def _fitted(known: np.ndarray, frequencies: np.ndarray, n: int, bags: list, y: np.ndarray, part: np.ndarray, ids: list | None = None, weigh=relevance) -> Index:
+    """The index of examples, calibrated by the votes that the examples of the other parts give each one; weigh: factors of terms beside idf.
+
+    The relevance of a term is learnt from labels, so the votes must come from an index that has not seen the example's own.
+    """
     idf = np.log((n + 1) / (frequencies + 1)) + 1
+    votes = np.full(len(y), y.mean())
+    for k in np.unique(part):
+        rest, out = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        if not len(rest):
+            continue
+        has, among = _part(len(known), bags, rest)
+        some = [among[i] for i in rest]
+        index = Index(known[has], idf[has] * weigh(some, y[rest], len(has)), some, y[rest])
+        votes[out] = [index.share(*index.nearest(*index.vector(*among[i]))) for i in out]
     index = Index(known, idf * weigh(bags, y, len(known)), bags, y, ids)
-    index.calibrate()
+    index.calibrate(votes)
     return index
 
 
@@ -272,6 +294,7 @@ def cross_validated(texts: pa.Array, labels: list, fold: np.ndarray, docs: DataF
     """(found, label 1, alarms, label 0): rows scored `least` or more of either label, each by an index of the other folds' examples."""
     keep = np.array(_distinct(texts, labels))
     texts, y, fold = texts.take(pa.array(keep)), np.array([float(labels[i] > 0) for i in keep]), fold[keep]
+    part = folds(texts, PARTS, 1)
     body, offsets = W.raw(texts)
     known = np.unique(np.concatenate([terms(body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0] for lo, hi in W.chunks(offsets)]))
     frequencies, n = _frequencies(docs, known, text)
@@ -279,10 +302,9 @@ def cross_validated(texts: pa.Array, labels: list, fold: np.ndarray, docs: DataF
     score = np.zeros(len(y))
     for k in np.unique(fold):
         rest, out = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        has = np.unique(np.concatenate([NONE, *[bags[i][0] for i in rest]]))
-        within = lambda bag, has=has: (np.searchsorted(has, bag[0][np.isin(bag[0], has)]), bag[1][np.isin(bag[0], has)])
-        index = _fitted(known[has], frequencies[has], n, [within(bags[i]) for i in rest], y[rest], weigh=weigh)
-        score[out] = [index.score(within(bags[i]))[0] for i in out]
+        has, among = _part(len(known), bags, rest)
+        index = _fitted(known[has], frequencies[has], n, [among[i] for i in rest], y[rest], part[rest], weigh=weigh)
+        score[out] = [index.score(among[i])[0] for i in out]
     told = score >= least
     return int(told[y > 0].sum()), int((y > 0).sum()), int(told[y == 0].sum()), int((y == 0).sum())
 

@@ -6,8 +6,8 @@
 from __future__ import annotations
 
 import sys
+from functools import partial
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from strandfold.llm.queries import _crc, _labelled, _read
 from strandfold.llm.sampling import folds, labelled_rows, labelled_sample
 
 UNITS = (8, 12, 16)
-WEIGHTS = {"tf-idf": lambda bags, labels, n: np.ones(n), "tf-idf and relevance": toxicity.relevance}
+POWERS = (0.0, 1.0, 2.0, 3.0)
 
 
 def language_units(spark: SparkSession, sf_dir: str, most: int = language.SAMPLE) -> dict[int, tuple[int, float, int]]:
@@ -27,17 +27,17 @@ def language_units(spark: SparkSession, sf_dir: str, most: int = language.SAMPLE
     return {h: (*language.cross_validated(texts, labels, folds(texts), h), len(labels)) for h in UNITS}
 
 
-def toxicity_weights(spark: SparkSession, sf_dir: str, most: int = toxicity.SAMPLE) -> dict[str, tuple[int, int, int, int]]:
-    """By weighting: (found, toxic, alarms, clean), over the sample that op9 learns from."""
+def toxicity_powers(spark: SparkSession, sf_dir: str, most: int = toxicity.SAMPLE) -> dict[float, tuple[int, int, int, int]]:
+    """By power of the relevance frequency (0: plain TF-IDF): (found, toxic, alarms, clean), over the sample that op9 learns from."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     rows = labelled_rows(_labelled(spark, sf_dir, "toxic", _crc(3) != 1), F.col("toxic"), most, toxicity.SAMPLE_BYTES)
     texts, labels = pa.array(rows["text"].tolist(), pa.large_string()), rows["label"].tolist()
-    return {name: toxicity.cross_validated(texts, labels, folds(texts), docs, weigh) for name, weigh in WEIGHTS.items()}
+    return {power: toxicity.cross_validated(texts, labels, folds(texts), docs, partial(toxicity.relevance, power=power)) for power in POWERS}
 
 
 if __name__ == "__main__":
     session = SparkSession.builder.getOrCreate()
-    for name, chosen in (("toxicity", toxicity_weights), ("language", language_units)):
+    for name, chosen in (("toxicity", toxicity_powers), ("language", language_units)):
         if name in sys.argv[2:] or not sys.argv[2:]:
             for choice, figures in chosen(session, sys.argv[1]).items():
                 print(name, choice, figures, flush=True)

@@ -19,6 +19,7 @@ from strandfold.llm import bpe, embeddings, fingerprints, language, licences, lm
 from strandfold.llm import queries as Q
 from strandfold.llm import words as W
 from strandfold.llm.elias_fano import EliasFano, Level, Trie
+from strandfold.llm.sampling import folds
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -465,9 +466,10 @@ def test_language_gradients_and_held_out_accuracy(spark, docs, odd):
 def test_classifiers_on_held_out_rows(spark, odd):
     sf = "/root/testdata/sf0.01"
     label = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    for query, name, least in ((Q.op9_toxicity, "toxic", 0.9), (Q.op10_quality, "quality", 0.9)):
-        held = [r for r in query(spark, sf).collect() if r.held_out and r.doc_id in label]
-        assert held and sum(r.predicted == label[r.doc_id][name] for r in held) >= least * len(held)
+    for query, name, found, alarms in ((Q.op9_toxicity, "toxic", 0.75, 0.02), (Q.op10_quality, "quality", 0.9, 0.08)):
+        held = [(r.predicted, label[r.doc_id][name]) for r in query(spark, sf).collect() if r.held_out and r.doc_id in label]
+        ones, others = [p for p, k in held if k], [p for p, k in held if not k]
+        assert sum(ones) >= found * len(ones) > 0 and sum(others) <= max(1, alarms * len(others))
     for got in (quality.score(odd, np.zeros((1 << 18) + 2)), toxicity.score(odd, None)):
         rows = got.collect()
         assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
@@ -486,7 +488,7 @@ def test_toxicity_equals_brute_force(spark):
     y = {i: k for i, _, k in rows}
     df = collections.Counter(w for b in bags.values() for w in b)
     ones = collections.Counter(w for i, b in bags.items() if y[i] for w in b)
-    factor = {w: (math.log((len(rows) + 1) / (df[w] + 1)) + 1) * math.log2(2 + ones[w] / max(1, df[w] - ones[w])) for w in df}
+    factor = {w: (math.log((len(rows) + 1) / (df[w] + 1)) + 1) * math.log2(2 + ones[w] / max(1, df[w] - ones[w])) ** toxicity.POWER for w in df}
 
     def vector(bag):
         v = {w: (1 + math.log(n)) * factor[w] for w, n in bag.items() if w in factor}
@@ -503,6 +505,18 @@ def test_toxicity_equals_brute_force(spark):
         assert [e.cosine for e in evidence] == pytest.approx([c for c, _ in near]) and all(e.label == y[e.doc_id] for e in evidence)
         share = (sum(c * y[i] for c, i in near) + base) / (sum(c for c, _ in near) + 1)
         assert got[r.doc_id].score == pytest.approx(index.probability(share) if q else index.empty, abs=1e-6)
+    part, votes = folds(pa.array([t for _, t, _ in rows], pa.large_string()), toxicity.PARTS, 1), []  # the calibration, from examples that an index of the other parts has not seen
+    for i in range(len(rows)):
+        rest = [j for j in range(len(rows)) if part[j] != part[i]]
+        held = collections.Counter(w for j in rest for w in bags[j])
+        one = collections.Counter(w for j in rest if y[j] for w in bags[j])
+        factor = {w: (math.log((len(rows) + 1) / (df[w] + 1)) + 1) * math.log2(2 + one[w] / max(1, held[w] - one[w])) ** toxicity.POWER for w in held}
+        q, others = vector(bags[i]), {j: vector(bags[j]) for j in rest}
+        near = sorted(((sum(x * v.get(w, 0) for w, x in q.items()), j) for j, v in others.items()), reverse=True)[: toxicity.K]
+        votes.append((sum(c * y[j] for c, j in near) + sum(y[j] for j in rest) / len(rest)) / (sum(c for c, _ in near) + 1))
+    index.calibrate(np.array([votes[i] for i in index.ids]))
+    again = {r.doc_id: r.score for r in toxicity.score(asked, index).collect()}
+    assert len(set(part)) > 1 and again == pytest.approx({i: r.score for i, r in got.items()}, abs=1e-9)
     assert toxicity.train(table.limit(0), F.col("toxic"), table) is None
 
 
