@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share; a temporary one only where none is set (local tests)."""
+    """The folder all executors and the driver share; a temporary one only where none is set and one process does all (local tests)."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="strandfold-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

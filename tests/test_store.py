@@ -3,10 +3,12 @@
 import json
 import random
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from strandfold.durable import shared_dir
 from strandfold.params import Params
 from strandfold.sources import adapters, versions
 from strandfold.sources.stores import KEY, FileStore
@@ -214,3 +216,12 @@ def test_run_log_keeps_the_last_good_export(spark, tmp_path):
     assert all(found[k].started_at and found[k].finished_at for k in ("one", "two", "three")) and log.last_export() == "exports/two"
     with pytest.raises(ValueError):
         log.end("four", "running")
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    """No machine-local folder stands in for spark.checkpoint.dir beyond one process."""
+    session = lambda master, given: SimpleNamespace(conf={} if given is None else {"spark.checkpoint.dir": given}, sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("yarn", "hdfs://a/b")) == "hdfs://a/b"
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session(master, None))
