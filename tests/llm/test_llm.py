@@ -520,6 +520,21 @@ def test_toxicity_equals_brute_force(spark):
     assert toxicity.train(table.limit(0), F.col("toxic"), table) is None
 
 
+def test_cross_validation_leaves_folds_out(spark):
+    """Copies share a fold; what only one fold holds can't be told by the others."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["vile", "nasty", "scum"] if k % 3 == 0 else ["calm", "kind", "soft"]) + f" w{rng.randint(0, 50)}" for _ in range(30)) for k in range(90)]
+    column, y = pa.array(texts, pa.large_string()), [int(k % 3 == 0) for k in range(90)]
+    fold = folds(pa.array([*texts, texts[0], "", ""], pa.large_string()))
+    assert fold[90] == fold[0] and fold[91] == fold[92] and set(fold[:90]) == {0, 1, 2}
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert toxicity.cross_validated(column, y, fold[:90], table) == (30, 30, 0, 60)
+    own = np.array(y)  # all of label 1 in one fold: the other fold knows no example of it
+    assert toxicity.cross_validated(column, y, own, table)[:2] == (0, 30)
+    langs = ["de" if k else "en" for k in y]
+    assert language.cross_validated(column, langs, own, 4)[0] == 0
+
+
 def test_quality_equals_plain_dot_products(spark):
     """Scores are the intercept and, over all features of a text, weight times count over the root of its words."""
     rng = np.random.default_rng(4)
