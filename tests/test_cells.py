@@ -54,3 +54,12 @@ def test_cells_of_blocks():
 
     assert list(cells.spans(np.array([5, 1, 1, 9, 2]), 4)) == [(0, 1), (1, 3), (3, 4), (4, 5)]
     assert cells.ragged(np.array([7, 2, 4]), np.array([2, 0, 3])).tolist() == [7, 8, 4, 5, 6]
+
+
+def test_tokens_are_shuffled_by_item_only(spark):
+    from strandfold.operators import tokens
+
+    chosen = tokens.selected_tokens(tokens.item_tokens(_samples(spark)), 20)
+    assert chosen.groupBy("item_id").count().where("count > 20").isEmpty()
+    # of the samples, and of the hashes that both windows need; three with other keys before
+    assert spark._jvm.PythonSQLUtils.explainString(chosen._jdf.queryExecution(), "simple").count("Exchange hashpartitioning(item_id") == 2
