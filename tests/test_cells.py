@@ -1,8 +1,13 @@
 """Pairs of items in cells against the joins by token."""
 
+import hashlib
 import random
 
-from strandfold.operators import align, candidates, cells, verify
+import numpy as np
+import pyarrow as pa
+
+from strandfold.functions import simhash
+from strandfold.operators import align, candidates, cells, tokens, verify
 from strandfold.params import DOCUMENTS as P
 
 
@@ -63,3 +68,63 @@ def test_tokens_are_shuffled_by_item_only(spark):
     assert chosen.groupBy("item_id").count().where("count > 20").isEmpty()
     # of the samples, and of the hashes that both windows need; three with other keys before
     assert spark._jvm.PythonSQLUtils.explainString(chosen._jdf.queryExecution(), "simple").count("Exchange hashpartitioning(item_id") == 2
+
+
+def test_cells_keep_the_best_of_either_end_only(spark):
+    told = random.Random(7)
+    tokens = spark.createDataFrame([(k, t) for k in range(60) for t in told.sample(range(40), 12)], "item_id long, token int").cache()
+    every = candidates.pairs_sharing(tokens, 2)
+    best = candidates.pairs_sharing(tokens, 2, 3)
+    assert best.count() <= 60 * 3 * cells.blocks(spark, 0) < 2 * every.count()
+    assert _rows(candidates.best_pairs(tokens, 2, 3)) == _rows(candidates.cap_candidates(every, 3))
+
+
+def test_selected_lists_equal_selected_tokens(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # items go on in the next batch
+    try:
+        for limit in (20, 33, 1000):
+            lists = tokens.selected_lists(_samples(spark), limit)
+            wanted = _rows(tokens.selected_tokens(tokens.item_tokens(_samples(spark)), limit))
+            got = sorted((r.item_id, t) for r in lists.collect() for t in r.tokens)
+            assert got == wanted and wanted
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pairs_meet_alike_in_all_ways():
+    """Small pairs at once, large ones each by itself, very large ones by bands."""
+    told = np.random.default_rng(3)
+    base = told.integers(-(2**63), 2**63, (40, 2))
+    sizes = [5, 30, 70, 80, 90]
+    lists = []
+    for n in sizes:
+        h = base[told.integers(0, 40, n)] ^ (1 << told.integers(0, 60, (n, 2))) ^ (1 << told.integers(0, 60, (n, 2)))
+        lists.append([{"pos": k, "ts": float(k), "dhash": int(d), "ahash": int(a), "mean": int(m)} for k, ((d, a), m) in enumerate(zip(h, told.integers(0, 256, n)))])
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("ts", pa.float64()), ("dhash", pa.int64()), ("ahash", pa.int64()), ("mean", pa.int16())]))
+    items = pa.table({"item_id": pa.array(range(5), pa.int64()), "samples": pa.array(lists, kind)})
+    pairs = pa.table({"a": pa.array([a for a in range(5) for b in range(a + 1, 5)]), "b": pa.array([b for a in range(5) for b in range(a + 1, 5)])})
+    wanted = []
+    for a in range(5):
+        for b in range(a + 1, 5):
+            for x in lists[a]:
+                for y in lists[b]:
+                    bits = [(x[h] ^ y[h]) & (2**64 - 1) for h in ("dhash", "ahash")]
+                    distance = sum(v.bit_count() for v in bits) + min(8, abs(x["mean"] - y["mean"]) // 16)
+                    if distance <= 8 and any((v >> s) & 0xFFFF == 0 for v in bits for s in (0, 16, 32, 48)):
+                        wanted.append((a, b, x["pos"], y["pos"], distance))
+    for long in (0, 2000, 1 << 24):
+        got = [t for low, high, own, i, j, _, _, d in cells.matches(pairs, items, 8, long) for t in zip(low[own].tolist(), high[own].tolist(), i.tolist(), j.tolist(), d.tolist())]
+        assert sorted(got) == sorted(wanted) and wanted
+
+
+def test_runs_too_short_for_a_segment_go_before_the_walk():
+    turn, i = np.array([1, 1, 1, 1, 1, 1, 2, 2, 2]), np.array([0, 0, 2, 5, 7, 8, 0, 1, 1])
+    assert align._long_runs(turn, i, 3).tolist() == [3, 4, 5]
+
+
+def test_votes_of_long_sentences(spark):
+    text = " ".join(["aa", "bb", "bb"] * 200) + ". " + "cc dd  dd and a few more"
+    (long, short) = simhash.sentence_samples(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("pos").collect()
+    word = hashlib.md5(b"bb").digest()
+    parts = [int.from_bytes(word[2 * k : 2 * k + 2], "big") for k in range(4)]
+    assert long.dhash & (2**64 - 1) == sum(p << 16 * k for k, p in enumerate(parts)) and short.mean == len("cc dd  dd and a few more")
