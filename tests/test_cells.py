@@ -5,9 +5,12 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from strandfold import queries
 from strandfold.functions import simhash
 from strandfold.operators import align, candidates, cells, tokens, verify
+from strandfold.operators.tokens import drop_frequent
 from strandfold.params import DOCUMENTS as P
 
 
@@ -77,6 +80,22 @@ def test_cells_keep_the_best_of_either_end_only(spark):
     best = candidates.pairs_sharing(tokens, 2, 3)
     assert best.count() <= 60 * 3 * cells.blocks(spark, 0) < 2 * every.count()
     assert _rows(candidates.best_pairs(tokens, 2, 3)) == _rows(candidates.cap_candidates(every, 3))
+    lists = tokens.groupBy("item_id").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    for most in (0, 15, 18, 60):
+        wanted = candidates.cap_candidates(candidates.shared_token_counts(drop_frequent(tokens, most)).where("score >= 2"), 3)
+        assert _rows(candidates.best_of_lists(lists, most, 2, 3)) == _rows(wanted)
+
+
+def test_actions_are_made_once(spark, tmp_path):
+    """What a plan's actions are read from is written, and not made anew by each reader."""
+    s = queries.Stage(spark, str(tmp_path))
+    s.made = {
+        "decided": spark.createDataFrame([(1, [1], [2])], "group_id long, keeper_ids array<long>, removal_order array<long>"),
+        "matches": spark.createDataFrame([(1, 1, 2, "exact", 100.0, 100.0, [], [])], "match_id long, a_id long, b_id long, kind string, a_duplicated_percent double, b_duplicated_percent double, a_sample_ranges array<struct<start: int, end: int>>, b_sample_ranges array<struct<start: int, end: int>>"),
+        "items": spark.createDataFrame([(1, 9.0, 9), (2, 9.0, 9)], "item_id long, duration_seconds double, detailed_sample_count long"),
+        "classes": spark.createDataFrame([(1, 1), (2, 1)], "item_id long, class_id long"),
+    }
+    assert [(r.item_id, r.sources) for r in s.actions.collect()] == [(2, [1])] and s.actions.inputFiles()
 
 
 def test_selected_lists_equal_selected_tokens(spark):
