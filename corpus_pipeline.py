@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from strandfold.durable import durable
 from strandfold.llm import bpe, language, mixing, near_dedup, toxicity
+from strandfold.llm import words as W
 from strandfold.llm.columns import fresh
 
 TOXIC_FROM = 0.7
@@ -26,16 +27,17 @@ LANGUAGE_FROM = 0.4
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC_FROM; all columns stay as they are, whatever their names."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    index = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"), F.col("toxic"), docs)
     score, evidence = fresh(docs, "score", "evidence")
-    return toxicity.score(docs, index, name=score, evidence=evidence).where(F.col(score) < TOXIC_FROM).select(*docs.columns)
+    told = toxicity.score(docs, toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"), F.col("toxic"), docs), name=score, evidence=evidence)
+    W.release()  # the driver lives on for the later stages; what was fitted is broadcast by now and held nowhere else
+    return told.where(F.col(score) < TOXIC_FROM).select(*docs.columns)
 
 
 def languages_in(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learnt language of probability LANGUAGE_FROM or more; those without letters (und) go."""
-    net = language.train(docs.where("lang is not null"), F.col("lang"))
     name, score = fresh(docs, "lang_pred", "score")
-    told = language.predict(docs, net, name=name, score=score)
+    told = language.predict(docs, language.train(docs.where("lang is not null"), F.col("lang")), name=name, score=score)
+    W.release()  # as above
     return told.where((F.col(name) != "und") & (F.col(score) >= LANGUAGE_FROM)).select(*docs.columns)
 
 

@@ -662,3 +662,17 @@ def test_pipeline_stages(spark, docs):
             assert table.count() == len(ids)
     last = corpus_pipeline.STAGES[-1][1](spark, table, SF).collect()
     assert len(last) == table.count() and all(r.round_trip for r in last) and len(ids) > 100
+
+
+def test_pipeline_gives_the_drivers_memory_back(spark, docs, monkeypatch):
+    import weakref
+
+    import corpus_pipeline
+
+    fitted, gone = [], []
+    for module in (toxicity, language):
+        monkeypatch.setattr(module, "train", lambda *a, f=module.train: (fitted.append(weakref.ref(x := f(*a))), x)[1])
+    monkeypatch.setattr(W, "release", lambda: gone.append([x() is None for x in fitted]))
+    for name in ("toxicity", "language ID"):
+        dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+    assert gone == [[True], [True, True]]  # freed first, then given back, in each of the two stages that fit
