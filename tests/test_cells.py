@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from strandfold import queries
@@ -147,3 +148,37 @@ def test_votes_of_long_sentences(spark):
     word = hashlib.md5(b"bb").digest()
     parts = [int.from_bytes(word[2 * k : 2 * k + 2], "big") for k in range(4)]
     assert long.dhash & (2**64 - 1) == sum(p << 16 * k for k, p in enumerate(parts)) and short.mean == len("cc dd  dd and a few more")
+
+
+@pytest.mark.parametrize("name", ["shared_token_counts"])
+def test_tokens_that_items_share_are_not_shuffled(spark, name):
+    """Neither a row for a token of an item nor one for a token that two items share leaves a task."""
+    told = random.Random(11)
+    drawn = spark.createDataFrame([(k - 30, t) for k in range(60) for t in told.sample(range(40), 12)] + [(k, 7000) for k in range(P.max_frequency + 1)], "item_id long, token int")
+    s = queries.Stage(spark, "")
+    s.made["lists"] = candidates.token_lists(drawn.distinct())
+    got = getattr(queries, name)(s)
+    plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "hashpartitioning(token" not in plan and "CartesianProduct" in plan
+    counts = candidates.shared_token_counts(drop_frequent(drawn.distinct(), P.max_frequency))
+    enough = candidates.min_shared(counts, P.min_shared)
+    wanted = {"shared_token_counts": counts, "min_shared_filter": enough, "cap_candidates": candidates.cap_candidates(enough, P.per_item)}[name]
+    assert _rows(got) == _rows(wanted) and wanted.count() > 1000
+
+
+def test_a_block_tells_the_best_of_its_items_in_parts():
+    """Partners come over many chunks and are sifted in between; ties go to the greater id."""
+    told = np.random.default_rng(9)
+    ids, owned = np.arange(-5, 35, dtype=np.int64), [np.sort(told.choice(12, told.integers(0, 6), replace=False)).astype(np.int32) for _ in range(40)]
+    pack = lambda at: (ids[at], np.array([len(owned[k]) for k in at], np.int32), np.concatenate([np.zeros(0, np.int32), *(owned[k] for k in at)]))
+    own = candidates._Block(*pack(np.arange(0, 40, 2)), 3)
+    for at in np.split(np.arange(40), 8):
+        chunk = pack(at)
+        own.keep(chunk[0], [(np.zeros(0, np.int64),) * 3, *own.meet(*chunk, 1)])
+        own.sift()
+    wanted = []
+    for k in range(0, 40, 2):
+        score = sorted(((-len(set(owned[k]) & set(owned[m])), -ids[m]) for m in range(40) if m != k and set(owned[k]) & set(owned[m])))[:3]
+        wanted += [(ids[k], -m, -n) for n, m in score]
+    item, other, score = own.sift()
+    assert sorted(zip(own.ids[item], other, score)) == sorted(wanted) and len(wanted) > 30
