@@ -150,7 +150,7 @@ def test_votes_of_long_sentences(spark):
     assert long.dhash & (2**64 - 1) == sum(p << 16 * k for k, p in enumerate(parts)) and short.mean == len("cc dd  dd and a few more")
 
 
-@pytest.mark.parametrize("name", ["shared_token_counts", "cap_candidates"])
+@pytest.mark.parametrize("name", ["shared_token_counts", "cap_candidates", "min_shared_filter"])
 def test_tokens_that_items_share_are_not_shuffled(spark, name):
     """Neither a row for a token of an item nor one for a token that two items share leaves a task."""
     told = random.Random(11)
