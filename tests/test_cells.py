@@ -183,3 +183,22 @@ def test_a_block_tells_the_best_of_its_items_in_parts():
         wanted += [(ids[k], -m, -n) for n, m in score]
     item, other, score = own.sift()
     assert sorted(zip(own.ids[item], other, score)) == sorted(wanted) and len(wanted) > 30
+
+
+def _stage_of_pairs(spark):
+    samples = _samples(spark, n=8)
+    s = queries.Stage(spark, "")
+    s.made = {"candidates": spark.createDataFrame([(a, b) for a in range(8) for b in range(a + 1, 8)] + [(3, 99)], "a long, b long"), "fast": samples}
+    return s, verify.within(verify.sample_pairs(s.candidates, samples), P.distance)
+
+
+def _shuffled(df):
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    return {k for k in ("token", "bucket", "i#", "j#") for line in plan.splitlines() if "Exchange hashpartitioning" in line and k in line}
+
+
+def test_bucket_support_shuffles_no_points(spark):
+    s, points = _stage_of_pairs(spark)
+    got, wanted = queries.bucket_support(s), verify.bucket_support(points)
+    assert _shuffled(wanted) and not _shuffled(got)
+    assert _rows(got) == _rows(wanted) and got.dtypes == wanted.dtypes and got.count() > 100
