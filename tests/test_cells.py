@@ -202,3 +202,10 @@ def test_bucket_support_shuffles_no_points(spark):
     got, wanted = queries.bucket_support(s), verify.bucket_support(points)
     assert _shuffled(wanted) and not _shuffled(got)
     assert _rows(got) == _rows(wanted) and got.dtypes == wanted.dtypes and got.count() > 100
+
+
+def test_points_of_the_fast_pass_meet_in_cells(spark):
+    s, points = _stage_of_pairs(spark)
+    got, wanted = queries.distance_filter(s), points.select("a", "b", "i", "j", "distance")
+    assert _shuffled(wanted) and not _shuffled(got)
+    assert _rows(got) == _rows(wanted) and got.dtypes == wanted.dtypes and got.count() > 100
