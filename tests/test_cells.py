@@ -209,3 +209,11 @@ def test_points_of_the_fast_pass_meet_in_cells(spark):
     got, wanted = queries.distance_filter(s), points.select("a", "b", "i", "j", "distance")
     assert _shuffled(wanted) and not _shuffled(got)
     assert _rows(got) == _rows(wanted) and got.dtypes == wanted.dtypes and got.count() > 100
+
+
+def test_samples_are_not_sent_to_many_tasks(spark):
+    """Samples are shuffled to be written and to their block, however many blocks there are."""
+    s, points = _stage_of_pairs(spark)
+    got = queries.bucket_support(s)
+    plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "CartesianProduct" in plan and "Join" not in plan and "Generate" not in plan
