@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandfold.durable import durable
-from strandfold.operators.align import align_pairs
-from strandfold.operators.candidates import candidate_pairs, cap_candidates, min_shared
-from strandfold.operators.tokens import drop_frequent, item_tokens, selected_tokens
+from strandfold.operators.align import align_pairs, align_samples
+from strandfold.operators.candidates import candidate_pairs, ends, frequent_tokens, likely_items, sharing, token_lists
+from strandfold.operators.tokens import item_tokens, selected_lists, selected_tokens
 from strandfold.operators.verify import matching_points
 from strandfold.params import Params
 from strandfold.sources.stores import KEY, FileStore
@@ -65,7 +65,7 @@ def _store(batch: DataFrame, number: int, to_samples: Samples, store: str, p: Pa
         rows = rows.join(told.select(F.col("item_id").alias(key)), key, "left_semi")
     samples = durable(to_samples(rows), "samples")
     made = samples.select("item_id").distinct()
-    tokens = durable(selected_tokens(item_tokens(samples), p.token_limit), "tokens")
+    tokens = durable(selected_lists(samples, p.token_limit).select("item_id", F.explode("tokens").alias("token")), "tokens")
     stamp = F.lit(number).cast("long").alias("batch")
     at["samples"].append(samples.select("*", stamp), name)
     at["tokens"].append(tokens.select("item_id", "token", stamp), name)
@@ -118,23 +118,21 @@ def postings(spark: SparkSession, store: str, tokens: DataFrame) -> DataFrame:
 
 def new_pairs(spark: SparkSession, store: str, tokens: DataFrame, p: Params) -> DataFrame:
     """(a, b) with an item of these tokens (item_id, token) at one end at least, of all stored ones that share enough rare tokens."""
-    held = durable(_live(postings(spark, store, tokens), tables(spark, store)["items"]).select("item_id", "token"), "postings")
-    rare = drop_frequent(held, p.max_frequency)
-    new = tokens.select("item_id").distinct().withColumn("new", F.lit(True))
-    marked = durable(rare.join(new, "item_id", "left").withColumn("new", F.coalesce("new", F.lit(False))), "rare")
-    left = marked.where("new").select("token", F.col("item_id").alias("a"))
-    right = marked.select("token", F.col("item_id").alias("b"), F.col("new").alias("also"))
-    met = left.join(right, "token").where("a <> b and (not also or a < b)")
-    scores = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("score"))
-    return cap_candidates(min_shared(scores, p.min_shared), p.per_item)
+    held = _live(postings(spark, store, tokens), tables(spark, store)["items"]).select("item_id", "token")
+    lists = token_lists(held)
+    frequent, new = frequent_tokens(lists, p.max_frequency), tokens.select("item_id").distinct()
+    own, other = durable(lists.join(new, "item_id", "left_semi"), "new"), durable(lists.join(new, "item_id", "left_anti"), "other")
+    # of a new item all partners count, of another one those that are new
+    return ends(sharing(own, lists, p.min_shared, p.per_item, frequent).unionAll(sharing(other, own, p.min_shared, p.per_item, frequent)))
 
 
 def match_new(spark: SparkSession, store: str, tokens: DataFrame, p: Params) -> DataFrame:
     """Aligned points of the items of these tokens x all stored items."""
     samples, pairs = tables(spark, store)["samples"], durable(new_pairs(spark, store, tokens, p), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("item_id")).distinct()
-    rows = samples.read(samples.touched(ends), empty="item_id long, pos int, ts double, dhash long, ahash long, mean int, batch long")
-    return align_pairs(matching_points(pairs, rows.join(ends, "item_id", "left_semi").drop("batch"), p.distance), p)
+    met = likely_items(pairs)
+    rows = samples.read(samples.touched(met), empty="item_id long, pos int, ts double, dhash long, ahash long, mean int, batch long")
+    rows = durable(rows.join(met, "item_id", "left_semi").drop("batch"), "met")
+    return align_pairs(matching_points(pairs, rows, p.distance), p) if "regions" in rows.columns else align_samples(pairs, rows, p)
 
 
 def stream_match_new(spark: SparkSession, stream: DataFrame, to_samples: Samples, store: str, checkpoint: str, p: Params, key: str = "doc_id", files: Files | None = None, retry: bool = False):

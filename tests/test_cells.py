@@ -1,5 +1,6 @@
 """Pairs of items in cells against the joins by token."""
 
+import dataclasses
 import hashlib
 import random
 
@@ -13,6 +14,7 @@ from strandfold.functions import simhash
 from strandfold.operators import align, candidates, cells, tokens, verify
 from strandfold.operators.tokens import drop_frequent
 from strandfold.params import DOCUMENTS as P
+from strandfold.streaming import incremental
 
 
 def _samples(spark, n=12, length=40):
@@ -217,3 +219,21 @@ def test_samples_are_not_sent_to_many_tasks(spark):
     got = queries.bucket_support(s)
     plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
     assert "CartesianProduct" in plan and "Join" not in plan and "Generate" not in plan
+
+
+def test_new_pairs_meet_in_blocks(spark, monkeypatch):
+    """Old items meet new ones only, and an end's best are told among the pairs with a new end."""
+    told = random.Random(13)
+    drawn = sorted({(k, t) for k in range(40) for t in told.sample(range(30), 9)})
+    held = spark.createDataFrame(drawn, "item_id long, token int")
+    monkeypatch.setattr(incremental, "tables", lambda *_: {"items": None})
+    monkeypatch.setattr(incremental, "postings", lambda *_: held)
+    monkeypatch.setattr(incremental, "_live", lambda rows, _: rows)
+    q = dataclasses.replace(P, per_item=2, max_frequency=14)
+    got = incremental.new_pairs(spark, "", held.where("item_id % 4 = 1"), q)
+    plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "CartesianProduct" in plan and "hashpartitioning(token" not in plan
+    frequent = {t for _, t in drawn if sum(u == t for _, u in drawn) > 14}
+    own = {k: {t for i, t in drawn if i == k} - frequent for k in range(40)}
+    best = lambda a: sorted(((-len(own[a] & own[b]), -b) for b in own if b != a and (a % 4 == 1 or b % 4 == 1) and len(own[a] & own[b]) >= 2))[:2]
+    assert _rows(got) == sorted({(min(a, -b), max(a, -b)) for a in own for _, b in best(a)}) and frequent
